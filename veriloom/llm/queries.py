@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from veriloom.llm._base import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriloom.llm.packing import packed_documents
+
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriloom.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriloom.llm.reshard import balanced_shards
 
@@ -36,6 +48,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
     "op6_reshard": op6_reshard,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
