@@ -22,6 +22,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriloom.llm.warc import archive_report
+
+    return archive_report(table(spark, sf_dir, "pages"))
+
+
 def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriloom.llm.reshard import balanced_shards
 
@@ -50,6 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
+    "op4_warc": op4_warc,
     "op6_reshard": op6_reshard,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
@@ -57,6 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+        g AS (SELECT page_id, n, sha1(body) AS digest, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS last FROM p)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN last <> page_id THEN last END AS refers_to FROM g""",
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS body, length(coalesce(text, '')) AS n FROM documents),
         g AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY n DESC, doc_id) AS place, count(*) OVER (PARTITION BY body) AS copies,
