@@ -71,7 +71,7 @@ def grids(groups: int = 8, distance: int = 3) -> list[int]:
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+    return np.bitwise_count(x.view(np.uint64))  # of a signed number, numpy counts the magnitude's bits
 
 
 def _cell_links(fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
