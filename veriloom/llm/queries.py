@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from veriloom.llm._base import table
 
 
+def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriloom.llm._base import written
+    from veriloom.llm.hamming import nearest_codes, sign_codes
+
+    codes = written(sign_codes(table(spark, sf_dir, "embeddings")), "codes")
+    return nearest_codes(codes, codes.where("id % 50 = 0"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriloom.llm.packing import packed_documents
 
@@ -54,6 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hamming_topk": op1_hamming_topk,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
@@ -64,6 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_hamming_topk": r"""
+        WITH bits AS (SELECT vec_id, i, embedding[i] > 0 AS bit FROM embeddings, range(1, 65) AS r(i)),
+        d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, CAST(sum(CASE WHEN q.bit <> v.bit THEN 1 ELSE 0 END) AS INTEGER) AS distance
+              FROM bits q JOIN bits v ON q.i = v.i AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, v.vec_id),
+        k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM d)
+        SELECT query_id, rank, neighbour_id, distance FROM k WHERE rank <= 10""",
     "op4_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
         g AS (SELECT page_id, n, sha1(body) AS digest, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS last FROM p)
