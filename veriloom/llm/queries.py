@@ -36,6 +36,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(table(spark, sf_dir, "pages"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriloom.llm.pieces import coding_report
+
+    return coding_report(table(spark, sf_dir, "documents"))
+
+
 def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriloom.llm.reshard import balanced_shards
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_reshard": op6_reshard,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
