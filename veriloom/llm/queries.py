@@ -61,6 +61,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriloom.llm.lm import score_report
+
+    return score_report(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriloom.llm.lsm import exact_duplicates
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_reshard": op6_reshard,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
+    "op9_lm": op9_lm,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
