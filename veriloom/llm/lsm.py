@@ -69,27 +69,57 @@ def _mismatches(docs: DataFrame, found: DataFrame) -> DataFrame:
     return bodies.where(~F.col("stays")).join(kept, "digest").where("body <> kept_body").select("digest").distinct()
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
-
-    Texts are equal when they are equal without ASCII white space; null counts as empty. The row with most code points
-    in its original text stays, then that with the smallest doc_id (a null doc_id is smallest). Rows that repeat an id
-    and a text share one verdict. `digest_bits` below 256 makes digests collide (for tests); rows whose bytes differ from
-    those of the row that stays are grouped by their whole text instead. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
+def _groups(docs: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
+    """(doc_id, digest, rank, sha, keep_id, keep_rank, copies) of every row, verified."""
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_of(text_col)).alias("body"), (-F.length(text_of(text_col))).alias("order"))
     rows = rows.withColumn("sha", F.sha2("body", 256)).withColumn("own", F.unhex(F.substring("sha", 1, digest_bits // 4)))
     digests = written(rows.select("doc_id", F.col("own").alias("digest"), F.col("order").alias("rank"), "sha"), "digests")
-    index = DigestIndex(spark)
+    index = DigestIndex(docs.sparkSession)
     index.flush(digests)
     index.compact()
     found = index.probe(digests)
     bad = written(_mismatches(rows, found), "mismatches")
-    columns = ["doc_id", "keep_id", F.col("copies").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("rank") == F.col("keep_rank"))).alias("kept"), F.col("sha").alias("text_sha256")]
+    columns = ["doc_id", "digest", "rank", "sha", "keep_id", "keep_rank", "copies"]
     if bad.isEmpty():
         return found.select(*columns)
     clash = rows.join(bad, F.col("own") == F.col("digest"), "left_semi")
     best = clash.groupBy("body").agg(F.min(F.struct("order", "doc_id")).alias("best"), F.count("*").alias("copies"))
-    again = clash.join(best, "body").select("doc_id", F.col("best.doc_id").alias("keep_id"), "copies", F.col("order").alias("rank"), F.col("best.order").alias("keep_rank"), "sha")
-    return found.join(bad, "digest", "left_anti").select(*columns).unionByName(again.select(*columns))
+    again = clash.join(best, "body").select("doc_id", F.col("own").alias("digest"), F.col("order").alias("rank"), "sha", F.col("best.doc_id").alias("keep_id"), F.col("best.order").alias("keep_rank"), "copies")
+    return found.join(bad, "digest", "left_anti").select(*columns).unionByName(again)
+
+
+def _stays() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("rank") == F.col("keep_rank"))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
+
+    Texts are equal when they are equal without ASCII white space; null counts as empty. The row with most code points
+    in its original text stays, then that with the smallest doc_id (a null doc_id is smallest). Rows that repeat an id
+    and a text share one verdict. `digest_bits` below 256 makes digests collide (for tests); rows whose bytes differ from
+    those of the row that stays are grouped by their whole text instead. An empty table gives an empty result.
+    """
+    return _groups(docs, id_col, text_col, digest_bits).select("doc_id", "keep_id", F.col("copies").alias("group_size"), _stays().alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay (see exact_duplicates), one of each group: of rows that repeat an id, a text and its length, any one."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # free of clashes
+    keyed = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in names.items()])
+    text = text_of(names[text_col])
+    keyed = keyed.withColumns({"id": F.col(names[id_col]), "own": F.unhex(F.sha2(normalised(text), 256)), "order": -F.length(text)})
+    found = _groups(docs, id_col, text_col, 256)
+    key = lambda df: [F.col("id").eqNullSafe(df["doc_id"]), F.col("own") == df["digest"], F.col("order") == df["rank"]]
+
+    def few(df: DataFrame, name: str) -> DataFrame:
+        df = written(df.select("doc_id", "digest", "rank").distinct(), name)
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+    gone = few(found.where(~_stays()), "copies")
+    left = keyed.join(gone, key(gone), "left_anti")
+    twice = few(found.where(_stays()).groupBy("doc_id", "digest", "rank").count().where("count > 1"), "repeated")
+    if not twice.isEmpty():
+        again = left.join(twice, key(twice), "left_semi").dropDuplicates(["id", "own", "order"])
+        left = left.join(twice, key(twice), "left_anti").unionByName(again)
+    return left.select(*[F.col(k).alias(c) for c, k in names.items()])

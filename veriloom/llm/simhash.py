@@ -166,3 +166,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(nodes, distance, groups))
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, groups: int = 8) -> DataFrame:
+    """docs without the rows whose component has a smaller id; rows without an id stay."""
+    found = near_duplicates(docs, id_col, text_col, width, distance, groups)
+    gone = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "near-copies")
+    small = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
+    return docs.join(small, docs[id_col] == small["gone_id"], "left_anti")
