@@ -11,7 +11,6 @@ paths meet at such places: between the first and the last of them a chunk's matr
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from veriloom.llm._base import importable, partitions, text_of, written
 SPACE = "▁"
 #: Characters of a chunk.
 CHUNK = 1 << 15
-#: Words and pairs that a worker remembers before it starts afresh.
+#: Pairs of pieces that a worker remembers before it starts afresh.
 REMEMBERED = 300_000
 START = (0, 0)
 UNKNOWN = -1
@@ -62,11 +61,10 @@ class Pieces:
                 self.surface.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.id))
         inside = {c for p in self.id if len(p) > 1 for c in p}
-        line = "" if "\n" in inside else "\n"  # no piece joins a line end to anything
-        self.word = re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + "|\n" * bool(line))
-        self.line = bool(line)
-        self.words: dict[str, tuple[bytes, float]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.line = "\n" not in inside  # no piece joins a line end to anything
+        self.scores = np.array([0.0 if sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) else sp.get_score(k) for k in range(len(sp))])
+        self.sp = sp
+        self.pairs: dict[int, bool] = {}
         self.own: dict[str, bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -93,11 +91,12 @@ class Pieces:
         """Whether a and b, side by side, encode to themselves. Characters that are no pieces go with anything."""
         if a not in self.id or b not in self.id:
             return True
-        ok = self.pairs.get((a, b))
+        key = self.id[a] << 32 | self.id[b]
+        ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
+            ok = self.pairs[key] = self.merge(a + b) == [a, b]
         return ok
 
     def forced(self, left: str, right: str) -> bool:
@@ -147,25 +146,23 @@ class Pieces:
             out.append(piece)
         return out[::-1]
 
-    def encode_word(self, word: str) -> tuple[bytes, float]:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            reached = self.forward(word, 0, len(word), None)
-            parts = self.walk(reached, 0, len(word))
-            found = b"".join(map(self.bytes_of, parts)), reached[len(word)][2]
-            if len(word) <= 64:
-                self.words[word] = found
-        return found
+    def encode_paths(self, text: str) -> tuple[bytes, float]:
+        """encode_run by paths alone."""
+        reached = self.forward(text, 0, len(text), None)
+        return b"".join(map(self.bytes_of, self.walk(reached, 0, len(text)))), reached[len(text)][2]
 
     def encode_run(self, text: str) -> tuple[bytes, float]:
-        """(ids as little-endian 32-bit, score) of a text that begins and ends at forced places."""
-        get, words = self.words.get, self.word.findall(text)
-        found = [get(w) for w in words]
-        if None in found:
-            found = [f or self.encode_word(w) for f, w in zip(found, words, strict=True)]
-        return b"".join([f[0] for f in found]), sum([f[1] for f in found])
+        """(ids as little-endian 32-bit, score) of a text that begins and ends at forced places: there is one path, which the library walks."""
+        if not text:
+            return b"", 0.0
+        if text[0] == SPACE:  # which the library puts there itself
+            ids = self.sp.encode(text[1:]) if len(text) > 1 else [self.id[SPACE]]
+        elif self.line:  # a line end keeps the library's own prefix apart
+            ids = self.sp.encode("\n" + text)[2:]
+        else:
+            return self.encode_paths(text)
+        found = np.array(ids, dtype="<i4")
+        return found.tobytes(), float(self.scores[found].sum())
 
     # ---- one chunk of a document: text[begin:end] with what its pieces can reach on either side
 
@@ -229,11 +226,9 @@ class Pieces:
         if first == last:
             at, _, score = head[first]
             return {(at - end, 0): score} if at >= 0 else {}
-        words = self.word.findall(text[first:last])
-        before = self.encode_run(text[first : last - len(words[-1])])[1]
-        reached = self.forward(words[-1], 0, len(words[-1]), None)
-        at, _, score = reached[len(words[-1])]
-        return {(at - len(words[-1]), 0): head[first][2] + before + score}
+        k = next((k for k in range(last - 1, first, -1) if self.forced(text[k - 1], text[k])), first)
+        at, _, score = self.forward(text, k, last, None)[last]
+        return {(at - end, 0): head[first][2] + self.encode_run(text[first:k])[1] + score}
 
     @staticmethod
     def exits(reached: dict, begin: int, end: int, at_end: bool, text: str) -> dict[tuple[int, int], float]:
