@@ -1,0 +1,316 @@
+"""Text scanners that keep state along the text: sentences, chunks, fuzzy quotes, citations, Markdown drafts.
+
+Plain Python functions, and Arrow UDFs and a UDTF that apply them to columns.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from veriloom.functions.words import ABBREVIATIONS, BLANKS, DASHES, DOUBLE_QUOTES, DROPPED, SINGLE_QUOTES
+
+_TRANSLATION = str.maketrans({**dict.fromkeys(DASHES, "-"), **dict.fromkeys(DOUBLE_QUOTES, '"'), **dict.fromkeys(SINGLE_QUOTES, "'"), **dict.fromkeys(BLANKS, " "), **dict.fromkeys(DROPPED, ""), "·": ".", "•": " "})
+_BROKEN_WORD = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)")
+_NOISE = re.compile(r"[\"'`*_\[\]()]")
+
+
+def normalized(text: str | None) -> str:
+    plain = unicodedata.normalize("NFKC", text or "").translate(_TRANSLATION)
+    return " ".join(_BROKEN_WORD.sub("", plain).split())
+
+
+def folded(text: str | None) -> str:
+    return " ".join(_NOISE.sub("", normalized(text).lower()).split())
+
+
+# ---- sentences
+
+_MARK = re.compile(r"[\[(]|[\])]|[.!?][.!?\"')”’]*")
+_SHORT = re.compile(r"(?:\b(?:" + "|".join(map(re.escape, ABBREVIATIONS)) + r")|\b(?-i:[A-Z]))\.$", re.IGNORECASE)
+_AHEAD = re.compile(r" [\"'“„(\[0-9]")
+
+
+def sentences(text: str | None) -> list[str]:
+    """Sentences of a paragraph. Marks in brackets end none; nor do abbreviations, initials and decimals."""
+    flat = " ".join((text or "").split())
+    cuts, depth, skip = [0], 0, 0
+    for m in _MARK.finditer(flat):
+        mark = m.group()
+        if m.start() < skip:
+            continue
+        if mark in "[(":
+            depth += 1
+        elif mark in "])":
+            depth = max(0, depth - 1)
+        elif not depth:
+            end = m.end()
+            follows = end >= len(flat) or _AHEAD.match(flat, end) or (flat[end] == " " and flat[end + 1 : end + 2].isupper())
+            # the mark itself decides about abbreviations; what closes the sentence goes with it
+            if follows and not _SHORT.search(flat, cuts[-1], m.start() + 1) and not flat[m.start() + 1 : m.start() + 2].isdigit():
+                cuts.append(end)
+            skip = end
+    parts = [flat[a:b].strip() for a, b in zip(cuts, [*cuts[1:], len(flat)], strict=True)]
+    return [p for p in parts if p]
+
+
+def chunks(text: str | None, size: int = 700, carry: int = 1) -> list[str]:
+    """Sentences packed greedily up to a size; each chunk begins with the last `carry` sentences of the one before."""
+    out: list[str] = []
+    held: list[str] = []
+    length = 0
+    for s in sentences(normalized(text)):
+        if held and length + len(s) > size:
+            out.append(" ".join(held))
+            held = held[len(held) - carry :] if carry else []
+            length = sum(map(len, held))
+        held.append(s)
+        length += len(s) + 1
+    return [*out, " ".join(held)] if held else out
+
+
+# ---- quotes
+
+
+def locate_quote(quote: str | None, text: str | None, threshold: float = 0.88) -> tuple[float, int]:
+    """(similarity, place in the folded text or -1): 1.0 for a quote found as it stands, parts of an ellipsis in order, else the best aligned window."""
+    return _locate(folded(quote).strip(" .\"'"), folded(text), threshold)
+
+
+def _locate(q: str, t: str, threshold: float) -> tuple[float, int]:
+    if not q or not t:
+        return 0.0, -1
+    parts = [p for p in (x.strip(" .") for x in re.split(r"\.\.\.|…", q)) if len(p) > 3]
+    if len(parts) > 1:
+        at, worst = 0, 1.0
+        for part in parts:
+            similarity, found = _locate(part, t[at:], threshold)
+            worst = min(worst, similarity)
+            if found < 0:
+                return worst, -1
+            at += found + len(part)
+        return worst, at
+    exact = t.find(q)
+    return (1.0, exact) if exact >= 0 else _align(q, t, threshold)
+
+
+def _windows(q: str, t: str) -> Iterator[int]:
+    """Starts of windows that hold one of the quote's longest words where the quote has it; starts in one ten count once."""
+    anchors = sorted(set(re.findall(r"\w{5,}", q)), key=lambda w: (-len(w), w))[:4] or q.split()[:2]
+    tried = set()
+    for word in anchors:
+        for hit in re.finditer(re.escape(word), t):
+            low = max(0, hit.start() - q.find(word) - 20)
+            if low // 10 not in tried:
+                tried.add(low // 10)
+                yield low
+
+
+def _align(q: str, t: str, threshold: float) -> tuple[float, int]:
+    best, place = 0.0, -1
+    matcher = SequenceMatcher(None, autojunk=False)
+    matcher.set_seq1(q)
+    for low in _windows(q, t):
+        matcher.set_seq2(t[low : low + len(q) + 40])
+        share = sum(block.size for block in matcher.get_matching_blocks()) / len(q)
+        if share > best:
+            best, place = share, low
+            if best >= 0.995:
+                return best, place
+    return best, place if best >= threshold else -1
+
+
+# ---- citations
+
+_OPENING, _CLOSING = '"“„', '"”“'
+_QUOTE = r'["“„](?:[^"“”„\[\]\n]|\[[^"“”„\[\]\n]*\]|\n(?![ \t]*\n))*["”“]'
+#: Fixed value: the form of a citation block, with an atomic group so that matching stays linear.
+CITATION = r"\[(-?@(?>" + _QUOTE + r"|[^\[\]])+?)\]"
+_BLOCK = re.compile(CITATION)
+_ITEM = re.compile(r"-?@(?P<key>\w(?:[\w:./-]*\w)?)\s*(?:,\s*(?P<loc>[^;]*?))?\s*$", re.DOTALL)
+
+
+def _items(inner: str) -> list[str]:
+    """Split at semicolons that stand in no quote."""
+    cuts, quoted = [-1], False
+    for k, c in enumerate(inner):
+        if quoted:
+            quoted = c not in _CLOSING
+        elif c in _OPENING:
+            quoted = True
+        elif c == ";":
+            cuts.append(k)
+    return [x.strip() for x in (inner[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], len(inner)], strict=True)) if x.strip()]
+
+
+def citations(text: str | None) -> list[dict]:
+    """key, locator, quote, start and stop of every citation, in order."""
+    out = []
+    for block in _BLOCK.finditer(text or ""):
+        for item in _items(block.group(1)):
+            head, _, quote = item.partition("::")
+            m = _ITEM.match(head.strip())
+            if m:
+                out.append({"key": m["key"], "locator": (m["loc"] or "").strip(), "quote": quote.strip().strip('"“”„').strip(), "start": block.start(), "stop": block.end()})
+    return out
+
+
+def without_citations(text: str | None) -> str:
+    return re.sub(r"\s*" + CITATION, "", text or "")
+
+
+def location(loc: str | None) -> tuple[str, str]:
+    """(page, sec, table, figure or nothing, value) of a locator, in English and Polish."""
+    low = (loc or "").strip().lower()
+    for kind, pattern in (("page", r"(?:pp?\.?|page|s\.|str\.)\s*(\d+)"), ("sec", r"(?:sec\.?|section|§)\s*(.+)"), ("table", r"(?:table|tab\.?|tabela)\s*(\w+)"), ("figure", r"(?:fig\.?|figure|rys\.?)\s*(\w+)")):
+        m = re.match(pattern, low)
+        if m:
+            return kind, m.group(1).strip()
+    return "", low
+
+
+def same_location(want: str, have: str, label: str = "") -> bool:
+    (kind, value), (other, there) = location(want), location(have)
+    if kind == "page":
+        return (other, there) == (kind, value) or bool(label) and label.strip() == value
+    if kind == "sec":
+        return other == "sec" and value in there
+    if kind:
+        return other in ("table", "figure") and there == value
+    return value in have.lower()
+
+
+def page_kind(loc: str) -> str:
+    return "abstract" if loc.startswith("abstract") else location(loc)[0] or "other"
+
+
+def quote_at(quote: str, loc: str, pages: list[dict], abstract: str = "", least: float = 0.9) -> tuple[bool | None, str]:
+    """(whether the quote stands at loc, where it was found); None where the text has no places of that kind."""
+    held = [p for p in pages if locate_quote(quote, p["text"])[0] >= least]
+    first = held[0]["loc"] if held else ""
+    if not loc:
+        return True, first
+    if loc.strip().lower().startswith("abstract"):
+        if not abstract:
+            return None, first
+        return (True, "abstract") if locate_quote(quote, abstract)[0] >= least else (False, first)
+    if page_kind(loc) not in {page_kind(p["loc"]) for p in pages}:
+        return None, first
+    right = next((p["loc"] for p in held if same_location(loc, p["loc"], p.get("label") or "")), None)
+    return (True, right) if right is not None else (False, first)
+
+
+# ---- Markdown drafts
+
+_REFERENCES = re.compile(r"^(references|bibliography|literature|sources|bibliografia|literatura|źródła|piśmiennictwo)\b", re.IGNORECASE)
+
+
+def _blank(m: re.Match) -> str:
+    return "\n" * m.group().count("\n")
+
+
+def draft_sentences(text: str | None) -> Iterator[tuple[int, str, int, str, int, bool]]:
+    """(position, sentence, line, section, paragraph, in a table) of a Markdown draft.
+
+    Comments, front matter, code fences and the reference list are left out, lines keep their numbers. A table row is one
+    sentence; list marks and quote marks are dropped.
+    """
+    body = re.sub(r"\A---\n.*?\n---[ \t]*(?:\n|\Z)", _blank, text or "", flags=re.DOTALL)
+    body = re.sub(r"<!--.*?-->", _blank, body, flags=re.DOTALL)
+    section, paragraph, position, fenced = "", 0, 0, False
+    held: list[tuple[int, str]] = []
+
+    def flush() -> Iterator[tuple[int, str, int, str, int, bool]]:
+        nonlocal position, held
+        starts, joined = [], ""
+        for number, line in held:
+            starts.append((len(joined), number))
+            joined += line + " "
+        seek = 0
+        flat = " ".join(joined.split())
+        for s in sentences(flat):
+            at = max(0, flat.find(s, seek))
+            seek = at + len(s)
+            yield position, s, next(n for p, n in reversed(starts) if p <= at), section, paragraph, False
+            position += 1
+        held = []
+
+    for number, line in enumerate(body.split("\n"), 1):
+        plain = line.strip()
+        if plain.startswith(("```", "~~~")):
+            fenced = not fenced
+            yield from flush()
+            continue
+        if fenced:
+            continue
+        heading = re.match(r"#{1,6}\s+(.*)", plain)
+        if heading or not plain:
+            yield from flush()
+            paragraph += 1
+            if heading:
+                section = heading.group(1).strip("# ")
+                if _REFERENCES.match(section):
+                    return
+            continue
+        if plain.startswith("|"):
+            yield from flush()
+            if not re.fullmatch(r"[|:\-\s]+", plain):
+                yield position, " | ".join(c.strip() for c in plain.strip("|").split("|")), number, section, paragraph, True
+                position += 1
+            continue
+        item = re.match(r"(?:[-*+]|\d+[.)])\s+", plain)
+        if item:
+            yield from flush()
+        held.append((number, re.sub(r"^(?:>\s*)+|^(?:[-*+]|\d+[.)])\s+", "", plain)))
+    yield from flush()
+
+
+# ---- on columns
+
+
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
+
+
+_STRING, _INT = T.StringType(), T.IntegerType()
+CITATION_TYPE = _struct(key=_STRING, locator=_STRING, quote=_STRING, start=_INT, stop=_INT)
+DRAFT_TYPE = _struct(position=_INT, sentence=_STRING, line=_INT, section=_STRING, paragraph=_INT, in_table=T.BooleanType())
+
+
+@F.pandas_udf(T.ArrayType(_STRING))
+def split_sentences(text: pd.Series) -> pd.Series:
+    return text.map(sentences)
+
+
+@F.pandas_udf(T.ArrayType(_STRING))
+def chunk_text(text: pd.Series) -> pd.Series:
+    return text.map(chunks)
+
+
+@F.pandas_udf(_struct(similarity=T.DoubleType(), at=_INT))
+def find_quote(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([locate_quote(q, t) for q, t in zip(quote, text, strict=True)], columns=["similarity", "at"])
+
+
+@F.pandas_udf(T.ArrayType(CITATION_TYPE))
+def parse_citations(text: pd.Series) -> pd.Series:
+    return text.map(citations)
+
+
+@F.udtf(returnType=DRAFT_TYPE, useArrow=True)
+class ParseDraft:
+    def eval(self, text: str) -> Iterator[tuple]:
+        yield from draft_sentences(text)
+
+
+def register(spark) -> None:
+    """Makes the scanners callable from SQL."""
+    for name, f in (("split_sentences", split_sentences), ("chunk_text", chunk_text), ("find_quote", find_quote), ("parse_citations", parse_citations)):
+        spark.udf.register(name, f)
+    spark.udtf.register("parse_draft", ParseDraft)
