@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from veriloom.llm._base import importable, text_of
 
 #: Bounds of the training samples, taken by a hash of the text and id.
-POSITIVES = 6_000
-UNLABELLED = 12_000
+POSITIVES = 4_000
+UNLABELLED = 8_000
 #: Score from which a text counts as good.
 THRESHOLD = 0.3
 #: ASCII characters with a class of their own, besides letters, digits and blanks.
@@ -131,12 +131,18 @@ def _sample(docs: DataFrame, bound: int) -> np.ndarray:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, features(x.as_py()).tobytes()) for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            rows = [(k, features(x.as_py()).astype(np.float16).tobytes()) for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["k", "x"])
 
     found = docs.select(F.xxhash64("id").alias("k"), F.encode(text_of("text"), "UTF-8").alias("body")).mapInArrow(scan, "k long, x binary").toArrow()
     order = np.argsort(found.column(0).to_numpy(), kind="stable")[:bound]  # the order of tasks must not matter
-    return np.frombuffer(b"".join(found.column(1).to_pylist()), dtype=np.float32).reshape(-1, FEATURES)[order]
+    out = np.zeros((found.num_rows, FEATURES), dtype=np.float32)
+    at = 0
+    for chunk in found.column(1).chunks:
+        for x in chunk:
+            out[at] = np.frombuffer(x.as_buffer(), dtype=np.float16)
+            at += 1
+    return out[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
