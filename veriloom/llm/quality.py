@@ -8,8 +8,10 @@ prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ THRESHOLD = 0.3
 #: ASCII characters with a class of their own, besides letters, digits and blanks.
 MARKS = ".,!?#%*$&|-_/:;<>=()[]{}\"'@+~^\\`"
 CLASSES = 8 + len(MARKS)
-FEATURES = CLASSES * CLASSES + CLASSES + 5
+#: Besides byte classes: lengths, repetition, marked words.
+SUMMARY = 12
+FEATURES = CLASSES * CLASSES + CLASSES + SUMMARY
 
 
 def _byte_classes() -> np.ndarray:
@@ -55,19 +59,31 @@ def features(body: bytes) -> np.ndarray:
         single += np.bincount(c[: 1 << 20], minlength=CLASSES)
     words, lines = body.split(), body.split(b"\n")
     out[: CLASSES * CLASSES] = np.sqrt(pairs / max(1.0, pairs.sum()))
-    out[CLASSES * CLASSES : -5] = np.sqrt(single / single.sum())
-    out[-5:] = np.log1p(len(data)) / 10, np.log1p(len(words)) / 10, len(set(words)) / max(1, len(words)), len(set(lines)) / len(lines), len(data) / max(1, len(words)) / 20
+    out[CLASSES * CLASSES : -SUMMARY] = np.sqrt(single / single.sum())
+    n = max(1, len(words))
+    again = sum(map(eq, words, words[1:]))
+    top = max(Counter(words).values(), default=0)
+    marked = sum(1 for w in words if not w[-1:].isalnum() and w[-1:] not in b".,;:")
+    upper = sum(1 for w in words if len(w) > 1 and w.isupper())
+    out[-SUMMARY:] = (
+        np.log1p(len(data)) / 10, np.log1p(len(words)) / 10, len(set(words)) / n, len(set(lines)) / len(lines), len(data) / n / 20,
+        again / n, np.sqrt(again / n), float(again > 0.2 * n), top / n, marked / n, np.sqrt(marked / n), upper / n,
+    )
     return out
 
 
 def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
-    """The share of positives among the unlabelled, from scores that neither side was trained on."""
+    """The share of positives among the unlabelled, from scores that neither side was trained on: the lower end of its confidence band.
+
+    Too high a prior stops training before the bad texts are told apart (the clamp at zero sets in early); too low a one only
+    lowers the scores of good texts a little.
+    """
     at = np.unique(positive)
     p = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
     u = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
     slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
     best = np.argmin((u + slack) / p)
-    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+    return float(np.clip((u[best] - slack) / p[best], 0.05, 0.95))
 
 
 @dataclass
