@@ -168,7 +168,7 @@ def without_citations(text: str | None) -> str:
 def location(loc: str | None) -> tuple[str, str]:
     """(page, sec, table, figure or nothing, value) of a locator, in English and Polish."""
     low = (loc or "").strip().lower()
-    for kind, pattern in (("page", r"(?:pp?\.?|page|s\.|str\.)\s*(\d+)"), ("sec", r"(?:sec\.?|section|§)\s*(.+)"), ("table", r"(?:table|tab\.?|tabela)\s*(\w+)"), ("figure", r"(?:fig\.?|figure|rys\.?)\s*(\w+)")):
+    for kind, pattern in (("page", r"(?:pp?\.?|page|s\.|str\.)\s*(\d+)"), ("sec", r"(?:section|sec\.?|§)\s*(.+)"), ("table", r"(?:tabela|table|tab\.?)\s*(\w+)"), ("figure", r"(?:fig\.?|figure|rys\.?)\s*(\w+)")):
         m = re.match(pattern, low)
         if m:
             return kind, m.group(1).strip()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,6 +109,12 @@ def overlap(query: Column | str, passage: Column | str, nfkc: bool = True) -> Co
     return overlap_of(content_tokens(query, nfkc), content_tokens(passage, nfkc))
 
 
+def with_overlap(df: DataFrame, query: str, passage: str, name: str = "overlap", nfkc: bool = True) -> DataFrame:
+    """df with the overlap of two of its columns; their stems are made in a projection of their own, so that no lambda holds a Python function."""
+    tokens = df.withColumns({"overlap_query": content_tokens(query, nfkc), "overlap_passage": content_tokens(passage, nfkc)})
+    return tokens.withColumn(name, overlap_of(F.col("overlap_query"), F.col("overlap_passage"))).drop("overlap_query", "overlap_passage")
+
+
 # ---- numbers
 
 
@@ -141,7 +147,7 @@ def numbers(c: Column | str, nfkc: bool = True) -> Column:
         body = F.regexp_replace(F.regexp_replace(raw, r"\s?%$", ""), "^[-+]", "")
         sign = F.when(raw.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
         decimals = F.when(body.rlike(r"^\d{1,3}(?:[ ,.]\d{3})+$"), F.lit(0)).otherwise(F.length(F.regexp_extract(F.regexp_replace(body, " ", ""), r"[.,](\d+)$", 1)))
-        return F.struct(raw.alias("raw"), F.transform(number_readings(body), lambda v: v * sign).alias("values"), decimals.cast("int").alias("decimals"), raw.endswith("%").alias("pct"))
+        return F.named_struct(F.lit("raw"), raw, F.lit("values"), F.transform(number_readings(body), lambda v: v * sign), F.lit("decimals"), decimals.cast("int"), F.lit("pct"), raw.endswith("%"))
 
     return F.transform(found, one)
 

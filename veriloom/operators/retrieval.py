@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from veriloom.functions.text import overlap
+from veriloom.functions.text import with_overlap
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
@@ -55,18 +55,18 @@ class PassageIndex:
         return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
-def find(index: PassageIndex, passages: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
+def find(index: PassageIndex, passages: DataFrame, queries: DataFrame, limit: int = 8, nfkc: bool = True) -> DataFrame:
     """Twice the limit by BM25, one row for equal beginnings (key and 120 characters), cut, and ordered anew by overlap. passages: id, key, text."""
     hits = index.search(queries, 2 * limit).join(passages.select("id", "key", "text"), "id").join(queries.select("query_id", "query"), "query_id")
     same = W.partitionBy("query_id", "key", F.substring("text", 1, 120)).orderBy("place")
     once = hits.withColumn("copy", F.row_number().over(same)).where("copy = 1")
     kept = once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("place"))).where(F.col("rank") <= limit)
-    again = kept.withColumn("overlap", overlap("query", "text"))
+    again = with_overlap(kept, "query", "text", nfkc=nfkc)
     return again.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("overlap"), "place"))).select("query_id", "id", "key", "score", "overlap", "rank")
 
 
 def best_passages(index: PassageIndex, passages: DataFrame, sentences: DataFrame, nfkc: bool = True) -> DataFrame:
     """(query_id, id, overlap): of the 12 best passages by BM25, the one that overlaps most with the sentence; the first of equals."""
     hits = index.search(sentences, 12).join(passages.select("id", "text"), "id").join(sentences.select("query_id", "query"), "query_id")
-    scored = hits.withColumn("overlap", overlap("query", "text", nfkc))
+    scored = with_overlap(hits, "query", "text", nfkc=nfkc)
     return scored.groupBy("query_id").agg(F.max_by(F.struct("id", "overlap"), F.struct("overlap", -F.col("place"))).alias("b")).select("query_id", "b.id", "b.overlap")

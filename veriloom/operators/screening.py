@@ -106,6 +106,6 @@ def next_step(counts: DataFrame) -> DataFrame:
 
 def screening_page(works: DataFrame, sort: str = "both", offset: int = 0, limit: int = 20) -> DataFrame:
     """A page of the list by 0.75 relevance + 0.25 weight, by weight and relevance, or by year. works: key, relevance, weight, year."""
-    mixed = F.lit(0.75) * F.col("relevance") + F.lit(0.25) * F.col("weight")
+    mixed = F.round(F.lit(0.75) * F.col("relevance") + F.lit(0.25) * F.col("weight"), 6)
     by = {"both": [mixed.desc()], "weight": [F.desc("weight"), F.desc("relevance")], "year": [F.desc_nulls_last("year")]}[sort]
     return works.orderBy(*by, "key").offset(offset).limit(limit)

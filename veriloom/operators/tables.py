@@ -66,14 +66,13 @@ def check_cells(cells: DataFrame, sources: DataFrame, nfkc: bool = True) -> Data
     joined = cells.join(sources.select("key", F.col("text").alias("source")), "key", "left")
     nothing = F.upper(F.trim(F.coalesce("value", F.lit("")))).isin(*NOT_REPORTED)
     found = F.when(F.col("source").isNotNull() & (F.coalesce("quote", F.lit("")) != ""), find_quote("quote", "source"))
-    joined = joined.withColumn("found", found)
+    joined = joined.withColumns({"found": found, "have": numbers(F.concat_ws(" ", "quote", "source"), nfkc), "own": F.filter(numbers("value", nfkc), significant)})
     ratio = F.coalesce("found.similarity", F.lit(0.0))
     base = F.when(ratio >= 0.9, F.when(F.size(words("quote", nfkc)) >= 6, 1.0).otherwise(0.8)).otherwise(F.round(ratio * 0.8, 3))
-    have = numbers(F.concat_ws(" ", "quote", "source"), nfkc)
-    missing = F.exists(F.filter(numbers("value", nfkc), significant), lambda n: number_match(n, have) == "missing")
+    missing = F.exists("own", lambda n: number_match(n, F.col("have")) == "missing")
     score = F.when(nothing, 1.0).otherwise(base * F.when(missing, 0.5).otherwise(1.0))
     problem = F.when(nothing, "").when(F.col("source").isNull(), "unknown source").when(F.coalesce("quote", F.lit("")) == "", "no quote").when(ratio < 0.9, "quote not found").when(missing, "number not in source").otherwise("")
-    return joined.withColumns({"score": score, "problem": problem}).drop("found", "source")
+    return joined.withColumns({"score": score, "problem": problem}).drop("found", "source", "have", "own")
 
 
 def custom_cells(specs: DataFrame) -> DataFrame:

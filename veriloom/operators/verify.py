@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from veriloom.functions.scan import CITATION, ParseDraft, find_quote, parse_citations
-from veriloom.functions.text import _stop_array, number_match, numbers, overlap, significant, words
+from veriloom.functions.text import _stop_array, number_match, numbers, significant, with_overlap, words
 from veriloom.functions.words import STOP_EN
 
 # Wording of causes, absolutes, hedges, animals, facts and conclusions, in English and Polish.
@@ -71,7 +71,7 @@ def verify(drafts: DataFrame, sources: DataFrame, causal_designs: list[str], nfk
     live = known.where(~unknown & ~F.col("in_table"))
     anchored = F.max(F.when(F.col("a") > 0, F.least(F.lit(1.0), F.greatest(F.lit(1.6) * F.col("o"), F.lit(0.75)))))
     o = live.join(q.select("draft", "position", "key", F.col("right").alias("a")).groupBy("draft", "position", "key").agg(F.max("a").alias("a")), ["draft", "position", "key"], "left")
-    o = o.withColumn("o", overlap("plain", "source", nfkc))
+    o = with_overlap(o, "plain", "source", "o", nfkc)
     best = o.groupBy("draft", "position").agg(anchored.alias("anchored"), F.max("o").alias("o"), F.bool_or(F.col("depth") == "fulltext").alias("full"), F.first("line").alias("line"), F.first("sentence").alias("sentence"), F.max((F.col("design").isin(*causal_designs)).cast("int")).alias("may_cause"), F.max(F.col("design").isin(*HUMAN_RANK).cast("int")).alias("may_rule"), F.bool_and(F.col("design").isin("animal", "in_vitro")).alias("no_humans"), F.first("plain").alias("plain"))
     support = F.coalesce("anchored", F.when(F.col("o") >= 0.5, 1.0).when(F.col("o") >= 0.3, 0.5).otherwise(F.when(F.col("full"), 0.0).otherwise(0.4)))
     best = best.withColumn("support", support)

@@ -353,7 +353,7 @@ def _works(spark: SparkSession, sf: str) -> DataFrame:
     FROM documents d JOIN {_weights_sql()} ON w.k = d.doc_id % {len(_DESIGN_OF)} LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id""")
 def g03_weights(spark: SparkSession, sf: str) -> DataFrame:
     c = packs.combined(*_COMBINED)
-    w = _works(spark, sf).join(F.broadcast(c.frame(spark)), "design")
+    w = evidence.with_design_weights(_works(spark, sf), c)
     return w.select(F.col("key").alias("doc_id"), "design", evidence.weight(F.col("design_weight"), F.col("is_retracted"), F.col("is_preprint"), F.col("design"), F.col("venue"), F.col("concern"), c.top_venues()).alias("weight"))
 
 
@@ -465,13 +465,13 @@ def w09_freshness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey AS key, CAST(0.75 AS DOUBLE) * ((c_custkey * 7919) % 1000) / 1000 + CAST(0.25 AS DOUBLE) * ((c_custkey * 104729) % 1000) / 1000 AS mixed
+    SELECT c_custkey AS key, round(CAST(0.75 AS DOUBLE) * ((c_custkey * 7919) % 1000) / 1000 + CAST(0.25 AS DOUBLE) * ((c_custkey * 104729) % 1000) / 1000, 6) AS mixed
     FROM customer ORDER BY mixed DESC, key LIMIT 20 OFFSET 10""")
 def o01_screening_page(spark: SparkSession, sf: str) -> DataFrame:
     """The second page of a screening list; a page is the feature."""
     hashed = lambda k: (F.col("c_custkey") * k % 1000) / F.lit(1000.0)
     works = _t(spark, sf, "customer").select(F.col("c_custkey").alias("key"), hashed(7919).alias("relevance"), hashed(104729).alias("weight"), F.lit(2000).alias("year"))
-    return screening.screening_page(works, offset=10, limit=20).select("key", (F.lit(0.75) * F.col("relevance") + F.lit(0.25) * F.col("weight")).alias("mixed"))
+    return screening.screening_page(works, offset=10, limit=20).select("key", F.round(F.lit(0.75) * F.col("relevance") + F.lit(0.25) * F.col("weight"), 6).alias("mixed"))
 
 
 BM25 = r"""
@@ -584,10 +584,10 @@ def v07_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 # ---- incremental work and the graph
 
 
-@query("SELECT DISTINCT user_id AS key FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-15')")
+@query("SELECT DISTINCT user_id AS key FROM events WHERE ts >= TIMESTAMP '2024-01-01 06:00:00' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-01 06:00:00')")
 def z01_watch_diff(spark: SparkSession, sf: str) -> DataFrame:
     e = _t(spark, sf, "events").select(F.col("user_id").alias("key"), "ts")
-    return incremental.new_since(e.where("ts >= '2024-01-15'"), e.where("ts < '2024-01-15'")).select("key").distinct()
+    return incremental.new_since(e.where("ts >= timestamp '2024-01-01 06:00:00'"), e.where("ts < timestamp '2024-01-01 06:00:00'")).select("key").distinct()
 
 
 @query("SELECT event_type AS connector, CAST(count(DISTINCT user_id) AS BIGINT) AS queries FROM events WHERE event_type <> 'error' GROUP BY event_type")
