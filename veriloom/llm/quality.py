@@ -83,7 +83,7 @@ def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     u = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
     slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
     best = np.argmin((u + slack) / p)
-    return float(np.clip((u[best] - slack) / p[best], 0.05, 0.95))
+    return float(np.clip((u[best] - slack / 2) / p[best], 0.05, 0.95))
 
 
 @dataclass
@@ -178,79 +178,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(p, u)
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 1200, seed: int = 7) -> Model:
-    """Minimises the non-negative risk with the logistic loss; the prior is estimated on a third left out first."""
-    rng = np.random.default_rng(seed)
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 0.02
-    p, u = ((np.clip((x - mean) / scale, -8, 8)).astype(np.float32) for x in (positive, unlabelled))
-    if prior is None:
-        cut_p, cut_u = np.arange(len(p)) % 3 == 0, np.arange(len(u)) % 3 == 0
-        w, b = _descend(p[~cut_p], u[~cut_u], 0.5, steps // 2, rng)
-        prior = best_bin_prior(p[cut_p] @ w + b, u[cut_u] @ w + b)
-    w, b = _descend(p, u, prior, steps, rng)
-    return Model(mean, scale, w, b, prior)
-
-
-def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    w, b = np.zeros(p.shape[1], dtype=np.float32), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for step in range(1, steps + 1):
-        x, y = p[rng.integers(0, len(p), 512)], u[rng.integers(0, len(u), 512)]
-        sp, su = 1 / (1 + np.exp(-(x @ w + b))), 1 / (1 + np.exp(-(y @ w + b)))
-        plus = (prior * (sp - 1) / len(x), x)  # gradient of prior * R+(P): loss -log s
-        minus_u, minus_p = (su / len(y), y), (-prior * sp / len(x), x)  # of R-(U) - prior * R-(P): loss -log(1 - s)
-        negative = -np.log1p(-np.minimum(su, 1 - 1e-6)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-6)).mean()
-        parts = [plus, minus_u, minus_p] if negative >= 0 else [(-minus_u[0], y), (-minus_p[0], x)]  # below zero: step back
-        g = np.r_[sum(c @ a for c, a in parts) + 2e-4 * w, sum(c.sum() for c, _ in parts)]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = 0.02 * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, b = (w - move[:-1]).astype(np.float32), float(b - move[-1])
-    return w, b
-
-
-def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
-    """Whether crc32 of the id as text is 0 modulo the folds; a null id is not."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
-
-
-def _sample(docs: DataFrame, bound: int, id_col: str, text_col: str) -> np.ndarray:
-    """Features of at most `bound` rows, those with the smallest hashes."""
-    importable(docs.sparkSession)
-    order = F.xxhash64(F.lit(3), id_col)
-    body = F.encode(text_of(text_col), "UTF-8").alias("body")
-    few = docs.select(id_col, F.col(text_col)).orderBy(order, id_col).limit(bound).select(body)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features(x.as_py()).tobytes() for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["x"])
-
-    rows = few.mapInArrow(scan, "x binary").toArrow().column(0).to_pylist()
-    return np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, FEATURES)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Learns from labels (id_col, quality) of documents that are not held out.
-
-    Trusted positives: a bounded hash sample of documents that a label calls good and none calls bad. Unlabelled: a bounded
-    hash sample of the others. Without positives or unlabelled text, the model scores everything 1.
-    """
-    free = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    good = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("worst")).where("worst = 1").select("id")
-    wanted = good.where(~held_out("id")).orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(2 * positives).persist()
-    p = _sample(free.join(F.broadcast(wanted), "id", "left_semi"), positives, "id", "text")  # broadcast: 2 * positives ids
-    u = _sample(free.join(F.broadcast(wanted), "id", "left_anti"), unlabelled, "id", "text")
-    wanted.unpersist()
-    if not len(p) or not len(u):
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 30.0, 1.0)
-    return train(p, u)
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with `score` (double, 0 to 1) of the whole text; null counts as empty."""
     importable(docs.sparkSession)
