@@ -90,6 +90,20 @@ def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
+def levelled_capacities(total: int, fixed: list[int], shards: int) -> list[int]:
+    """Equal shares, but at least `fixed` bytes for a shard that holds rows too large to share out; the others share the rest."""
+    fixed = (fixed + [0] * shards)[:shards]
+    over: set[int] = set()
+    while True:
+        share = equal_capacities(total - sum(fixed[k] for k in over), max(1, shards - len(over)))
+        rest = iter(share)
+        capacity = [fixed[k] if k in over else next(rest) for k in range(shards)]
+        more = {k for k in range(shards) if k not in over and fixed[k] > capacity[k]}
+        if not more or len(over) + len(more) >= shards:
+            return capacity
+        over |= more
+
+
 @dataclass
 class Plan:
     """Segments of each old shard's running size: (old shard, from byte, to byte, new shard)."""
@@ -131,7 +145,7 @@ def reshard(rows: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     So the rows that move are small ones, and boundaries fall within a small row.
 
     rows needs a positive long `size`; `order` makes the order of rows in a block definite. New shards get equal shares
-    of the bytes, up to a row at either end of a transfer. Rows that are equal in `order` and size are interchangeable.
+    of the bytes, up to a row at either end of a transfer and but for shards with rows larger than that. Rows that are equal in `order` and size are interchangeable.
     Two shuffles: on (old shard, block) for running sizes, and none for the slots, which reuse it.
     """
     spark = rows.sparkSession
@@ -143,7 +157,10 @@ def reshard(rows: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     for r in sums:
         begins.append((r["old_shard"], r["block"], sizes[r["old_shard"]]))
         sizes[r["old_shard"]] += r["bytes"]
-    plan = plan_transfers(sizes, equal_capacities(sum(sizes), new_shards))
+    large = [0] * old_shards  # rows of an eighth of a share and more stay where they are
+    for r in sums:
+        large[r["old_shard"]] += r["bytes"] if 8 << (63 - r["block"] // blocks) >= sum(sizes) / new_shards else 0
+    plan = plan_transfers(sizes, levelled_capacities(sum(sizes), large, new_shards))
     small = lambda data, schema: F.broadcast(spark.createDataFrame(data, schema))  # noqa: E731  bounded by shards x size classes x blocks
     starts = small(begins, "old_shard int, block int, block_at long")
     segments = small([(s[0], s[1], s[2], s[3]) for s in plan.segments], "seg_old int, seg_from long, seg_to long, shard int")
