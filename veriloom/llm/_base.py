@@ -34,8 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: documents are long, and a worker holds some batches at once.
+BATCH_ROWS = 2048
+
+
 def importable(spark: SparkSession) -> None:
-    """Python workers find this package under the path that the driver uses."""
+    """Python workers find this package under the path that the driver uses, and get batches that fit their memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):

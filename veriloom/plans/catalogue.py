@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 from veriloom.functions import identity, scan, text
 from veriloom.functions.words import POLISH, STOP_EN, STOP_PL, SUFFIXES
 from veriloom.operators import design, evidence, incremental, resolve, retrieval, screening, tables, verify
-from veriloom.plans import packs
+from veriloom.plans import packs, session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,8 +31,7 @@ def query(sql: str = ""):
     return add
 
 
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+_t = session.table
 
 
 # ---- SQL pieces
