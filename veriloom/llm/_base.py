@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch: documents are long, and a worker holds some batches at once.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 
 
 def importable(spark: SparkSession) -> None:
@@ -58,3 +58,16 @@ def text_of(name: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers live on between tasks, and their freed memory would add up."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

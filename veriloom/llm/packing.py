@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm._base import importable, partitions, text_of, written
+from veriloom.llm._base import importable, release, text_of, written
 
 CAPACITY = 1024
 END = 2
@@ -94,6 +94,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             if with_ids:
                 arrays, names = [*arrays, pa.array(out[4], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm._base import importable, text_of
+from veriloom.llm._base import importable, release, text_of
 
 #: Bounds of the training samples, taken by a hash of the text and id.
 POSITIVES = 4_000
@@ -149,6 +149,7 @@ def _sample(docs: DataFrame, bound: int) -> np.ndarray:
         for batch in batches:
             rows = [(k, features(x.as_py()).astype(np.float16).tobytes()) for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["k", "x"])
+        release()
 
     found = docs.select(F.xxhash64("id").alias("k"), F.encode(text_of("text"), "UTF-8").alias("body")).mapInArrow(scan, "k long, x binary").toArrow()
     order = np.argsort(found.column(0).to_numpy(), kind="stable")[:bound]  # the order of tasks must not matter
@@ -186,7 +187,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def scores(bodies):
         import pandas as pd
 
-        return pd.Series([float(x) for k in range(0, len(bodies), 1024) for x in model.score(np.stack([features(b) for b in bodies.iloc[k : k + 1024]]))], dtype=float)
+        found = pd.Series([float(x) for k in range(0, len(bodies), 256) for x in model.score(np.stack([features(b) for b in bodies.iloc[k : k + 256]]))], dtype=float)
+        release()
+        return found
 
     return docs.withColumn("score", scores(F.encode(text_of(text_col), "UTF-8")))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriloom.llm._base import importable, partitions, text_of, written
+from veriloom.llm._base import importable, partitions, release, text_of, written
 from veriloom.llm.graph import components
 
 SEED = 42
@@ -55,7 +55,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.pandas_udf(T.LongType())
     def bits(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(x, width) for x in texts], dtype=np.uint64).view(np.int64))
+        found = pd.Series(np.array([fingerprint(x, width) for x in texts], dtype=np.uint64).view(np.int64))
+        release()
+        return found
 
     return docs.select(F.col(id_col).alias("doc_id"), bits(text_of(text_col)).alias("fp"))
 
@@ -150,6 +152,7 @@ def links(nodes: DataFrame, distance: int = 3, groups: int = 8) -> DataFrame:
                 yield _links(*(x[:cut] for x in now), distance)
         if kept is not None and len(kept[0]):
             yield _links(*kept, distance)
+        release()
 
     return dealt.select("grid", "cell", "fp", "node").mapInArrow(scan, "a long, b long").distinct()
 
