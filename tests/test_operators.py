@@ -63,6 +63,12 @@ def test_reported_certainty(one, said, level):
     assert one(evidence.reported_certainty(F.lit(said))) == level
 
 
+def test_certainty_near(one):
+    a = F.lit("Deaths fell. We found low-certainty evidence that infections fell by 5. High-certainty evidence of harm.")
+    assert one(evidence.certainty_near(F.lit("infections fell by 5"), a)) == 1
+    assert one(evidence.certainty_near(F.lit("Deaths fell"), a)) is None and one(evidence.certainty_near(F.lit("absent"), a)) is None
+
+
 def test_main_estimate(one):
     e = one(evidence.main_estimate(F.lit("Background: OR 0.50 (95% CI 0.4 to 0.6). Results: The pooled odds ratio 0.94 (95% CI 0.88 to 1.00) was found.")))
     assert (e["estimate"], e["low"], e["high"]) == (0.94, 0.88, 1.0)

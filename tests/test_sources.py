@@ -96,3 +96,17 @@ def test_streaming_watch(spark, tmp_path):
     spark.createDataFrame([("b", 2), ("c", 2), ("seen", 2)], "key string, v int").coalesce(1).write.mode("append").parquet(src)
     run()
     assert sorted(r["key"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "seen"]
+
+
+def test_series_requests_and_indicators(spark):
+    assert connectors.series_request("SP.POP@PL;DE:2000-2010") == ("SP.POP", ["PL", "DE"], 2000, 2010)
+    assert connectors.series_request("SP.POP") == ("SP.POP", ["all"], 1990, None)
+    df = spark.createDataFrame([("a", "GDP per capita"), ("b", "GDP growth"), ("c", "Capita income")], "id string, name string")
+    assert [r["id"] for r in connectors.find_indicators(df, "gdp per capita").collect()] == ["a"]
+
+
+def test_html(spark):
+    out = render.markdown_html("# T\n\nA **b** [x](u)\n\n- i\n- j\n\n| a | b |\n|---|---|\n| 1 | 2 |")
+    assert "<h1>T</h1>" in out and "<strong>b</strong>" in out and '<a href="u">x</a>' in out and "<li>i</li><li>j</li>" in out and "<td>2</td>" in out
+    assert render.placeholder("none x", {}) == "*(no table none)*" and render.label("Year", "pl") == "Rok"
+    assert '<mark title="bad">' in render.highlighted([{"line": 1, "sentence": "S"}], {1: ["bad"]})

@@ -78,8 +78,9 @@ def j11_exact_quote(spark: SparkSession, sf: str) -> DataFrame:
     run = lambda w, k: F.xxhash64(F.get(w, k), F.get(w, k + 1), F.get(w, k + 2))
     long = quotes.where(F.size("w") >= 5).select("item_id", "q", run(F.col("w"), F.lit(1)).alias("run"))
     words = F.split("t", " ")
-    runs = docs.where(F.size(words) >= 3).select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda k: run(words, k)))).alias("run"))
-    found = runs.join(long, "run").where(F.expr("instr(t, q) > 0"))
+    runs = docs.where(F.size(words) >= 3).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda k: run(words, k)))).alias("run"))
+    pairs = runs.join(long, "run").select("doc_id", "item_id", "q").distinct()  # the texts stay behind until a pair is a candidate
+    found = pairs.join(docs, "doc_id").where(F.expr("instr(t, q) > 0"))
     short = docs.join(F.broadcast(quotes.where(F.size("w") < 5).select("item_id", "q")), F.expr("instr(t, q) > 0"))  # a stated set of short quotes
     both = found.select("item_id", "doc_id", "t", "q").unionByName(short.select("item_id", "doc_id", "t", "q"))
     return both.select("item_id", "doc_id", F.expr("instr(t, q) - 1").cast("int").alias("at")).distinct()

@@ -153,3 +153,26 @@ def acceptable_downloads(files: DataFrame, least: int = 1000, most: int = 80_000
     is_pdf = F.hex(F.substring("content", 1, 4)) == "25504446"
     page = F.lower(F.decode(head, "ISO-8859-1")).rlike(r"<!doctype html|<html")
     return files.where(F.col("length").between(least, most) & (is_pdf | ~F.lower("path").endswith(".pdf")) & ~page)
+
+
+def series_request(q: str, first: int = 1990) -> tuple[str, list[str], int, int | None]:
+    """(indicator, countries, first year, last year) of "INDICATOR@C1;C2:Y0-Y1"; without countries: all; without years: from `first` on."""
+    import re
+
+    m = re.fullmatch(r"\s*([\w.]+)(?:@([\w;]+))?(?::(\d{4})(?:-(\d{4}))?)?\s*", q)
+    if not m:
+        raise ValueError(f"not a series: {q!r}")
+    return m[1], (m[2] or "all").split(";"), int(m[3] or first), int(m[4]) if m[4] else None
+
+
+def find_indicators(indicators: DataFrame, q: str, most: int = 30) -> DataFrame:
+    """The first indicators (id, name) whose name has every word of three letters and more."""
+    out = indicators
+    for w in (w for w in q.lower().split() if len(w) > 2):
+        out = out.where(F.lower("name").contains(w))
+    return out.orderBy("id").limit(most)
+
+
+def variable_label(*parts: str):
+    """Names of a variable's levels, joined; empty ones leave no trace."""
+    return F.concat_ws(" / ", *[F.nullif(F.col(p), F.lit("")) for p in parts])
