@@ -144,3 +144,14 @@ def test_cut_text_stays_valid():
     text = "é" * 80
     assert suffix.cut_text(text, [{"a": 1, "b": 101}]) == "é" * (80 - 49)
     assert suffix.cut_bytes(text.encode(), [{"a": 1, "b": 101}]) == text.encode()[:1] + text.encode()[101:]
+
+
+def test_results_don_t_depend_on_broadcasts(docs, monkeypatch):
+    """With nothing small enough to broadcast, every join shuffles."""
+    rnd = random.Random(9)
+    parts = ["".join(rnd.choice("ab ") for _ in range(250)) for _ in range(4)]
+    rows = [(d, rnd.choice(parts) + rnd.choice(parts)) for d in range(40)] + [(50, None), (51, "")]
+    monkeypatch.setattr(suffix, "_small", lambda df, rows=0: df)
+    monkeypatch.setattr(lsm, "BROADCAST_IDS", 0)
+    assert sorted((tuple(r) for r in suffix.repeat_report(docs(rows)).collect()), key=str) == _repeats(rows)
+    assert sorted((tuple(r) for r in lsm.exact_duplicates(docs(rows)).collect()), key=str) == _exact(rows)
