@@ -102,14 +102,22 @@ class Model:
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 1200, seed: int = 7) -> Model:
     """Minimises the non-negative risk with the logistic loss; the prior is estimated on a third left out first."""
     rng = np.random.default_rng(seed)
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 0.02
-    p, u = ((np.clip((x - mean) / scale, -8, 8)).astype(np.float32) for x in (positive, unlabelled))
+    seen = np.flatnonzero((positive.max(0) > 0) | (unlabelled.max(0) > 0))  # most pairs of byte classes never occur
+    p, u = positive[:, seen].astype(np.float32), unlabelled[:, seen].astype(np.float32)
+    mean, scale = u.mean(0), u.std(0) + np.float32(0.02)
+    for x in (p, u):
+        x -= mean
+        x /= scale
+        np.clip(x, -8, 8, out=x)
     if prior is None:
         cut_p, cut_u = np.arange(len(p)) % 3 == 0, np.arange(len(u)) % 3 == 0
         w, b = _descend(p[~cut_p], u[~cut_u], 0.5, steps // 2, rng)
         prior = best_bin_prior(p[cut_p] @ w + b, u[cut_u] @ w + b)
     w, b = _descend(p, u, prior, steps, rng)
-    return Model(mean, scale, w, b, prior)
+    whole = np.zeros((3, positive.shape[1]), dtype=np.float32)
+    whole[1] = 1
+    whole[:, seen] = mean, scale, w
+    return Model(*whole, b, prior)
 
 
 def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
@@ -153,7 +161,7 @@ def _sample(docs: DataFrame, bound: int) -> np.ndarray:
 
     found = docs.select(F.xxhash64("id").alias("k"), F.encode(text_of("text"), "UTF-8").alias("body")).mapInArrow(scan, "k long, x binary").toArrow()
     order = np.argsort(found.column(0).to_numpy(), kind="stable")[:bound]  # the order of tasks must not matter
-    out = np.zeros((found.num_rows, FEATURES), dtype=np.float32)
+    out = np.zeros((found.num_rows, FEATURES), dtype=np.float16)
     at = 0
     for chunk in found.column(1).chunks:
         for x in chunk:
@@ -175,8 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     p = _sample(free.join(F.broadcast(wanted), "id", "left_semi"), positives)  # broadcast: about `positives` ids
     u = _sample(free.where(_share(free.count(), unlabelled, "id", 3)), unlabelled)
     if not len(p) or not len(u):
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 30.0, 1.0)
-    return train(p, u)
+        return Model(np.zeros(FEATURES, np.float32), np.ones(FEATURES, np.float32), np.zeros(FEATURES, np.float32), 30.0, 1.0)
+    model = train(p, u)
+    del p, u
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
