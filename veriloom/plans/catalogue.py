@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from veriloom.functions import identity, scan, text
+from veriloom.functions import export, identity, scan, text
 from veriloom.functions.words import POLISH, STOP_EN, STOP_PL, SUFFIXES
 from veriloom.operators import design, evidence, incremental, resolve, retrieval, screening, tables, verify
 from veriloom.plans import packs, session
+from veriloom.sources import payloads
+from veriloom.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -626,3 +628,49 @@ def j07_enrich(spark: SparkSession, sf: str) -> DataFrame:
     works = _t(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), F.lit("").alias("nation"), F.col("c_nationkey").cast("string").alias("nid"))
     lookup = _t(spark, sf, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("nid"), F.col("n_name").alias("nation"))
     return incremental.enrich(works, [("nid", lookup)]).select("c_custkey", "name", "nation")
+
+
+# ---- payloads, effects, exports, time windows
+
+
+@query("""
+    SELECT doc_id, '10.1000/' || CAST(doc_id AS VARCHAR) AS doi, CAST(1990 + doc_id % 30 AS INTEGER) AS year, CAST(1990 + doc_id % 30 AS VARCHAR) || '-0' || CAST(1 + doc_id % 9 AS VARCHAR) AS date,
+           source || ': ' || lang AS title, doc_id % 3 = 0 AS is_preprint, doc_id % 5 = 0 AS is_retracted FROM documents""")
+def s13_crossref_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents made into JSON payloads and read back by the parser."""
+    d = _t(spark, sf, "documents")
+    issued = F.struct(F.array(F.array((F.lit(1990) + F.col("doc_id") % 30).cast("int"), (F.lit(1) + F.col("doc_id") % 9).cast("int"))).alias("date-parts"))
+    update = F.when(F.col("doc_id") % 5 == 0, F.array(F.struct(F.lit("retraction").alias("type"), F.lit("10.1/r").alias("DOI"))))
+    body = F.to_json(F.struct(F.concat(F.lit("10.1000/"), F.col("doc_id").cast("string")).alias("DOI"), F.array("source").alias("title"), F.array("lang").alias("subtitle"), issued.alias("issued"), F.when(F.col("doc_id") % 3 == 0, "posted-content").otherwise("journal-article").alias("type"), update.alias("updated-by")))
+    return payloads.parse(d.select("doc_id", body.alias("body")), "crossref").select("doc_id", "doi", "year", "date", "title", "is_preprint", "is_retracted")
+
+
+@query(r"SELECT doc_id, array_to_string(list_slice(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 12), ' ') AS abstract FROM documents")
+def s04_inverted_abstract(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 12)
+    each = _t(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("k", "w")).groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("k")).alias("at"))
+    index = F.map_from_entries(F.collect_list(F.struct("w", "at")))
+    body = each.groupBy("doc_id").agg(F.to_json(F.struct(index.alias("abstract_inverted_index"))).alias("body"))
+    return body.select("doc_id", payloads.inverted_abstract(F.col("body")).alias("abstract"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, 'OR' AS metric, round(1 + l_discount, 2) AS estimate, round(1 - l_tax, 2) AS low, round(1 + l_discount + l_tax, 2) AS high FROM lineitem WHERE l_orderkey % 10 = 1""")
+def i27_effects(spark: SparkSession, sf: str) -> DataFrame:
+    """Effects written as text and read back."""
+    li = _t(spark, sf, "lineitem").where("l_orderkey % 10 = 1")
+    said = F.format_string("OR %.2f (95%% CI %.2f to %.2f)", F.lit(1) + F.col("l_discount"), F.lit(1) - F.col("l_tax"), F.lit(1) + F.col("l_discount") + F.col("l_tax"))
+    return li.select("l_orderkey", "l_linenumber", identity.parse_effect(said).alias("e")).select("l_orderkey", "l_linenumber", "e.metric", "e.estimate", "e.low", "e.high")
+
+
+@query(r"""SELECT s_suppkey, '@article{s' || CAST(s_suppkey AS VARCHAR) || ',' || chr(10) || '  title = {' || s_name || '},' || chr(10) || '  year = {2020},' || chr(10) || '  pages = {1--9}' || chr(10) || '}' AS entry FROM supplier""")
+def k04_bibtex(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.lit("")
+    s = _t(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key"), F.lit("rct").alias("design"), F.col("s_name").alias("title"), F.array().cast("array<string>").alias("authors"), F.lit(2020).alias("year"), none.alias("venue"), none.alias("volume"), none.alias("issue"), F.lit("1-9").alias("pages"), none.alias("doi"), none.alias("url"))
+    return s.select("s_suppkey", export.bibtex().alias("entry"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def z05_event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming window count, run as a batch."""
+    return watch.event_counts(_t(spark, sf, "events")).select(F.to_date("day").alias("day"), "event_type", "n")
