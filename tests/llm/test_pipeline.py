@@ -112,3 +112,12 @@ def test_packing_stage(runs):
             at += length
         assert at <= 1024
     assert len(bins) <= 1.02 * -(-sum(r["length"] for r in rows) // 1024) + 1
+
+
+def test_run_sweeps_behind_itself(spark, runs):
+    import corpus_pipeline
+    from veriloom.llm._base import _PATHS, mark
+
+    before = mark()
+    out = corpus_pipeline.run(spark, SF)
+    assert len(_PATHS) == before + 1 and out.count() == runs[-1][2].count()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -20,11 +22,32 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="veriloom-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return _OWN[app]
 
 
+_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/veriloom/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/veriloom/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def mark() -> int:
+    """A point in time for sweep()."""
+    return len(_PATHS)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes what was written to the shared folder since a mark, but for the last `keep` tables; frames that read it are void."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _PATHS[since : len(_PATHS) - keep]
+    for p in gone:
+        path = fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    _PATHS[since : len(_PATHS) - keep] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
