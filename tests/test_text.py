@@ -12,7 +12,7 @@ def test_normalize(one, raw, plain):
 
 def test_fold_and_slug(one):
     assert one(text.fold(F.lit("*The* [OR] “x”  Y"))) == "the or x y"
-    assert one(text.slug(F.lit("Żółć: a Test!"))) == "zołc-a-test" or one(text.slug(F.lit("Żółć: a Test!"))) == "zo-c-a-test"
+    assert one(text.slug(F.lit("Żółć: a Test!"))) == "zo-c-a-test"
     assert one(text.slug(F.lit("!!"))) == "x"
 
 
@@ -20,7 +20,7 @@ def test_strip_accents_keeps_barred_letters(one):
     assert one(text.strip_accents(F.lit("Łódź é"))) == "Łodz e"
 
 
-@pytest.mark.parametrize(("word", "stem"), [("cats", "cat"), ("is", "is"), ("nationalization", "national"[:7]), ("ities", "ities"[:3] if False else "iti"), ("studies", "stud"), ("ing", "ing")])
+@pytest.mark.parametrize(("word", "stem"), [("cats", "cat"), ("is", "is"), ("nationalization", "nationa"), ("ities", "iti"), ("studies", "stud"), ("ing", "ing")])
 def test_stem(one, word, stem):
     assert one(text.stem(F.lit(word))) == stem
 

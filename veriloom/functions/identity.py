@@ -94,11 +94,16 @@ def family_name(c: Column | str) -> Column:
     )
 
 
-def initials(c: Column | str, dots: bool = True) -> Column:
-    """Of the given names that follow the comma."""
-    given = F.regexp_extract(_text(c), r",\s*(.*)$", 1)
-    letters = F.transform(F.filter(F.split(given, r"[\s.\-]+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lit("." if dots else "")))
-    return F.array_join(letters, " " if dots else "")
+def initials(c: Column | str, dots: bool = True, space: bool = True) -> Column:
+    """Of the given names: after the comma, else all words but the last; of initials that stand last, each letter."""
+    a = F.trim(_text(c))
+    parts = F.split(a, r"\s+")
+    given = F.when(a.contains(","), F.trim(F.regexp_extract(a, ",(.*)$", 1))).otherwise(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), " "))
+    last = F.element_at(parts, -1)
+    letters = F.transform(F.filter(F.split(given, r"[\s-]+"), lambda w: w.rlike(r"^\p{L}")), lambda w: F.substring(w, 1, 1))
+    plain = F.when(~a.contains(",") & (F.size(parts) > 1) & last.rlike("^[A-Z]{1,3}$"), F.split(last, "")).otherwise(letters)
+    dot = "." if dots else ""
+    return F.array_join(F.transform(plain, lambda x: F.concat(x, F.lit(dot))), " " if space else "")
 
 
 def key_base(first_author: Column | str, year: Column | str, title: Column | str, venue: Column | str, ascii_only: bool = False) -> Column:
@@ -118,47 +123,70 @@ def key_suffix(n: Column) -> Column:
 # ---- references
 
 
+def _series(names: Column, before_last: Column | str) -> Column:
+    """Names joined by commas, the last one by something else."""
+    glue = F.lit(before_last) if isinstance(before_last, str) else before_last
+    n = F.size(names)
+    return F.when(n > 1, F.concat(F.array_join(F.slice(names, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), glue, F.element_at(names, -1))).otherwise(F.array_join(names, ""))
+
+
 def author_list(authors: Column, style: str) -> Column:
-    """"Family, Given" names joined as a style wants them: apa up to 20, vancouver and acs 6 then et al., ieee 6, harvard and chicago 3."""
-    most = {"apa": 20, "vancouver": 6, "acs": 6, "ieee": 6}.get(style, 3)
-    family = lambda a: F.substring_index(a, ",", 1)
-    shapes = {
-        "apa": lambda a: F.concat_ws(", ", family(a), F.nullif(initials(a), F.lit(""))),
-        "vancouver": lambda a: F.concat_ws(" ", family(a), F.nullif(initials(a, dots=False), F.lit(""))),
-        "ieee": lambda a: F.concat_ws(" ", F.nullif(initials(a), F.lit("")), family(a)),
-        "acs": lambda a: F.concat_ws(", ", family(a), F.nullif(initials(a), F.lit(""))),
-    }
-    shaped = F.transform(authors, shapes.get(style, lambda a: F.concat_ws(", ", family(a), F.nullif(initials(a), F.lit("")))))
-    joint = {"apa": ", & ", "ieee": ", and ", "vancouver": ", ", "acs": "; "}.get(style, " and ")
-    between = "; " if style == "acs" else ", "
-    n = F.size(shaped)
-    some = F.concat(F.array_join(F.slice(shaped, F.lit(1), F.lit(most)), between), F.lit(", et al."))
-    all_ = F.when(n > 1, F.concat(F.array_join(F.slice(shaped, F.lit(1), F.greatest(n - 1, F.lit(0))), between), F.lit(joint), F.element_at(shaped, -1))).otherwise(F.array_join(shaped, between))
-    return F.when(n == 0, "").when(n > most, some).otherwise(all_)
-
-
-def intext_author(authors: Column) -> Column:
-    family = lambda k: family_name(F.get(authors, F.lit(k)))
+    """Names as a style wants them: apa up to 20 then the last, vancouver and acs 6 and ieee 6 then et al., harvard and chicago 3 then et al. Organisations stay whole."""
     n = F.size(authors)
-    return F.when(n == 0, "Anonymous").when(n == 1, family(0)).when(n == 2, F.concat(family(0), F.lit(" & "), family(1))).otherwise(F.concat(family(0), F.lit(" et al.")))
+    short = style in ("vancouver", "acs")
+    shape = {
+        "ieee": lambda a: F.concat(initials(a), F.lit(" "), family_name(a)),
+        **dict.fromkeys(("vancouver", "acs"), lambda a: F.concat(family_name(a), F.lit(" "), initials(a, dots=False, space=False))),
+    }.get(style, lambda a: F.concat(family_name(a), F.lit(", "), initials(a)))
+    names = F.transform(authors, lambda a: F.when(is_organisation(a), a).otherwise(shape(a)))
+    first = F.concat(F.get(names, F.lit(0)), F.lit(" et al."))
+    if short:
+        out = F.concat(F.array_join(F.slice(names, 1, 6), ", "), F.when(n > 6, ", et al.").otherwise(""))
+    elif style == "ieee":
+        out = F.when(n > 6, first).otherwise(_series(names, F.when(n > 2, ", and ").otherwise(" and ")))
+    elif style == "apa":
+        out = _series(F.when(n > 20, F.array_append(F.slice(names, 1, 19), F.concat(F.lit("... "), F.element_at(names, -1)))).otherwise(names), ", & ")
+    else:
+        out = F.when(n > 3, first).otherwise(_series(names, " and "))
+    return F.when(n == 0, "").otherwise(out)
+
+
+def intext_author(authors: Column, venue: Column | str = "") -> Column:
+    name = lambda k: F.when(is_organisation(F.get(authors, F.lit(k))), F.get(authors, F.lit(k))).otherwise(family_name(F.get(authors, F.lit(k))))
+    n = F.size(authors)
+    none = F.substring(F.coalesce(F.nullif(_text(F.lit(venue) if isinstance(venue, str) else venue), F.lit("")), F.lit("Anon.")), 1, 40)
+    return F.when(n == 0, none).when(n == 1, name(0)).when(n == 2, F.concat(name(0), F.lit(" & "), name(1))).otherwise(F.concat(name(0), F.lit(" et al.")))
 
 
-def reference(style: str, authors: Column, year: Column, title: Column, venue: Column, volume: Column, pages: Column, doi: Column) -> Column:
-    """A reference in one of six styles; what is missing leaves no trace."""
+def reference(style: str, authors: Column, year: Column, title: Column, venue: Column, volume: Column, issue: Column, pages: Column, doi: Column, pmid: Column, arxiv: Column, url: Column, is_preprint: Column) -> Column:
+    """A reference in one of six styles; what is missing leaves no trace. Italics and bold in Markdown."""
     some = lambda c: F.nullif(_text(c.cast("string")), F.lit(""))
-    names = some(author_list(authors, style))
-    when = F.coalesce(some(year), F.lit("n.d."))
-    link = F.concat(F.lit("https://doi.org/"), some(norm_doi(doi)))
-    dash = F.regexp_replace(_text(pages), "-+", "–")
+    after = lambda before, c, end="": F.coalesce(F.concat(F.lit(before), some(c), F.lit(end)), F.lit(""))
+    raw = F.coalesce(some(author_list(authors, style)), some(venue), F.lit("Anon."))
+    names, name_of_work = F.rtrim(raw, F.lit(".")), F.rtrim(_text(title), F.lit("."))
+    when, where = F.coalesce(some(year), F.lit("n.d.")), _text(venue)
+    number = F.concat(_text(volume), after("(", issue, ")"))
+    page = F.trim(_text(pages))
+    page = F.when(page.rlike(r"^(\S+?)\s*[-–]\s*\1$"), F.regexp_extract(page, r"^(\S+?)\s*[-–]", 1)).otherwise(page)
+    long = style in ("apa", "harvard", "chicago")
+    ident = F.coalesce(F.concat(F.lit("https://doi.org/" if long else "doi:"), some(doi)), F.concat(F.lit("PMID: "), some(pmid)), F.concat(F.lit("arXiv:"), some(arxiv)), _text(url))
+    cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    if style == "apa":
+        source = cat("*", where, "*", after(", *", volume, "*"), after("(", issue, ")"), after(", ", page))
+        whole = cat(raw, " (", when, "). ", name_of_work, F.when(F.coalesce(is_preprint, F.lit(False)), " [Preprint]").otherwise(""), ". ", source, ". ", ident)
+        return F.trim(F.replace(whole, F.lit(". ."), F.lit(".")))
+    end = cat(after(". ", ident), ".")
+    if style == "harvard":
+        return cat(raw, " (", when, ") '", name_of_work, "', *", where, "*", after(", ", number), after(", pp. ", page), end)
+    if style == "chicago":
+        return cat(names, ". ", when, '. "', name_of_work, '." *', where, "*", after(" ", number), after(": ", page), end)
     if style == "vancouver":
-        place = F.concat(some(venue), F.lit(". "), when, F.coalesce(F.concat(F.lit(";"), some(volume)), F.lit("")), F.coalesce(F.concat(F.lit(":"), some(dash)), F.lit("")))
-        return F.concat_ws(". ", names, some(title), place, link)
-    if style == "ieee":
-        return F.concat_ws(", ", names, F.concat(F.lit("“"), some(title), F.lit(",”")), some(venue), F.concat(F.lit("vol. "), some(volume)), F.concat(F.lit("pp. "), some(dash)), when, link)
+        return cat(names, ". ", name_of_work, ". ", where, ". ", when, after(";", number), after(":", page), end)
     if style == "acs":
-        return F.concat_ws(" ", names, F.concat(some(title), F.lit(".")), some(venue), F.concat(when, F.lit(",")), some(volume), some(dash), link)
-    dated = F.concat_ws(" ", names, F.concat(F.lit("("), when, F.lit(").")))
-    return F.concat_ws(" ", dated, F.concat(some(title), F.lit(".")), F.concat(F.concat_ws(", ", some(venue), some(volume), some(dash)), F.lit(".")), link)
+        return cat(names, ". ", name_of_work, ". *", where, "* **", when, "**", after(", *", volume, "*"), after(", ", page), end)
+    if style == "ieee":
+        return cat(raw, ', "', name_of_work, '," *', where, "*", after(", vol. ", volume), after(", no. ", issue), after(", pp. ", page), ", ", when, after(", ", ident), ".")
+    raise ValueError(f"no style {style!r}")
 
 
 def resolve_reference(c: Column | str) -> Column:
@@ -179,12 +207,13 @@ def resolve_reference(c: Column | str) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind == "key", t).otherwise(norm_id(kind, rest)).alias("value"))
 
 
-EFFECT = r"(?i)\b(a?OR|a?RR|a?HR|IRR|SMD|MD|WMD|RD|d|g|r)\b\s*[=:]?\s*(-?\d+(?:[.,]\d+)?)\s*(?:[\[(;,]|\s)\s*(?:95\s*%\s*(?:CI|PU)\s*[:=,]?\s*)?(-?\d+(?:[.,]\d+)?)\s*(?:–|-|to|,|;)\s*(-?\d+(?:[.,]\d+)?)"
+#: Fixed value: how effects are written.
+EFFECT = r"(?i)\b(OR|RR|HR|IRR|aOR|aHR|aRR|MD|SMD|RD|d|g|r)\b\s*[=:]?\s*(-?\d+(?:[.,]\d+)?)\s*[,;(\[]?\s*(?:95\s*%\s*(?:CI|confidence interval|PU)\s*[:=,]?\s*)?(-?\d+(?:[.,]\d+)?)\s*(?:-|–|to|,|;|\.\.)\s*(-?\d+(?:[.,]\d+)?)"
 
 
 def parse_effect(c: Column | str) -> Column:
     """struct<metric, estimate, low, high> of an effect such as "OR 0.88 (95% CI 0.81-0.96)"; null unless low <= estimate <= high."""
-    t = normalize(c, nfkc=False)
+    t = F.translate(_text(c), "·−", ".-")
     value = lambda k: F.regexp_replace(F.regexp_extract(t, EFFECT, k), ",", ".").try_cast("double")
-    found = F.struct(F.regexp_extract(t, EFFECT, 1).alias("metric"), value(2).alias("estimate"), value(3).alias("low"), value(4).alias("high"))
+    found = F.struct(F.upper(F.regexp_extract(t, EFFECT, 1)).alias("metric"), value(2).alias("estimate"), value(3).alias("low"), value(4).alias("high"))
     return F.when((value(3) <= value(2)) & (value(2) <= value(4)), found)

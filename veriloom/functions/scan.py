@@ -208,7 +208,8 @@ def quote_at(quote: str, loc: str, pages: list[dict], abstract: str = "", least:
 
 # ---- Markdown drafts
 
-_REFERENCES = re.compile(r"^(references|bibliography|literature|sources|bibliografia|literatura|źródła|piśmiennictwo)\b", re.IGNORECASE)
+#: Fixed value: headings of reference lists.
+_REFERENCES = re.compile(r"(references|bibliography|works cited|sources|bibliografia|literatura|źródła|przypisy)\b", re.IGNORECASE)
 
 
 def _blank(m: re.Match) -> str:

@@ -56,30 +56,34 @@ def enrich(works: DataFrame, lookups: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def running_lines(lines: DataFrame, least: int = 3) -> DataFrame:
     """Lines without running heads and feet. lines: doc, page, place, line. A line whose form (digits as #) stands on at least max(3, half) of a document's pages goes, in documents of three pages and more."""
-    form = F.regexp_replace(F.trim("line"), r"\d+", "#")
+    form = F.regexp_replace(F.lower(F.trim(F.regexp_replace("line", r"\s+", " "))), r"\d+", "#")
     sized = lines.withColumn("form", form)
     pages = lines.groupBy("doc").agg(F.count_distinct("page").alias("pages"))
-    often = sized.where(F.length("form").between(4, 219)).groupBy("doc", "form").agg(F.count_distinct("page").alias("n")).join(pages, "doc")
-    gone = often.where((F.col("pages") >= 3) & (F.col("n") >= F.greatest(F.lit(float(least)), F.col("pages") / 2))).select("doc", "form")
+    often = sized.where(F.length(F.trim("line")).between(4, 219)).groupBy("doc", "form").agg(F.count_distinct("page").alias("n")).join(pages, "doc")
+    gone = often.where((F.col("pages") >= 3) & (F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("pages") / 2)))).select("doc", "form")
     return sized.join(gone, ["doc", "form"], "left_anti").drop("form")
 
 
-REFERENCE_HEAD = r"(?im)^\s*(references|bibliography|literature cited|bibliografia|literatura|piśmiennictwo)\s*$"
-APPENDIX_HEAD = r"(?im)^\s*(appendix|supplement\w*|annex|załącznik|aneks)\b"
+# Headings of reference lists and beginnings of appendices in full texts.
+REFERENCE_HEAD = r"(?imU)^\s*(references|reference list|bibliography|literature cited|works cited|bibliografia|piśmiennictwo|literatura)\s*:?\s*$"
+APPENDIX_HEAD = r"(?imU)^\s*(appendix\b|supplementary (material|appendix|tables?|figures?)\b|table s\d+\b|figure s\d+\b)"
 
 
 def cut_references(pages: DataFrame) -> DataFrame:
-    """Pages (doc, page, text) without the reference list: from the first such heading in the second half of a document on, but for pages that begin an appendix and what follows them."""
+    """Pages (doc, page, text) without the reference list: from the first such heading in the second half of a document on, but for pages that begin an appendix."""
     whole = W.partitionBy("doc")
     p = pages.withColumns({"count": F.count("*").over(whole), "place": F.row_number().over(whole.orderBy("page"))})
-    p = p.withColumn("head", F.min(F.when((F.col("place") > F.col("count") / 2) & F.col("text").rlike(REFERENCE_HEAD), F.col("place"))).over(whole))
-    p = p.withColumn("tail", F.min(F.when((F.col("place") > F.col("head")) & F.col("text").rlike(APPENDIX_HEAD), F.col("place"))).over(whole))
+    p = p.withColumn("head", F.min(F.when((F.col("place") > F.floor(F.col("count") / 2)) & F.col("text").rlike(REFERENCE_HEAD), F.col("place"))).over(whole))
     text = F.when(F.col("place") == F.col("head"), F.get(F.split("text", REFERENCE_HEAD, 2), F.lit(0))).otherwise(F.col("text"))
-    keep = F.col("head").isNull() | (F.col("place") <= F.col("head")) | (F.col("place") >= F.coalesce("tail", F.col("count") + 1))
+    keep = F.col("head").isNull() | (F.col("place") < F.col("head")) | ((F.col("place") == F.col("head")) & (F.trim(text) != "")) | ((F.col("place") > F.col("head")) & F.substring("text", 1, 300).rlike(APPENDIX_HEAD))
     return p.where(keep).select("doc", "page", text.alias("text"))
 
 
-STATEMENTS = {"funding": r"(?is)\b(?:funding|financial support|finansowanie)\b[:.\s]\s*(.{1,700}?)(?=\n\s*\n|\z)", "coi": r"(?is)\b(?:conflicts? of interests?|competing interests?|konflikt interesów)\b[:.\s]\s*(.{1,700}?)(?=\n\s*\n|\z)"}
+# How papers state funding and interests.
+STATEMENTS = {
+    "funding": r"(?isU)(?:^|\s)(?:funding|financial support|source of funding|finansowanie)\s*[:.]?\s+(.{20,700}?)(?=\s(?:conflicts? of interest|competing interests|declaration|author contributions|acknowledg|data availability|references)\b|$)",
+    "coi": r"(?isU)(?:^|\s)(?:conflicts? of interests?|competing interests?|declaration of interests?|disclosures?|konflikt interesów)\s*[:.]?\s+(.{10,700}?)(?=\s(?:funding|author contributions|acknowledg|data availability|references|ethics)\b|$)",
+}
 
 
 def find_statements(text: str = "text"):

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from veriloom.functions.identity import parse_effect
 from veriloom.functions.scan import find_quote
-from veriloom.functions.text import number_match, numbers, significant, words
+from veriloom.functions.text import number_match, numbers, significant
 
 RATIOS = ("OR", "AOR", "RR", "ARR", "HR", "AHR", "IRR")
 NOT_REPORTED = ("", "NR", "N/A", "NA", "-", "–")
@@ -57,22 +57,30 @@ def design_counts(designs: Column) -> Column:
 
 
 def check_cells(cells: DataFrame, sources: DataFrame, nfkc: bool = True) -> DataFrame:
-    """Adds score and problem to cells (key, value, quote): whether the source (key, text) holds the quote and the quote the value's numbers.
+    """Adds score and problem to cells (key, value, quote): whether the source (key, text, depth) holds the quote and the quote the value's numbers.
 
-    No value to report: 1. A quote found as it stands or nearly (0.9): 1, capped at 0.8 under six words; else its
-    similarity. A significant number that neither quote nor source has halves the score. The exact search comes first;
-    only what it leaves is aligned.
+    The score is the least of: 0.8 for a quote under six words; half the similarity of a quote that isn't found (under 0.9); 0.6
+    for numbers without a quote; 0.85 for a number in the source but not in the quote; 0.3, or 0.5 where the source isn't the full
+    text, for one in neither. Nothing to report scores 1. Without `depth`, sources count as full texts.
     """
-    joined = cells.join(sources.select("key", F.col("text").alias("source")), "key", "left")
+    if "depth" not in sources.columns:
+        sources = sources.withColumn("depth", F.lit("fulltext"))
+    joined = cells.join(sources.select("key", F.col("text").alias("source"), "depth"), "key", "left")
+    quoted = F.coalesce("quote", F.lit("")) != ""
     nothing = F.upper(F.trim(F.coalesce("value", F.lit("")))).isin(*NOT_REPORTED)
-    found = F.when(F.col("source").isNotNull() & (F.coalesce("quote", F.lit("")) != ""), find_quote("quote", "source"))
-    joined = joined.withColumns({"found": found, "have": numbers(F.concat_ws(" ", "quote", "source"), nfkc), "own": F.filter(numbers("value", nfkc), significant)})
+    joined = joined.withColumns({"found": F.when(quoted, find_quote("quote", "source")), "in_quote": numbers("quote", nfkc), "in_source": numbers("source", nfkc), "own": F.filter(numbers("value", nfkc), significant)})
+    absent = F.when(F.col("depth") == "fulltext", 0.3).otherwise(0.5)
+
+    def credit(n: Column) -> Column:
+        return F.when(quoted & (number_match(n, F.col("in_quote")) != "missing"), 1.0).when(number_match(n, F.col("in_source")) != "missing", F.when(quoted, 0.85).otherwise(1.0)).otherwise(absent)
+
+    joined = joined.withColumn("least", F.coalesce(F.array_min(F.transform("own", credit)), F.lit(1.0)))
     ratio = F.coalesce("found.similarity", F.lit(0.0))
-    base = F.when(ratio >= 0.9, F.when(F.size(words("quote", nfkc)) >= 6, 1.0).otherwise(0.8)).otherwise(F.round(ratio * 0.8, 3))
-    missing = F.exists("own", lambda n: number_match(n, F.col("have")) == "missing")
-    score = F.when(nothing, 1.0).otherwise(base * F.when(missing, 0.5).otherwise(1.0))
-    problem = F.when(nothing, "").when(F.col("source").isNull(), "unknown source").when(F.coalesce("quote", F.lit("")) == "", "no quote").when(ratio < 0.9, "quote not found").when(missing, "number not in source").otherwise("")
-    return joined.withColumns({"score": score, "problem": problem}).drop("found", "source", "have", "own")
+    brief = quoted & (F.size(F.split(F.trim("quote"), r"\s+")) < 6)
+    parts = [F.when(brief, 0.8).otherwise(1.0), F.when(quoted & (ratio < 0.9), ratio * 0.5).otherwise(1.0), F.when(~quoted & (F.size("own") > 0), 0.6).otherwise(1.0), F.col("least")]
+    score = F.when(nothing, 1.0).otherwise(F.round(F.least(*parts), 3))
+    problem = F.when(nothing, "").when(F.col("source").isNull(), "unknown source").when(quoted & (ratio < 0.9), "quote not found").when(F.col("least") < 0.6, "number not in source").when(~quoted & (F.size("own") > 0), "numbers without a quote").when(F.col("least") < 1, "number not in quote").when(brief, "short quote").otherwise("")
+    return joined.withColumns({"score": score, "problem": problem}).drop("found", "source", "depth", "in_quote", "in_source", "own", "least")
 
 
 def custom_cells(specs: DataFrame) -> DataFrame:

@@ -10,13 +10,13 @@ from veriloom.functions.scan import CITATION, ParseDraft, find_quote, parse_cita
 from veriloom.functions.text import _stop_array, number_match, numbers, significant, with_overlap, words
 from veriloom.functions.words import STOP_EN
 
-# Wording of causes, absolutes, hedges, animals, facts and conclusions, in English and Polish.
-CAUSAL = r"(?iU)\b(causes?|caused|causing|leads? to|led to|results? in|resulted in|prevents?|prevented|reduces?|reduced|increases?|increased|improves?|improved|lowers?|lowered|powoduj\w*|zapobiega\w*|zmniejsza\w*|zwiększa\w*|poprawia\w*|obniża\w*)\b"
-ABSOLUTE = r"(?iU)\b(proves?|proven|definitively|always|never|undoubtedly|certainly|guarantees?|no doubt|udowodni\w*|zawsze|nigdy|niewątpliwie|na pewno|gwarantuj\w*)\b"
-HEDGED = r"(?iU)\b(may|might|could|suggests?|suggested|associated|association|appears?|seems?|likely|possibly|probably|correlat\w*|uncertain|unclear|może|mogą|sugeruj\w*|związan\w*|prawdopodobn\w*|wydaje się)\b"
-ANIMAL = r"(?iU)\b(mice|mouse|rats?|murine|animals?|in vitro|cell lines?|preclinical|zebrafish|mysz\w*|szczur\w*|zwierz\w*|przedklinicz\w*)\b"
-FACTUAL = r"(?iU)\b(study|studies|trials?|meta-analys[ie]s|reviews?|patients|participants|adults|evidence|found|showed|reported|risk|effects?|percent|badani\w*|pacjen\w*|uczestni\w*|dowod\w*|ryzyk\w*|wykaza\w*)\b"
-CONCLUSION = r"(?iU)^\s*(conclusions?|summary|limitations?|wnioski|podsumowanie|ograniczenia)"
+# Wording of causes, absolutes, hedges, animals, statements of fact and conclusions, in English and Polish.
+CAUSAL = r"(?iU)\b(causes?|caused|causing|leads? to|results? in|prevents?|prevented|cures?|cured|protects? against|eliminates?|reverses?|boosts?|improves?|reduces?|increases?|decreases?|lowers?|raises?|powoduj\w*|spowodowa\w*|prowadzi do|zapobieg\w*|lecz[yąy]\w*|chroni\w* przed|zmniejsz\w*|zwiększ\w*|obniż\w*|podnos\w*|popraw\w*|redukuj\w*|wywołuj\w*)\b"
+ABSOLUTE = r"(?iU)\b(proves?|proven|definitely|undeniabl\w*|undoubtedly|always|never|guarantee\w*|conclusively|there is no doubt|beyond doubt|udowodni\w*|niezaprzeczaln\w*|bez wątpienia|zawsze|nigdy|gwarantuj\w*|niewątpliwie|ponad wszelką wątpliwość)\b"
+HEDGED = r"(?iU)\b(associated|association|linked|correlat\w*|may|might|could|suggest\w*|appears?|wiąż\w*|związ\w*|skorel\w*|może|mogą|sugeruj\w*|wydaje się|prawdopodobn\w*)\b"
+ANIMAL = r"(?iU)\b(mice|mouse|rats?|animals?|murine|rodents?|in vitro|cells?|cell lines?|zebrafish|myszy|myszach|szczur\w*|zwierz\w*|komór\w*|in vivo)\b"
+EMPIRICAL = r"(?iU)\b(stud(y|ies)|trials?|evidence|meta-analys\w*|research|found|showed|shown|demonstrat\w*|reported|associated|risk|rates?|effect|significant\w*|increase\w*|decrease\w*|reduc\w*|higher|lower|more likely|less likely|prevalence|incidence|percent|badani\w*|metaanaliz\w*|wykaza\w*|stwierdz\w*|wyniki|ryzyk\w*|skuteczn\w*|częstoś\w*|odsetek|istotn\w*|zwiększ\w*|zmniejsz\w*|wyższ\w*|niższ\w*)\b"
+CONCLUSION = r"(?iU)(conclusion|summary|bottom line|take[- ]home|implications|discussion of limits|wnioski|podsumowanie|konkluzj|zakończenie)"
 # The score's parts and their weights.
 WEIGHTS = {"support": 30, "numbers": 20, "quotes": 10, "coverage": 20, "calibration": 10, "balance_scope": 10, "evidence_table": 5}
 SEVERITIES = ("hard", "error", "warn", "info")
@@ -86,9 +86,9 @@ def verify(drafts: DataFrame, sources: DataFrame, causal_designs: list[str], nfk
     loose = s.where(~F.col("cited")).select("draft", "position", "line", "sentence", F.explode("numbers").alias("n"))
     issues += [_issue(n.where("credit < 1"), F.when(F.col("credit") == 0, "error").otherwise("warn"), "numbers", F.concat(F.lit("number not in the cited sources: "), "raw")), _issue(loose, "error", "numbers", F.concat(F.lit("number without a citation: "), "n.raw"))]
     # coverage and calibration
-    factual = ~F.col("in_table") & ~F.col("plain").endswith("?") & (F.col("plain").rlike(FACTUAL) | (F.size("numbers") > 0)) & ~(F.col("section").rlike(CONCLUSION) & (F.size("numbers") == 0))
-    s = s.withColumn("factual", factual)
-    issues.append(_issue(s.where(F.col("factual") & ~F.col("cited")), "warn", "coverage", "factual sentence without a citation"))
+    empirical = ~F.col("in_table") & ~F.col("plain").endswith("?") & (F.col("plain").rlike(EMPIRICAL) | (F.size("numbers") > 0)) & ~(F.col("section").rlike(CONCLUSION) & (F.size("numbers") == 0))
+    s = s.withColumn("empirical", empirical)
+    issues.append(_issue(s.where(F.col("empirical") & ~F.col("cited")), "warn", "coverage", "statement of fact without a citation"))
     causal = F.col("plain").rlike(CAUSAL) & ~F.col("plain").rlike(HEDGED) & (F.col("may_cause") == 0)
     absolute = F.col("plain").rlike(ABSOLUTE) & (F.col("may_rule") == 0)
     animals = F.col("no_humans") & ~F.col("plain").rlike(ANIMAL)
@@ -101,7 +101,7 @@ def verify(drafts: DataFrame, sources: DataFrame, causal_designs: list[str], nfk
     shallow = depth.where("full < 0.5 * cited_keys").select("draft", F.lit("info").alias("severity"), F.lit("depth").alias("check"), F.lit("less than half of the sources were read in full").alias("message"), F.lit(0).alias("line"), F.lit("").alias("text"))
     found = found.unionByName(shallow)
     # score
-    parts = s.groupBy("draft").agg(F.count_if(F.col("factual") & ~F.col("cited")).alias("uncited"), F.count_if("factual").alias("factual"), F.count_if(F.col("cited") & ~F.col("in_table")).alias("cited_sentences"))
+    parts = s.groupBy("draft").agg(F.count_if(F.col("empirical") & ~F.col("cited")).alias("uncited"), F.count_if("empirical").alias("empirical"), F.count_if(F.col("cited") & ~F.col("in_table")).alias("cited_sentences"))
     parts = parts.join(best.groupBy("draft").agg(F.sum("support").alias("support_sum"), F.count("*").alias("supported"), F.sum("over").alias("over")), "draft", "left")
     credit = n.select("draft", "credit").unionByName(loose.select("draft", F.lit(0.0).alias("credit")))
     parts = parts.join(credit.groupBy("draft").agg(F.sum("credit").alias("credit"), F.count("*").alias("checked")), "draft", "left")
@@ -116,7 +116,7 @@ def score(parts: DataFrame) -> DataFrame:
         "support": F.col("support_sum") / F.nullif("supported", F.lit(0)),
         "numbers": F.col("credit") / F.nullif("checked", F.lit(0)),
         "quotes": F.col("right") / F.nullif("quotes", F.lit(0)),
-        "coverage": F.lit(1.0) - F.col("uncited") / F.nullif("factual", F.lit(0)),
+        "coverage": F.lit(1.0) - F.col("uncited") / F.nullif("empirical", F.lit(0)),
         "calibration": F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(2.0) * F.col("over") / F.nullif("cited_sentences", F.lit(0))),
     }
     for more in ("balance_scope", "evidence_table"):

@@ -164,9 +164,9 @@ def t20_year_of(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"""
     WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
-    s AS (SELECT *, regexp_replace(trim(line), '\d+', '#', 'g') AS form FROM l),
+    s AS (SELECT *, regexp_replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), '\d+', '#', 'g') AS form FROM l),
     p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM l GROUP BY source),
-    g AS (SELECT s.source, form FROM s JOIN p USING (source) WHERE length(form) BETWEEN 4 AND 219 GROUP BY s.source, form, pages HAVING pages >= 3 AND count(DISTINCT doc_id) >= greatest(3.0, pages / 2.0))
+    g AS (SELECT s.source, form FROM s JOIN p USING (source) WHERE length(trim(line)) BETWEEN 4 AND 219 GROUP BY s.source, form, pages HAVING pages >= 3 AND count(DISTINCT doc_id) >= greatest(3, pages // 2))
     SELECT source, CAST(count(*) AS BIGINT) AS lines FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.source = s.source AND g.form = s.form) GROUP BY source""")
 def t22_running_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = _t(spark, sf, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
@@ -222,7 +222,7 @@ def i18_references(spark: SparkSession, sf: str) -> DataFrame:
     """Each document as a reference in six styles."""
     d = _t(spark, sf, "documents").withColumn("authors", F.array(F.concat(F.initcap("source"), F.lit(", A. B.")), F.concat(F.initcap("lang"), F.lit(", C."))))
     title, year = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60), (F.lit(2000) + F.col("doc_id") % 20)
-    made = [identity.reference(s, F.col("authors"), year, title, F.col("source"), F.lit("7"), F.lit("1-9"), F.lit("10.1000/1")).alias(s) for s in ("apa", "vancouver", "ieee", "acs", "harvard", "chicago")]
+    made = [identity.reference(s, F.col("authors"), year, title, F.col("source"), F.lit("7"), F.lit("2"), F.lit("1-9"), F.lit("10.1000/1"), F.lit(""), F.lit(""), F.lit(""), F.lit(False)).alias(s) for s in ("apa", "vancouver", "ieee", "acs", "harvard", "chicago")]
     return d.select("doc_id", *made, identity.intext_author(F.col("authors")).alias("in_text"))
 
 
