@@ -75,14 +75,13 @@ def stem(word: Column) -> Column:
     return out.otherwise(F.substring(word, 1, 7))
 
 
-def _stop_array(words_: frozenset[str]) -> Column:
-    return F.array(*[F.lit(w) for w in sorted(words_)])
+#: In lists of this length, isin is a look-up in a set.
+STOP = sorted(STOP_EN | STOP_PL)
 
 
 def content_tokens(c: Column | str, nfkc: bool = True) -> Column:
     """Stems of the words that are no stop words and longer than a letter."""
-    stop = _stop_array(STOP_EN | STOP_PL)
-    kept = F.filter(words(c, nfkc), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    kept = F.filter(words(c, nfkc), lambda w: (F.length(w) > 1) & ~w.isin(*STOP))
     return F.transform(kept, stem)
 
 
@@ -90,8 +89,8 @@ def detect_lang(c: Column | str, nfkc: bool = True) -> Column:
     """`pl` if more Polish than English marks stand in the first 20,000 characters, else `en`."""
     w = words(F.substring(F.coalesce(_col(c), F.lit("")), 1, 20000), nfkc)
     count = lambda test: F.size(F.filter(w, test))
-    english = count(lambda x: F.array_contains(_stop_array(STOP_EN), x))
-    polish = count(lambda x: F.array_contains(_stop_array(STOP_PL), x)) + count(lambda x: x.rlike(f"[{POLISH}]"))
+    english = count(lambda x: x.isin(*sorted(STOP_EN)))
+    polish = count(lambda x: x.isin(*sorted(STOP_PL))) + count(lambda x: x.rlike(f"[{POLISH}]"))
     return F.when(polish > english, "pl").otherwise("en")
 
 

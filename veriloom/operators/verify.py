@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from veriloom.functions.scan import CITATION, ParseDraft, find_quote, parse_citations
-from veriloom.functions.text import _stop_array, number_match, numbers, significant, with_overlap, words
+from veriloom.functions.text import number_match, numbers, significant, with_overlap, words
 from veriloom.functions.words import STOP_EN
 
 # Wording of causes, absolutes, hedges, animals, statements of fact and conclusions, in English and Polish.
@@ -171,4 +171,4 @@ def cosine(a: Column, b: Column) -> Column:
 def detect_language_votes(text: Column) -> Column:
     """Shares of English stop words, for the cross-language rule."""
     w = words(text, nfkc=False)
-    return F.size(F.filter(w, lambda x: F.array_contains(_stop_array(STOP_EN), x))) / F.nullif(F.size(w), F.lit(0))
+    return F.size(F.filter(w, lambda x: x.isin(*sorted(STOP_EN)))) / F.nullif(F.size(w), F.lit(0))

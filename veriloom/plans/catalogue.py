@@ -119,8 +119,7 @@ def t05_words_lang(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT doc_id, unnest({_tokens_sql("text")}) AS stem FROM documents) GROUP BY stem""")
 def t07_content_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """The stem table of the corpus: words are counted per document first, and each distinct word is stemmed once a document."""
-    stop = text._stop_array(STOP_EN | STOP_PL)
-    w = F.filter(text.words("text", nfkc=False), lambda x: (F.length(x) > 1) & ~F.array_contains(stop, x))
+    w = F.filter(text.words("text", nfkc=False), lambda x: (F.length(x) > 1) & ~x.isin(*text.STOP))
     each = _t(spark, sf, "documents").select("doc_id", F.explode(w).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     return each.groupBy(text.stem(F.col("w")).alias("stem"), "doc_id").agg(F.sum("n").alias("n")).groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
