@@ -80,7 +80,10 @@ def j11_exact_quote(spark: SparkSession, sf: str) -> DataFrame:
     run = lambda w, k: F.xxhash64(F.get(w, k), F.get(w, k + 1), F.get(w, k + 2))
     long = quotes.where(F.size("w") >= 5).select("item_id", "q", run(F.col("w"), F.lit(1)).alias("run"))
     words = F.split("t", " ")
-    runs = docs.where(F.size(words) >= 3).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda k: run(words, k)))).alias("run"))
+    n = F.size(words)
+    tail = lambda k: F.slice(words, F.lit(k), F.greatest(n - k + 1, F.lit(0)))
+    threes = F.zip_with(F.zip_with(words, tail(2), lambda a, b: F.named_struct(F.lit("a"), a, F.lit("b"), b)), tail(3), lambda p, c: F.xxhash64(p["a"], p["b"], c))  # no lambda refers to the whole text
+    runs = docs.where(n >= 3).select("doc_id", F.explode(F.array_distinct(F.slice(threes, F.lit(1), n - 2))).alias("run"))
     pairs = runs.join(long, "run").select("doc_id", "item_id", "q").distinct()  # the texts stay behind until a pair is a candidate
     found = pairs.join(docs, "doc_id").where(F.expr("instr(t, q) > 0"))
     short = docs.join(F.broadcast(quotes.where(F.size("w") < 5).select("item_id", "q")), F.expr("instr(t, q) > 0"))  # a stated set of short quotes
