@@ -83,10 +83,25 @@ def locate_quote(quote: str | None, text: str | None, threshold: float = 0.88) -
     return _locate(folded(quote).strip(" .\"'"), folded(text), threshold)
 
 
+def _parts(q: str) -> list[str]:
+    return [p for p in (x.strip(" .") for x in re.split(r"\.\.\.|…", q)) if len(p) > 3]
+
+
+def _anchors(q: str) -> list[str]:
+    return sorted(set(re.findall(r"\w{5,}", q)), key=lambda w: (-len(w), w))[:4] or q.split()[:2]
+
+
+def first_anchors(quote: str | None) -> list[str]:
+    """A folded text without any of these has no place for the quote: those of the first part of an ellipsis, else of the whole quote."""
+    q = folded(quote).strip(" .\"'")
+    parts = _parts(q)
+    return _anchors(parts[0] if len(parts) > 1 else q)
+
+
 def _locate(q: str, t: str, threshold: float) -> tuple[float, int]:
     if not q or not t:
         return 0.0, -1
-    parts = [p for p in (x.strip(" .") for x in re.split(r"\.\.\.|…", q)) if len(p) > 3]
+    parts = _parts(q)
     if len(parts) > 1:
         at, worst = 0, 1.0
         for part in parts:
@@ -102,9 +117,8 @@ def _locate(q: str, t: str, threshold: float) -> tuple[float, int]:
 
 def _windows(q: str, t: str) -> Iterator[int]:
     """Starts of windows that hold one of the quote's longest words where the quote has it; starts in one ten count once."""
-    anchors = sorted(set(re.findall(r"\w{5,}", q)), key=lambda w: (-len(w), w))[:4] or q.split()[:2]
     tried = set()
-    for word in anchors:
+    for word in _anchors(q):
         for hit in re.finditer(re.escape(word), t):
             low = max(0, hit.start() - q.find(word) - 20)
             if low // 10 not in tried:
@@ -299,6 +313,16 @@ def find_quote(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([locate_quote(q, t) for q, t in zip(quote, text, strict=True)], columns=["similarity", "at"])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def quote_anchors(quote: pd.Series) -> pd.Series:
+    return quote.map(first_anchors)
+
+
+@F.pandas_udf(T.StringType())
+def folded_text(text: pd.Series) -> pd.Series:
+    return text.map(folded)
+
+
 @F.pandas_udf(T.ArrayType(CITATION_TYPE))
 def parse_citations(text: pd.Series) -> pd.Series:
     return text.map(citations)
