@@ -146,10 +146,14 @@ def test_scan_equals_the_library(size):
             whole = before + t[a:b] + t[b : b + model.longest]
             parts.append((whole, len(before), len(before) + b - a))
             matrices.append(model.transfer(*parts[-1], k == 0, k == n - 1))
-        states, _ = pieces.fix_states(matrices)
+        nodes = [pieces.product(matrices[k : k + 3]) for k in range(0, n, 3)]  # a tree of two levels
+        exit_, score = pieces.best_exit(pieces.product(nodes))
+        cuts = pieces.inner_states(nodes, pieces.START, exit_)
+        states = [s for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) for s in pieces.inner_states(matrices[3 * k : 3 * k + 3], a, b)[: -1 if k < len(nodes) - 1 else None]]
+        assert score == pytest.approx(float(model.scores[sp.encode(text)].sum()))
         ids = b"".join(model.trace(*p, states[k], states[k + 1]) for k, p in enumerate(parts))
         assert np.frombuffer(ids, "<i4").tolist() == sp.encode(text), text
-        assert model.encode_paths(t)[0] == ids if t else ids == b""
+        assert model.encode_run(t)[0] == ids if t else ids == b""
 
 
 def test_matrix_product_is_associative():

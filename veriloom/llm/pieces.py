@@ -1,16 +1,21 @@
-"""SentencePiece BPE encoding and decoding with a max-plus parallel scan over chunks of giant documents.
+"""SentencePiece BPE encoding and decoding with a max-plus parallel scan over chunks of documents.
 
 A sequence of pieces is the model's encoding of a text exactly if every two neighbours, taken alone, encode to
 themselves. So an encoding is a path of pieces over text positions, on which each step to a compatible piece adds the
 piece's score and any other step costs minus infinity: a max-plus product. A document is cut into chunks anywhere. A state at
 a cut is the last piece that begins before it, by its ends relative to the cut; a chunk yields the transfer matrix from
-the states at its first cut to those at its last one. Matrices are combined associatively along the document, which fixes the
-states of all cuts, and every chunk is then traced back on its own. No piece joins a character to a meta space after it, so
-paths meet at such places: between the first and the last of them a chunk's matrix has rank one and is walked once.
+the states at its first cut to those at its last one. Matrices are multiplied up a tree of FAN children a node, no task of
+which holds a whole document; the root's best path gives the states of its two cuts, and every node hands its children
+theirs, down to the chunks, each of which is traced back on its own. No piece joins a character to a meta space after
+it, so paths meet at such places: between two of them a segment's matrix has one entry, its path is walked once and
+remembered by the segment's text, and a chunk's matrix is the product of its segments'. Documents of one chunk have no cut
+and need no tree. The library is asked for the pieces and their scores alone, never for an encoding.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriloom.llm._base import importable, partitions, text_of, written
+from veriloom.llm._base import importable, partitions, release, text_of, written
 
 SPACE = "▁"
 #: Characters of a chunk.
 CHUNK = 1 << 15
-#: Pairs of pieces that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Children of a node of the tree that multiplies a document's matrices.
+FAN = 32
+#: Pairs of pieces, and segments, that a worker remembers before it lets the older ones go.
+REMEMBERED, SEGMENTS = 300_000, 200_000
 START = (0, 0)
 UNKNOWN = -1
 
@@ -63,13 +70,21 @@ class Pieces:
         inside = {c for p in self.id if len(p) > 1 for c in p}
         self.line = "\n" not in inside  # no piece joins a line end to anything
         self.scores = np.array([0.0 if sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) else sp.get_score(k) for k in range(len(sp))])
-        self.sp = sp
-        self.pairs: dict[int, bool] = {}
-        self.own: dict[str, bool] = {}
-
-    def merge(self, text: str) -> list[str]:
-        """BPE of a short text by its definition: the best-scored neighbours merge first, the leftmost of equals."""
-        parts = list(text)
+        self.ends = {p[k:] for p in self.id for k in range(len(p))}  # what a piece can end with
+        if any(SPACE in p.lstrip(SPACE) for p in self.id):
+            raise ValueError("a piece joins a character to a meta space after it")
+        self.segment = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if self.line else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.known: dict[str, bytes] = {}  # ids of segments: those asked for lately, and before
+        self.before: dict[str, bytes] = {}
+        self.pairs: dict[str, dict] = {}
+        self.asked = 0
+        self.one = {p: np.array([k], dtype="<i4").tobytes() for p, k in self.id.items()}
+        self.own: dict[str, tuple[str, str] | None] = {}
+        self.odd: set[str] = set()  # pieces that score higher than a part of theirs, or never come about
+
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """BPE of a short text by its definition (the best-scored neighbours merge first, the leftmost of equals), and the last merge."""
+        parts, split = list(text), None
         while len(parts) > 1:
             best, at = None, -1
             for k in range(len(parts) - 1):
@@ -78,66 +93,103 @@ class Pieces:
                     best, at = s, k
             if best is None:
                 break
+            split = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def reachable(self, piece: str) -> bool:
-        ok = self.own.get(piece)
-        if ok is None:
-            ok = self.own[piece] = self.merge(piece) == [piece]
-        return ok
+        return parts, split
+
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """What a piece is merged from, None if it never comes about; characters are made of nothing."""
+        found = self.own.get(piece)
+        if found is None and piece not in self.own:
+            parts, split = self.merge(piece)
+            found = (split or ("", "")) if parts == [piece] else None
+            if found is None or (split and any(self.merged(x) <= self.score[piece] or (len(x) > 1 and (self.halves(x) is None or x in self.odd)) for x in split)):
+                self.odd.add(piece)
+            self.own[piece] = found
+        return found
+
+    def merged(self, piece: str) -> float:
+        """When a piece comes about: higher is earlier, characters are there from the start."""
+        return self.score[piece] if len(piece) > 1 else np.inf
 
     def compatible(self, a: str, b: str) -> bool:
-        """Whether a and b, side by side, encode to themselves. Characters that are no pieces go with anything."""
+        """Whether a and b, side by side, encode to themselves. Characters that are no pieces go with anything.
+
+        At every moment of the merges inside a and b, their neighbours at the seam (down a's right side and b's left side) must not
+        merge with each other before one of them merges with its own half.
+        """
         if a not in self.id or b not in self.id:
-            return True
-        key = self.id[a] << 32 | self.id[b]
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > REMEMBERED:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(a + b) == [a, b]
-        return ok
+            return bool(a) or self.halves(b) is not None
+        self.asked += 1
+        if self.asked > REMEMBERED:
+            self.asked = 0
+            self.pairs.clear()
+        return self.halves(a) is not None and self.halves(b) is not None and self._seam_holds(a, b)
+
+    def _seam_holds(self, a: str, b: str) -> bool:
+        until_a = until_b = -np.inf  # when the neighbours are gone
+        whole = [a, b]
+        while True:
+            s = self.score.get(a + b)
+            if s is not None:
+                self.halves(a + b)
+            if not self.odd.isdisjoint((a, b, a + b)):  # merged out of order: by the definition
+                return self.merge("".join(whole))[0] == whole
+            if s is not None and s > until_a and s >= until_b:
+                return False
+            late_a, late_b = self.merged(a), self.merged(b)
+            if len(b) > 1 and late_b <= late_a:  # of equals, the left one is merged first
+                until_b, b = late_b, self.halves(b)[0]
+            elif len(a) > 1:
+                until_a, a = late_a, self.halves(a)[1]
+            else:
+                return True
 
     def forced(self, left: str, right: str) -> bool:
         """Whether every encoding ends a piece between two characters."""
         return (right == SPACE and left != SPACE) or (self.line and "\n" in (left, right))
 
     def forward(self, text: str, begin: int, end: int, last: str | None) -> dict[int, tuple[int, str, float]]:
-        """The paths from `begin`, after the piece `last`, that step from places before `end`: place -> (place before, piece, score so far)."""
+        """The paths from `begin`, after the piece `last`, that step from places before `end`: place -> (place before, piece, score so far).
+
+        One step at most into a place is compatible with the path before it, so the first one found is the best one.
+        """
         reached: dict[int, tuple[int, str, float]] = {begin: (-1, last or "", 0.0)}
-        n, longest, ids = len(text), self.longest, self.id
-        todo = [begin]
-        at = begin
-        seen = {begin}
-        while todo:
-            at = min(todo)
-            todo.remove(at)
-            if at >= end:
-                continue
-            _, before, total = reached[at]
-            for size in range(1, min(longest, n - at) + 1):
-                piece = text[at : at + size]
+        ids, ends, scores, longest = self.id, self.ends, self.score, self.longest
+        after = {begin: self.after(last or "")}
+        for to in range(begin + 1, min(len(text), end + longest - 1) + 1):
+            for at in range(min(to, end) - 1, max(begin, to - longest) - 1, -1):
+                piece = text[at:to]
                 if piece in ids:
-                    if not self.reachable(piece) or (before and not self.compatible(before, piece)):
+                    good = after.get(at)
+                    if good is None:
                         continue
-                    s = self.score[piece]
-                elif size == 1:
-                    s = 0.0
-                else:
-                    continue
-                old = reached.get(at + size)
-                if old is None or total + s > old[2]:
-                    reached[at + size] = (at, piece, total + s)
-                    if at + size not in seen:
-                        seen.add(at + size)
-                        todo.append(at + size)
+                    then = good.get(piece)
+                    if then is None:
+                        then = good[piece] = self.compatible(reached[at][1], piece) and self.after(piece)
+                    if then:
+                        reached[to] = (at, piece, reached[at][2] + scores[piece])
+                        after[to] = self.after(piece)
+                        break
+                elif at == to - 1:
+                    if at in reached:
+                        reached[to] = (at, piece, reached[at][2])
+                        after[to] = self.after(piece)
+                        break
+                elif piece not in ends:
+                    break
         return reached
 
+    def after(self, piece: str) -> dict:
+        """What is known of the pieces that may follow a piece ("": at a forced place): False, or what is known of their followers."""
+        found = self.pairs.get(piece)
+        if found is None:
+            found = self.pairs[piece] = {None: False}
+        return found
+
     def bytes_of(self, piece: str) -> bytes:
-        k = self.id.get(piece)
-        ids = [k] if k is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return np.array(ids, dtype="<i4").tobytes()
+        known = self.one.get(piece)
+        return known if known is not None else np.array([self.byte[b] for b in piece.encode("utf-8", "surrogatepass")], dtype="<i4").tobytes()
 
     def walk(self, reached: dict[int, tuple[int, str, float]], begin: int, at: int) -> list[str]:
         out = []
@@ -146,23 +198,43 @@ class Pieces:
             out.append(piece)
         return out[::-1]
 
-    def encode_paths(self, text: str) -> tuple[bytes, float]:
-        """encode_run by paths alone."""
-        reached = self.forward(text, 0, len(text), None)
-        return b"".join(map(self.bytes_of, self.walk(reached, 0, len(text)))), reached[len(text)][2]
+    def segment_ids(self, segment: str) -> bytes:
+        """Ids of a text that begins and ends at forced places with none between: forward() from one to the other, traced back."""
+        found = self.before.get(segment)
+        if found is None:
+            ends, ids = self.ends, self.id
+            came, pieces, good = [0], [""], [self.after("")]
+            for to in range(1, len(segment) + 1):
+                at = to - 1
+                while True:
+                    piece = segment[at:to]
+                    then = good[at].get(piece)
+                    if then is None:
+                        then = good[at][piece] = (self.compatible(pieces[at], piece) if piece in ids else at == to - 1) and self.after(piece)
+                    if then:
+                        came.append(at)
+                        pieces.append(piece)
+                        good.append(then)
+                        break
+                    if not at or piece not in ends:
+                        raise ValueError(f"no path into place {to} of {segment!r}")
+                    at -= 1
+            out, at, one = [], len(segment), self.one
+            while at:
+                piece = pieces[at]
+                out.append(one.get(piece) or self.bytes_of(piece))
+                at = came[at]
+            found = b"".join(out[::-1])
+        if len(self.known) > SEGMENTS:
+            self.known, self.before = {}, self.known
+        self.known[segment] = found
+        return found
 
     def encode_run(self, text: str) -> tuple[bytes, float]:
-        """(ids as little-endian 32-bit, score) of a text that begins and ends at forced places: there is one path, which the library walks."""
-        if not text:
-            return b"", 0.0
-        if text[0] == SPACE:  # which the library puts there itself
-            ids = self.sp.encode(text[1:]) if len(text) > 1 else [self.id[SPACE]]
-        elif self.line:  # a line end keeps the library's own prefix apart
-            ids = self.sp.encode("\n" + text)[2:]
-        else:
-            return self.encode_paths(text)
-        found = np.array(ids, dtype="<i4")
-        return found.tobytes(), float(self.scores[found].sum())
+        """(ids as little-endian 32-bit, score) of a text that begins and ends at forced places: the product of its segments."""
+        get, other = self.known.get, self.segment_ids
+        found = b"".join([get(x) or other(x) for x in self.segment.findall(text)])
+        return found, float(self.scores[np.frombuffer(found, dtype="<i4")].sum())
 
     # ---- one chunk of a document: text[begin:end] with what its pieces can reach on either side
 
@@ -279,45 +351,59 @@ def multiply(a: dict, b: dict) -> dict:
     return out
 
 
-def fix_states(matrices: list[dict]) -> tuple[list[tuple[int, int]], float]:
-    """The states of all cuts on the best path from START, and its score, from the chunks' matrices: prefix products, then back."""
-    prefix = [{START: {START: 0.0}}]
-    for m in matrices:
-        prefix.append(multiply(prefix[-1], m))
-    last = prefix[-1].get(START)
-    if not last:
+def product(matrices: list[dict]) -> dict:
+    """The product of neighbouring matrices, multiplied in pairs, then pairs of pairs."""
+    while len(matrices) > 1:
+        matrices = [multiply(*matrices[k : k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def best_exit(matrix: dict) -> tuple[tuple[int, int], float]:
+    """The last state of a whole document's best path, and its score."""
+    row = matrix.get(START)
+    if not row:
         raise ValueError("no path through the chunks")
-    state = max(last, key=lambda k: (last[k], k))
-    total, states = last[state], [state]
-    for m, p in zip(reversed(matrices), reversed(prefix[:-1]), strict=True):
-        come = {k: x + m[k][state] for k, x in p[START].items() if state in m.get(k, {})}
-        state = max(come, key=lambda k: (come[k], k))
-        states.append(state)
-    return states[::-1], total
+    state = max(row, key=lambda k: (row[k], k))
+    return state, row[state]
+
+
+def inner_states(matrices: list[dict], entry: tuple[int, int], exit_: tuple[int, int]) -> list[tuple[int, int]]:
+    """The states at all cuts of neighbouring matrices, both ends included, on the best path between two states."""
+    reached = [{entry: 0.0}]
+    for m in matrices:
+        reached.append(multiply({entry: reached[-1]}, m)[entry])
+    states = [exit_]
+    for m, row in zip(reversed(matrices), reversed(reached[:-1]), strict=True):
+        come = {k: x + m[k][states[-1]] for k, x in row.items() if states[-1] in m.get(k, {})}
+        states.append(max(come, key=lambda k: (come[k], k)))
+    return states[::-1]
+
+
+_ZEROS: list[list[int]] = []
+
+
+def _times(matrix: list[int], v: int) -> int:
+    out = k = 0
+    while v:
+        if v & 1:
+            out ^= matrix[k]
+        v >>= 1
+        k += 1
+    return out
 
 
 def crc_combine(a: int, b: int, length: int) -> int:
     """crc32 of two byte strings laid end to end, from their crcs and the second's length."""
-    if not length:
-        return a
-
-    def times(matrix: list[int], v: int) -> int:
-        s = k = 0
-        while v:
-            if v & 1:
-                s ^= matrix[k]
-            v >>= 1
-            k += 1
-        return s
-
-    zero = [0xEDB88320, *[1 << k for k in range(31)]]  # one zero bit
-    for _ in range(3):  # one zero byte
-        zero = [times(zero, x) for x in zero]
-    while length:
-        if length & 1:
-            a = times(zero, a)
-        zero = [times(zero, x) for x in zero]
-        length >>= 1
+    if not _ZEROS:
+        zero = [0xEDB88320, *[1 << k for k in range(31)]]  # one zero bit
+        for _ in range(3):  # one zero byte
+            zero = [_times(zero, x) for x in zero]
+        for _ in range(63):  # 2, 4, 8 of them and so on
+            _ZEROS.append(zero)
+            zero = [_times(zero, x) for x in zero]
+    for k in range(length.bit_length()):
+        if length >> k & 1:
+            a = _times(_ZEROS[k], a)
     return a ^ b
 
 
@@ -372,13 +458,16 @@ def _encode_whole(path: str):
             found = [model.encode_run(_with_prefix(x.as_py())) for x in batch.column(1)]
             n = batch.num_rows
             yield _batch([batch.column(0).to_pylist(), [0] * n, [1] * n, [f[0] for f in found], [f[1] for f in found]], ENCODED)
+        release()
 
     return scan
 
 
-def _matrices(path: str):
-    import pickle
+NODES = "row long, node long, matrix binary"
+STATES = "row long, node long, a int, b int, c int, d int, score double"
 
+
+def _matrices(path: str):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load(path)
         for batch in batches:
@@ -386,18 +475,47 @@ def _matrices(path: str):
             for r in batch.itertuples():
                 text, begin = r.before + r.body + r.after, len(r.before)
                 out.append(pickle.dumps(model.transfer(text, begin, begin + len(r.body), r.chunk == 0, r.chunk == r.chunks - 1)))
-            yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "matrix": out})
+            yield pd.DataFrame({"row": batch["row"], "node": batch["chunk"].astype("int64"), "matrix": out})
 
     return scan
 
 
-def _fix(pdf: pd.DataFrame) -> pd.DataFrame:
-    import pickle
+def _node(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The product of one node's children, FAN of them at most."""
+    matrices = [pickle.loads(m) for m in pdf.sort_values("node")["matrix"]]
+    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "node": [pdf["node"].iloc[0] // FAN], "matrix": [pickle.dumps(product(matrices))]})
+
+
+def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        found = [best_exit(pickle.loads(m)) for m in pdf["matrix"]]
+        yield pd.DataFrame({"row": pdf["row"], "node": pdf["node"], "a": START[0], "b": START[1], "c": [f[0][0] for f in found], "d": [f[0][1] for f in found], "score": [f[1] for f in found]})
 
-    pdf = pdf.sort_values("chunk")
-    states, total = fix_states([pickle.loads(m) for m in pdf["matrix"]])
+
+def _children(key: tuple, pdf: pd.DataFrame, parent: pd.DataFrame) -> pd.DataFrame:
+    """The states of one node's children from its own; the first child carries its score on."""
+    pdf = pdf.sort_values("node")
+    if not len(pdf):
+        return pd.DataFrame({n.split()[0]: [] for n in STATES.split(", ")})
+    (a, b, c, d, score) = parent[["a", "b", "c", "d", "score"]].iloc[0]
+    states = inner_states([pickle.loads(m) for m in pdf["matrix"]], (int(a), int(b)), (int(c), int(d)))
     n = len(pdf)
-    return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "a": [s[0] for s in states[:n]], "b": [s[1] for s in states[:n]], "c": [s[0] for s in states[1:]], "d": [s[1] for s in states[1:]], "score": [total if k == 0 else 0.0 for k in range(n)]})
+    return pd.DataFrame({"row": pdf["row"], "node": pdf["node"], "a": [s[0] for s in states[:n]], "b": [s[1] for s in states[:n]], "c": [s[0] for s in states[1:]], "d": [s[1] for s in states[1:]], "score": [score if k == 0 else 0.0 for k in range(n)]})
+
+
+def cut_states(matrices: DataFrame, most: int) -> DataFrame:
+    """STATES of every chunk from the chunks' matrices (NODES, written); `most`: chunks of a document at most. Two shuffles a level, log(most) levels."""
+    levels = [matrices]
+    while most > 1:
+        above = levels[-1].groupBy("row", F.expr(f"node div {FAN}")).applyInPandas(_node, NODES)
+        levels.append(written(above, "products"))
+        most = -(-most // FAN)
+    states = levels.pop().mapInPandas(_roots, STATES)
+    while levels:
+        below = levels.pop()
+        keyed = below.groupBy("row", F.expr(f"node div {FAN}").alias("up")).cogroup(states.groupBy("row", F.col("node").alias("up")))
+        states = written(keyed.applyInPandas(_children, STATES), "states")
+    return states
 
 
 def _trace(path: str):
@@ -416,8 +534,9 @@ def _trace(path: str):
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, size: int = CHUNK) -> DataFrame:
     """(row, chunk, chunks, ids, score) for docs (row long unique, text): the model's ids in order of chunk, little-endian 32-bit.
 
-    Documents of up to `size` characters have one chunk; longer ones are scanned in parallel. A document's score, the
-    sum of its pieces' scores, stands in its first chunk. Null and empty texts have no ids.
+    A chunk has `size` characters; a document's chunks are scanned and traced in parallel. A document's score, the
+    sum of its pieces' scores, stands in its first chunk. Null and empty texts have no ids. An empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -425,10 +544,10 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, siz
     slim = docs.select("row", text_of(text_col).alias("text"))
     short = slim.where(F.length("text") < size).mapInArrow(_encode_whole(path), ENCODED)
     giant = written(chunked(slim.where(F.length("text") >= size), "text", path, size), "chunks")
-    dealt = giant.repartition(partitions(spark), "row", "chunk")
-    matrices = dealt.mapInPandas(_matrices(path), "row long, chunk int, matrix binary")
-    fixed = matrices.groupBy("row").applyInPandas(_fix, "row long, chunk int, a int, b int, c int, d int, score double")
-    traced = giant.join(written(fixed, "states"), ["row", "chunk"]).mapInPandas(_trace(path), ENCODED)
+    most = giant.agg(F.max("chunks")).first()[0] or 0
+    matrices = written(giant.repartition(partitions(spark), "row", "chunk").mapInPandas(_matrices(path), NODES), "matrices")
+    fixed = cut_states(matrices, most).withColumnRenamed("node", "chunk")
+    traced = giant.join(fixed, ["row", "chunk"]).mapInPandas(_trace(path), ENCODED)
     return short.unionByName(traced)
 
 
@@ -448,8 +567,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def coding_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, size: int = CHUNK) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, score, n_bytes, decoded_crc32, text_crc32, chunks), one row per document.
 
-    Ids as little-endian unsigned 32-bit numbers; crcs of chunks are combined, so no document is gathered whole.
-    decoded_crc32 equals text_crc32 unless a text holds the meta space itself, which decodes to a blank.
+    Ids as little-endian unsigned 32-bit numbers; crcs of chunks are combined, so no document is gathered whole. Null
+    counts as empty: no ids, score 0, one chunk. Rows that repeat come back once each; a null id stays null; other columns
+    are left out, whatever their names. An empty table gives an empty result. decoded_crc32 equals text_crc32 unless a text holds the meta space itself, which decodes to a blank.
     """
     spark = docs.sparkSession
     importable(spark)
