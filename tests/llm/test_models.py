@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import ODD
@@ -258,32 +259,60 @@ def test_sign_codes(spark):
 
 def test_attention_gradients_and_windows():
     rng = np.random.default_rng(0)
-    m = attention.Attention(np.arange(50, 0, -1), np.ones(attention.CLASSES) / attention.CLASSES)
-    texts = []
-    for n in (1, 30, 70, 200):
-        ids = rng.integers(0, 50, n)
-        first = np.unique(np.r_[0, rng.integers(0, n, n // 2 + 1)])
-        texts.append((ids, first, rng.integers(0, attention.CLASSES, len(first))))
+    m = attention.Attention(np.arange(50, 0, -1))
+    m.p["w2"][:, :-1] = 0.3 * rng.standard_normal(m.p["w2"][:, :-1].shape)
+    texts = [rng.integers(0, 50, n) for n in (1, 24, 30, 70, 200)]
     whole = m.score(texts)
-    assert len(whole) == sum(len(f) for _, f, _ in texts)
+    assert len(whole) == sum(map(len, texts))  # every id once
     at = 0
     for t in texts:  # texts don't see each other
         alone = m.score([t])
         assert np.allclose(alone, whole[at : at + len(alone)], atol=1e-5)
         at += len(alone)
+    changed = texts[-1].copy()
+    changed[150:] = (changed[150:] + 1) % 50
+    assert np.allclose(m.score([changed])[:150], whole[-200:-50], atol=1e-5)  # nor do ids see what follows
     for k in m.p:
         m.p[k] = m.p[k].astype(np.float64)
     rows = rng.integers(0, m.rows, (3, attention.WINDOW))
-    target = rng.integers(-1, attention.CLASSES, (3, attention.WINDOW))
+    target = rng.integers(-1, 50, (3, attention.WINDOW))
     _, g = m.gradients(rows, target)
     for k in m.p:
-        i = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
+        whole = np.zeros_like(m.p[k])
+        if isinstance(g[k], tuple):
+            whole[g[k][0]] = g[k][1]
+        else:
+            whole = g[k]
+        i = np.unravel_index(np.argmax(np.abs(whole)), whole.shape)
         m.p[k][i] += 1e-5
         up, _ = m.gradients(rows, target)
         m.p[k][i] -= 2e-5
         down, _ = m.gradients(rows, target)
         m.p[k][i] += 1e-5
-        assert abs((up - down) / 2e-5 - g[k][i]) < 1e-5 * max(1, abs(g[k][i])), k
+        assert abs((up - down) / 2e-5 - whole[i]) < 1e-5 * max(1, abs(whole[i])), k
+
+
+def test_next_ids_sum_to_one():
+    rng = np.random.default_rng(1)
+    counts = np.r_[rng.integers(1, 1000, 300), 0, 0]
+    m = attention.Attention(counts)
+    state = np.r_[rng.standard_normal(attention.HIDDEN), 1].astype(np.float32)
+    each = lambda: np.exp(m.log_probabilities(np.tile(state, (300, 1)), np.arange(300)))
+    assert np.allclose(each(), counts[:300] / counts.sum(), rtol=1e-4)  # untrained: the unigram
+    m.p["w2"][:, :-1] = rng.standard_normal(m.p["w2"][:, :-1].shape)
+    assert abs(each().sum() - 1) < 1e-5 and each().std() > 0
+    one = attention.Attention(np.array([0, 3, 0]))  # a tree of one leaf
+    assert one.score([np.array([1, 1])]).tolist() == [0, 0]
+
+
+def test_attention_learns_order():
+    rng = np.random.default_rng(2)
+    texts = [np.resize(np.r_[5, 9, 2, 7], 60) if k % 2 else np.resize(np.r_[5, 2, 9, 7], 60) for k in range(40)]
+    counts = np.bincount(np.concatenate(texts), minlength=12)
+    m = attention.Attention(counts)
+    before = m.score(texts).mean()
+    m.train(m.laid_out(texts)[0], 150)
+    assert m.score(texts).mean() > before / 4 and abs(before + np.log(4)) < 1e-3
 
 
 @pytest.mark.parametrize("frequent", [1 << 17, 3])
@@ -315,17 +344,45 @@ def test_lm_empty(docs):
 
 
 def test_lm_is_a_distribution():
-    """The probabilities of all next words, the end and unknown words sum to one at most."""
+    """The probabilities of all next words, the end and a rare word sum to one at most under every mixture: words that are no id sequences have the rest."""
     words = [b"a", b"bb", b"ccc"]
     counts = np.array([5, 3, 2])
-    model = lm.Model(packing.tokenizer_path(), 16, 6, 2, 4, 4 + 3 + 1, words, counts, np.zeros(3, dtype=int), None, 0.5)
-    model.learn([[b"a", b"bb", b"rare", b"a"], [b"ccc", b"a"]], 5)
+    model = lm.Model(packing.tokenizer_path(), 16, 6, 2, 4, 4 + 3 + 1, words, counts)
+    model.start()
     model.prepare()
     context = [0, 1]
-    ps = []
+    sums = np.zeros(len(lm.MIXES))
     for nxt in (0, 1, 2, -1):
-        logs = model.word_logs([np.array([*context, nxt])])[0]
-        ps.append(np.exp(model.mixed(logs, np.r_[model.unigram[[*context, nxt]], model.end_unigram]))[2])
-    logs = model.word_logs([np.array(context)])[0]
-    ps.append(np.exp(model.mixed(logs, np.r_[model.unigram[context], model.end_unigram]))[2])
-    assert 0.3 < sum(ps) <= 1 + 1e-6
+        sums += np.exp([x[2] for x in model.mixed([np.array([*context, nxt])])])
+    sums += np.exp([x[2] for x in model.mixed([np.array(context)])])
+    single = all(len(packing.fast_encoder(model.path).encode_ordinary(" " + w.decode())) == 1 for w in words)
+    assert (sums <= 1 + 1e-6).all() and (not single or (sums > 1 - 1e-5).all())
+    assert sums[-1] > 0.95  # the unigram's share alone sums to one
+
+
+def test_training_windows_hold_every_id_once(spark, docs, monkeypatch):
+    """With all pieces learned from, the windows' last ids are the texts' ids; blocks and rounds average into one model."""
+    monkeypatch.setattr(lm, "LEARNING", 1)
+    monkeypatch.setattr(lm, "BLOCK", 40)
+    words = [b"one", b"two", b"three", b"internationalisation"]
+    rng = np.random.default_rng(3)
+    bodies = [b" ".join(rng.choice(words, rng.integers(0, 50))) for _ in range(60)]
+    found = list(lm._windows(packing.tokenizer_path(), type("B", (), {"value": words}))(iter([pa.record_batch([pa.array(range(60), pa.int64()), pa.array(bodies, pa.binary())], names=["th", "body"])])))
+    ids = np.concatenate([np.frombuffer(x, "<i4").reshape(-1, attention.WINDOW + 1)[:, attention.CONTEXT + 1 :].ravel() for x in found[0].column(1).to_pylist()])
+    subwords = lm.Subwords(packing.tokenizer_path(), words)
+    want = Counter(np.concatenate([subwords.text(np.array([words.index(w) for w in b.split()], dtype=int))[0] for b in bodies]).tolist())
+    assert Counter(ids[ids >= 0].tolist()) == want
+    model = lm.Model(packing.tokenizer_path(), 16, 6, 60, 4, 8, words, np.array([want[int(subwords.flat[f])] for f in subwords.first[:-1]]))
+    model.start()
+    table = spark.createDataFrame(found[0].to_pandas(), "h long, ids binary")
+    start = model.attention.score([ids[:20]]).sum()
+    learned = lm.train(model.attention, table)
+    assert learned.score([ids[:20]]).sum() > start and table.count() > 40  # more than one block
+
+
+def test_lm_beats_its_base_on_held_out_texts(docs):
+    rng = np.random.default_rng(9)
+    phrase = ["the", "red", "house", "stands", "near", "a", "river", "and", "blue", "birds"]
+    rows = [(k, " ".join(" ".join(phrase[s : s + 5]) for s in rng.integers(0, 6, 30))) for k in range(300)]
+    got = lm.score_report(docs(rows)).where("held_out").collect()
+    assert got and all(r["score"] > r["base_score"] for r in got)
