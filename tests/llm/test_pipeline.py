@@ -35,11 +35,11 @@ def test_stages_and_columns(spark, runs):
 
 
 def test_quality_stage(spark, runs):
-    from veriloom.llm.quality import THRESHOLD, features, fit
+    from veriloom.llm.quality import THRESHOLD, features, fit_texts
 
     _, docs, kept = runs[0]
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    model = fit(docs, labels)
+    model = fit_texts(docs, labels)
     rows = _rows(docs)
     scores = {k: float(model.score(features((r["text"] or "").encode())[None, :])[0]) for k, r in rows.items()}
     sure = {k for k, s in scores.items() if abs(s - THRESHOLD) > 1e-3}
@@ -57,13 +57,15 @@ def test_exact_stage(runs):
 
 
 def test_near_stage(runs):
-    from veriloom.llm.simhash import fingerprint
-
+    """Chains of five-word Jaccard similarities of 0.8 and more, from the words themselves."""
     _, docs, kept = runs[2]
     rows = _rows(docs)
     ids = np.array(sorted(rows))
-    fp = np.array([fingerprint(rows[k]["text"]) for k in ids], dtype=np.uint64)
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
+    sets = []
+    for k in ids:
+        words = (rows[k]["text"] or "").encode().lower().split()
+        sets.append({tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))})
+    near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
     label = np.arange(len(ids))
     while True:
         new = np.array([label[r].min() for r in near])

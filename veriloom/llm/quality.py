@@ -1,9 +1,11 @@
 """Quality scores by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are documents labelled good; everything else is unlabelled web text. The share of good text among the
-unlabelled (the class prior) is estimated by the best-bin method: the smallest ratio, over score thresholds, of the
-unlabelled share above a threshold to the positive share above it. Training minimises
-prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
+Trusted positives are documents labelled good, a bounded sample of them; the unlabelled web text is every other document that
+may be learned from. The share of good text among the unlabelled (the class prior) is estimated by the best-bin method:
+the smallest ratio, over score thresholds, of the unlabelled share above a threshold to the positive share above it. Training
+minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). The unlabelled documents are dealt
+by hash into blocks of a fixed size; each block and the positives train a model on the features' common scale, and the
+blocks' models are averaged by their sizes.
 """
 
 from __future__ import annotations
@@ -18,18 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm._base import importable, release, text_of
+from veriloom.llm._base import importable, release, summed, text_of, written
 
-#: Bounds of the training samples, taken by a hash of the text and id.
-POSITIVES = 4_000
-UNLABELLED = 8_000
+#: Trusted positives at most, taken by a hash of the id, and unlabelled documents of a block.
+POSITIVES = 6_000
+BLOCK = 12_000
 #: Score from which a text counts as good.
 THRESHOLD = 0.3
 #: ASCII characters with a class of their own, besides letters, digits and blanks.
 MARKS = ".,!?#%*$&|-_/:;<>=()[]{}\"'@+~^\\`"
 CLASSES = 8 + len(MARKS)
-#: Besides byte classes: lengths, repetition, marked words.
-SUMMARY = 12
+#: Besides byte classes: lengths, repetition, upper case.
+SUMMARY = 9
 FEATURES = CLASSES * CLASSES + CLASSES + SUMMARY
 
 
@@ -63,11 +65,10 @@ def features(body: bytes) -> np.ndarray:
     n = max(1, len(words))
     again = sum(map(eq, words, words[1:]))
     top = max(Counter(words).values(), default=0)
-    marked = sum(1 for w in words if not w[-1:].isalnum() and w[-1:] not in b".,;:")
     upper = sum(1 for w in words if len(w) > 1 and w.isupper())
     out[-SUMMARY:] = (
         np.log1p(len(data)) / 10, np.log1p(len(words)) / 10, len(set(words)) / n, len(set(lines)) / len(lines), len(data) / n / 20,
-        again / n, np.sqrt(again / n), float(again > 0.2 * n), top / n, marked / n, np.sqrt(marked / n), upper / n,
+        again / n, np.sqrt(again / n), top / n, upper / n,
     )
     return out
 
@@ -95,29 +96,40 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
+        z = standardised(x, self.mean, self.scale) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 1200, seed: int = 7) -> Model:
+def pack(x: np.ndarray) -> bytes:
+    """The features that aren't zero: places (16 bits), then values (32 bits)."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+def unpack(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), FEATURES), dtype=np.float32)
+    for x, row in zip(out, rows, strict=True):
+        n = len(row) // 6
+        x[np.frombuffer(row, "<u2", n)] = np.frombuffer(row, "<f4", n, 2 * n)
+    return out
+
+
+def standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -8, 8)
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray, scale: np.ndarray, prior: float | None = None, steps: int = 1200, seed: int = 7) -> Model:
     """Minimises the non-negative risk with the logistic loss; the prior is estimated on a third left out first."""
     rng = np.random.default_rng(seed)
     seen = np.flatnonzero((positive.max(0) > 0) | (unlabelled.max(0) > 0))  # most pairs of byte classes never occur
-    p, u = positive[:, seen].astype(np.float32), unlabelled[:, seen].astype(np.float32)
-    mean, scale = u.mean(0), u.std(0) + np.float32(0.02)
-    for x in (p, u):
-        x -= mean
-        x /= scale
-        np.clip(x, -8, 8, out=x)
+    p, u = (standardised(x[:, seen], mean[seen], scale[seen]) for x in (positive, unlabelled))
     if prior is None:
         cut_p, cut_u = np.arange(len(p)) % 3 == 0, np.arange(len(u)) % 3 == 0
         w, b = _descend(p[~cut_p], u[~cut_u], 0.5, steps // 2, rng)
         prior = best_bin_prior(p[cut_p] @ w + b, u[cut_u] @ w + b)
-    w, b = _descend(p, u, prior, steps, rng)
-    whole = np.zeros((3, positive.shape[1]), dtype=np.float32)
-    whole[1] = 1
-    whole[:, seen] = mean, scale, w
-    return Model(*whole, b, prior)
+    weights = np.zeros(positive.shape[1], dtype=np.float32)
+    weights[seen], b = _descend(p, u, prior, steps, rng)
+    return Model(mean, scale, weights, b, prior)
 
 
 def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
@@ -149,49 +161,90 @@ def _share(n: int, bound: int, id_col: str, salt: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), id_col), F.lit(1 << 30)) < int((1 << 30) * bound / n)
 
 
-def _sample(docs: DataFrame, bound: int) -> np.ndarray:
-    """Features of the rows' `text`, `bound` of them at most; rows are to be about as few already."""
+def described(docs: DataFrame) -> DataFrame:
+    """docs (with a string `text`) with `x`, the features of the whole text, in its place; null counts as empty."""
     importable(docs.sparkSession)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, features(x.as_py()).astype(np.float16).tobytes()) for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["k", "x"])
+    @F.pandas_udf("binary")
+    def pack_all(bodies):
+        import pandas as pd
+
+        found = pd.Series([pack(features(b)) for b in bodies], dtype=object)
+        release()
+        return found
+
+    return docs.withColumn("x", pack_all(F.encode(text_of("text"), "UTF-8"))).drop("text")
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, n = np.zeros((2, FEATURES)), 0
+    for batch in batches:
+        x = unpack(batch.column(0).to_pylist()).astype(np.float64)
+        total += [x.sum(0), (x * x).sum(0)]
+        n += len(x)
+    release()
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "numbers"])
+
+
+def _block_model(shared):
+    def run(pdf):
+        import pandas as pd
+
+        positive, mean, scale = shared.value
+        pdf = pdf.sort_values("x")  # the order of tasks must not matter
+        model = train(unpack(positive), unpack(pdf["x"].tolist()), mean, scale)
         release()
+        n = len(pdf)
+        return pd.DataFrame({"n": [n], "numbers": [(n * np.r_[model.weights, model.bias, model.prior]).astype(np.float64).tobytes()]})
 
-    found = docs.select(F.xxhash64("id").alias("k"), F.encode(text_of("text"), "UTF-8").alias("body")).mapInArrow(scan, "k long, x binary").toArrow()
-    order = np.argsort(found.column(0).to_numpy(), kind="stable")[:bound]  # the order of tasks must not matter
-    out = np.zeros((found.num_rows, FEATURES), dtype=np.float16)
-    at = 0
-    for chunk in found.column(1).chunks:
-        for x in chunk:
-            out[at] = np.frombuffer(x.as_buffer(), dtype=np.float16)
-            at += 1
-    return out[order]
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Learns from labels (id_col, quality) of documents that are not held out.
+def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES, block: int = BLOCK) -> Model:
+    """Learns from rows (doc_id, x; written) and labels (doc_id, quality) of documents that are not held out.
 
-    Trusted positives: a bounded hash sample of documents that a label calls good and none calls bad. Unlabelled: a bounded
-    hash sample of all documents, whether they have a label or not. Without either, the model scores everything 1.
+    Trusted positives: a bounded hash sample of documents that a label calls good and none calls bad. Unlabelled: all
+    documents, whether they have a label or not. Without either, the model scores everything 1.
     """
-    free = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    good = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("worst")).where("worst = 1").select("id")
-    good = good.where(~held_out("id"))
-    wanted = good.where(_share(good.count(), positives, "id", 5))
-    p = _sample(free.join(F.broadcast(wanted), "id", "left_semi"), positives)  # broadcast: about `positives` ids
-    u = _sample(free.where(_share(free.count(), unlabelled, "id", 3)), unlabelled)
-    if not len(p) or not len(u):
+    spark = rows.sparkSession
+    free = rows.where(F.col("doc_id").isNotNull() & ~held_out())
+    good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("worst")).where("worst = 1").select("doc_id")
+    good = good.where(~held_out())
+    wanted = good.where(_share(good.count(), positives, "doc_id", 5))
+    p = sorted(bytes(r["x"]) for r in free.join(F.broadcast(wanted), "doc_id", "left_semi").select("x").collect())  # broadcast: about `positives` ids
+    count = free.count()
+    if not p or not count:
         return Model(np.zeros(FEATURES, np.float32), np.ones(FEATURES, np.float32), np.zeros(FEATURES, np.float32), 30.0, 1.0)
-    model = train(p, u)
-    del p, u
-    release()
-    return model
+    n, total = summed(free.select("x").mapInArrow(_moments, "n long, numbers binary"))
+    mean, square = total.reshape(2, FEATURES) / n
+    scale = np.sqrt(np.maximum(square - mean**2, 0)) + 0.02
+    shared = spark.sparkContext.broadcast((p, mean.astype(np.float32), scale.astype(np.float32)))
+    dealt = free.select("x", F.pmod(F.xxhash64(F.lit(3), "doc_id", "x"), F.lit(-(-count // block))).alias("block"))
+    n, total = summed(dealt.groupBy("block").applyInPandas(_block_model(shared), "n long, numbers binary"))
+    total /= n
+    return Model(shared.value[1], shared.value[2], total[:FEATURES].astype(np.float32), float(total[-2]), float(total[-1]))
+
+
+def fit_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """fit() on documents as they are; ids of labels are compared with ids of docs."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return fit(written(described(slim), "features"), labels.select(F.col(id_col).alias("doc_id"), "quality"))
+
+
+def scorer(model: Model):
+    """A UDF from features to scores."""
+
+    @F.pandas_udf("double")
+    def scores(rows):
+        import pandas as pd
+
+        return pd.Series([float(x) for k in range(0, len(rows), 256) for x in model.score(unpack(rows.iloc[k : k + 256].tolist()))], dtype=float)
+
+    return scores
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with `score` (double, 0 to 1) of the whole text; null counts as empty."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
+    """docs with a column of scores (double, 0 to 1) of the whole texts; null counts as empty. docs must not have a column of that name."""
     importable(docs.sparkSession)
 
     @F.pandas_udf("double")
@@ -202,14 +255,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         release()
         return found
 
-    return docs.withColumn("score", scores(F.encode(text_of(text_col), "UTF-8")))
+    return docs.withColumn(into, scores(F.encode(text_of(text_col), "UTF-8")))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per input row; see fit() and score().
+    """(doc_id, held_out, score, predicted), one row per input row; see fit(). Features of a text are made once and written.
 
-    Empty and null texts are scored like others; repeated rows get equal scores; an empty table gives an empty result.
+    Empty and null texts are scored like others, very long ones by their whole length; repeated rows get equal scores; a null
+    id is scored but not learned from; other columns are left out, whatever their names. An empty table gives an empty
+    result.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = fit(slim, labels.withColumnRenamed(id_col, "doc_id"))
-    return score(slim, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    rows = written(described(slim), "features")
+    model = fit(rows, labels.select(F.col(id_col).alias("doc_id"), "quality"))
+    return rows.withColumn("score", scorer(model)("x")).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
