@@ -67,6 +67,68 @@ def test_crossover_keeps_all_items():
     assert herd[0].count() <= -(-sizes.sum() // 1024) + 1
 
 
+def _triplets(seed, bins=40, capacity=1000):
+    """Sizes of which three fill a bin without a gap; best-fit alone does badly on them."""
+    r, sizes = np.random.default_rng(seed), []
+    for _ in range(bins):
+        a = int(r.integers(380, 490))
+        b = int(r.integers(250, (capacity - a) // 2 + 1))
+        sizes += [a, b, capacity - a - b]
+    return np.array(sizes)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crossover_saves_bins(seed, monkeypatch):
+    """Against best-fit decreasing, which the herd starts with: by crossover alone, and with the gaps closed."""
+    sizes = _triplets(seed)
+    count = lambda n: packing.evolve(sizes, 1000, [], np.random.default_rng(1), generations=n)[0].count()
+    best_fit, whole = count(0), count(40)
+    assert whole <= 42 < best_fit
+    monkeypatch.setattr(packing, "close_gaps", lambda sizes, packing, *_: packing)
+    assert whole <= count(40) <= best_fit - 2
+
+
+def test_refill_and_crossover_keep_every_item():
+    rng = np.random.default_rng(5)
+    sizes = np.sort(rng.integers(1, 1025, 200))[::-1]
+    found = packing.refill(sizes.tolist(), 1024)
+    assert sorted(k for items in found for k in items) == list(range(200)) and all(sizes[items].sum() <= 1024 for items in found)
+    herd = packing.evolve(sizes, 1024, [], rng, generations=0)
+    for _ in range(20):
+        child = packing.crossover(*(herd[k] for k in rng.choice(len(herd), 2, replace=False)), sizes, 1024, rng)
+        child = packing.close_gaps(sizes, child, 1024, rng)
+        assert (np.bincount(child.bins, weights=sizes, minlength=len(child.fill)) == child.fill).all() and child.fill.max() <= 1024 and child.bins.min() >= 0
+
+
+def _fewest(sizes, capacity):
+    """The fewest bins, by trying every place of every item."""
+    best = len(sizes)
+
+    def place(k, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if k == len(sizes):
+            best = len(fills)
+            return
+        for f in set(fills):
+            if f + sizes[k] <= capacity:
+                rest = list(fills)
+                rest[rest.index(f)] += sizes[k]
+                place(k + 1, rest)
+        place(k + 1, [*fills, sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_small_cases_are_packed_into_the_fewest_bins():
+    rng = np.random.default_rng(6)
+    for _ in range(25):
+        sizes = rng.integers(15, 70, 10)
+        assert packing.evolve(sizes, 100, [], rng, generations=40)[0].count() == _fewest(sorted(sizes.tolist(), reverse=True), 100)
+
+
 def test_quality_learns(spark):
     rng = np.random.default_rng(1)
     good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(40)) + "."

@@ -2,9 +2,10 @@
 
 Pieces of documents are bins' items. Items are dealt by hash into shards of about SHARD items, so that no task holds
 more; each shard is evolved on several islands. A chromosome is a whole packing. Crossover injects well-filled bins of
-one parent into the other, drops the bins that hold an injected item already and best-fits the items so displaced. After
-each epoch the islands' elites migrate around a ring. Bins that stay too empty are dissolved and their items, of all
-shards together, are packed again at the next level, until one shard is left.
+one parent into the other, drops the bins that hold an injected item already, and some that have gaps, and best-fits the items
+so displaced. A child then tries to do without its emptiest bin: that bin's items and those of some bins with gaps fill
+these bins anew by subset sums. After each epoch the islands' elites migrate around a ring. Bins that stay too empty are
+dissolved and their items, of all shards together, are packed again at the next level, until one shard is left.
 """
 
 from __future__ import annotations
@@ -153,17 +154,64 @@ def best_fit(sizes: np.ndarray, items: np.ndarray, bins: np.ndarray, fill: list[
             mask |= 1 << room
 
 
+def refill(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins of places in `sizes` (falling): each takes the largest item left and the others that fill it up best, by subset sums."""
+    left, out = list(range(len(sizes))), []
+    while left:
+        first, *others = left
+        room = capacity - sizes[first]
+        mask, reach, before = (1 << (room + 1)) - 1, 1, []
+        for k in others:
+            before.append(reach)
+            reach |= (reach << sizes[k]) & mask
+            if reach >> room & 1:
+                break
+        total = reach.bit_length() - 1
+        taken = [first]
+        for k, had in zip(reversed(others[: len(before)]), reversed(before), strict=True):
+            if not had >> total & 1:  # the sum needs this item
+                taken.append(k)
+                total -= sizes[k]
+        out.append(taken)
+        gone = set(taken)
+        left = [k for k in left if k not in gone]
+    return out
+
+
+def close_gaps(sizes: np.ndarray, packing: Packing, capacity: int, rng: np.random.Generator, most: int = 64, tries: int = 2) -> Packing:
+    """The packing without its emptiest bin, if some bins with gaps can take its items when they are filled anew; else as it is."""
+    fill = packing.fill
+    used = np.flatnonzero(fill)
+    last = int(used[np.argmin(fill[used])])
+    gappy = used[(fill[used] < capacity) & (used != last)]
+    for _ in range(tries):
+        some = rng.permutation(gappy)[:most]
+        if (capacity - fill[some]).sum() < fill[last]:
+            continue
+        chosen = np.zeros(len(fill), dtype=bool)
+        chosen[some], chosen[last] = True, True
+        pool = np.flatnonzero(chosen[packing.bins])
+        pool = pool[np.argsort(-sizes[pool], kind="stable")]
+        found = refill(sizes[pool].tolist(), capacity)
+        if len(found) <= len(some):
+            bins, fill = packing.bins.copy(), np.where(chosen, 0, fill)
+            for b, items in zip(some.tolist(), found, strict=False):
+                bins[pool[items]] = b
+                fill[b] = sizes[pool[items]].sum()
+            return Packing(bins, fill)
+    return packing
+
+
 def crossover(a: Packing, b: Packing, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
-    """a, with some of b's best-filled bins injected whole."""
-    used = np.flatnonzero(b.fill)
-    weight = (b.fill[used] / capacity) ** 8 * rng.random(len(used))
-    take = used[np.argsort(-weight)[: max(1, int(len(used) * rng.uniform(0.1, 0.4)))]]
+    """a, with some of b's well-filled bins injected whole; a's bins that hold one of their items go, some of its gappy ones too, and their items are best-fitted."""
+    used = np.flatnonzero(b.fill >= capacity - capacity // 128)
+    used = used if len(used) else np.flatnonzero(b.fill == b.fill.max())
+    take = used[rng.permutation(len(used))[: max(1, int(len(used) * rng.uniform(0.1, 0.5)))]]
     chosen = np.zeros(len(b.fill), dtype=bool)
     chosen[take] = True
     injected = chosen[b.bins]
     broken = np.zeros(len(a.fill), dtype=bool)
     broken[a.bins[injected]] = True
-    # Emptier bins go too, so that there is room to arrange anew.
     open_ = np.flatnonzero((a.fill > 0) & (a.fill < capacity) & ~broken)
     broken[open_[rng.random(len(open_)) < 0.3]] = True
     displaced = np.flatnonzero(broken[a.bins] & ~injected)
@@ -184,7 +232,7 @@ def crossover(a: Packing, b: Packing, sizes: np.ndarray, capacity: int, rng: np.
 
 
 def evolve(sizes: np.ndarray, capacity: int, start: list[Packing], rng: np.random.Generator, generations: int = GENERATIONS, population: int = POPULATION) -> list[Packing]:
-    """The population after some generations, best first; it starts from `start` filled up with best-fit decreasing on shaken sizes."""
+    """The population after some generations, best first; it starts from `start` filled up with best-fit decreasing on shaken sizes. Children close the gaps of their bins before they compete."""
     herd = list(start)
     while len(herd) < population:
         shaken = sizes * (rng.uniform(0.9, 1.0, len(sizes)) if herd else 1.0)
@@ -199,8 +247,10 @@ def evolve(sizes: np.ndarray, capacity: int, start: list[Packing], rng: np.rando
             break
         children = []
         for _ in range(population // 2):
-            i, j = sorted(rng.choice(len(herd), size=2, replace=False).tolist())
-            children.append(crossover(herd[i], herd[j], sizes, capacity, rng))
+            i, j = rng.choice(len(herd), size=2, replace=False).tolist()
+            children.append(close_gaps(sizes, crossover(herd[i], herd[j], sizes, capacity, rng), capacity, rng))
+            if children[-1].count() <= least:
+                break
         herd = sorted([*herd, *children], key=key, reverse=True)[:population]
     return herd
 
