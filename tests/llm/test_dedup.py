@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -52,6 +53,35 @@ def test_lsm_levels(spark):
     assert sorted((bytes(r["digest"]), r["doc_id"], r["copies"]) for r in index.entries().collect()) == [(b"a", 9, 3), (b"b", 2, 1), (b"c", 1, 1)]
 
 
+def test_lsm_filters_spare_lookups(spark, monkeypatch):
+    """Several runs, merged by tiers; what a filter rules out is not looked up; a digest of most rows is looked up like any other."""
+    monkeypatch.setattr(lsm, "FANOUT", 2)
+    rng = random.Random(2)
+    rows = [(bytes([rng.randrange(60)]) if k % 3 else b"hot", -rng.randrange(3), k) for k in range(400)] + [(b"alone", 0, 1000)]
+    index = lsm.DigestIndex(spark)
+    digests = spark.createDataFrame(rows, "digest binary, rank int, doc_id long").repartition(7).cache()
+    index.flush(digests)
+    assert index.runs == 7 and index.filters().count() == len(rows)
+    doubts = index.repeated()
+    shorts = {r[0] for r in doubts.collect()}
+    one = digests.where("digest = cast('alone' as binary)").select(lsm.short_hash(digests["digest"])).first()[0]
+    assert one not in shorts and len(shorts) == sum(n > 1 for n in Counter(d for d, _, _ in rows).values())
+    got = {(bytes(r["digest"]), r["doc_id"]): (r["keep_rank"], r["keep_id"], r["copies"]) for r in index.probe(digests, doubts).collect()}
+    groups = {}
+    for d, rank, k in rows[:-1]:
+        groups.setdefault(d, []).append((rank, k))
+    assert got == {(d, k): (*min(groups[d]), len(groups[d])) for d, _, k in rows if len(groups.get(d, ())) > 1}
+    strange = spark.createDataFrame([(b"never", 0, 1), (b"hot", 0, 2)], "digest binary, rank int, doc_id long")
+    assert [bytes(r["digest"]) for r in index.probe(strange).collect()] == [b"hot"]
+
+
+def test_exact_with_clashing_columns(spark):
+    rows = [(1, "a b", "x", "y"), (2, "ab", "x", "y"), (2, "ab", "z", "y"), (None, None, None, None), (3, "", "q", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, copies string")
+    kept = lsm.drop_exact_duplicates(df)
+    assert kept.columns == df.columns and sorted(str(r["text"]) for r in kept.collect()) == ["None", "a b"]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100)] + [(200, 201), (201, 202), (202, 200), (300, 300), (None, 5)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -69,8 +99,7 @@ def _reach(fps):
         label = new
 
 
-@pytest.mark.parametrize("groups", [8, 16])
-def test_simhash_links_lose_nothing(spark, groups):
+def test_simhash_links_lose_nothing(spark):
     rng = np.random.default_rng(1)
     fps = list(rng.integers(0, 1 << 63, size=60, dtype=np.uint64) * 2 + 1)
     for _ in range(400 if groups == 8 else 60):
@@ -80,7 +109,7 @@ def test_simhash_links_lose_nothing(spark, groups):
         fps.append(np.uint64(x))
     fps = np.unique(np.array(fps, dtype=np.uint64))
     nodes = spark.createDataFrame([(3 * k, int(f)) for k, f in enumerate(fps.view(np.int64))], "node long, fp long")
-    got = {r["node"]: r["component"] for r in components(simhash.links(nodes, groups=groups if groups == 8 else 8)).collect()}
+    got = {r["node"]: r["component"] for r in components(simhash.links(nodes)).collect()}
     assert [got.get(3 * k, 3 * k) for k in range(len(fps))] == [3 * x for x in _reach(fps)]
 
 
