@@ -99,17 +99,26 @@ def _reach(fps):
         label = new
 
 
-def test_simhash_links_lose_nothing(spark):
+def test_unary_counts_bound_the_distance():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(-(1 << 63), 1 << 63, (2, 500))
+    counts = lambda x: np.array([[bin(int(v) % (1 << 64) >> k & 3).count("1") for k in range(0, 64, 2)] for v in x])
+    bound = np.bitwise_count(simhash.unary_counts(a) ^ simhash.unary_counts(b))
+    assert (bound == np.abs(counts(a) - counts(b)).sum(axis=1)).all() and (bound <= np.bitwise_count((a ^ b).view(np.uint64))).all()
+
+
+@pytest.mark.parametrize("crowded", [4096, 6])
+def test_simhash_links_lose_nothing(spark, crowded):
     rng = np.random.default_rng(1)
     fps = list(rng.integers(0, 1 << 63, size=60, dtype=np.uint64) * 2 + 1)
-    for _ in range(400 if groups == 8 else 60):
+    for _ in range(400):
         x = int(fps[rng.integers(0, len(fps))] if rng.random() < 0.6 else fps[0])
         for b in rng.choice(64, size=rng.integers(1, 5), replace=False):
             x ^= 1 << int(b)
         fps.append(np.uint64(x))
     fps = np.unique(np.array(fps, dtype=np.uint64))
     nodes = spark.createDataFrame([(3 * k, int(f)) for k, f in enumerate(fps.view(np.int64))], "node long, fp long")
-    got = {r["node"]: r["component"] for r in components(simhash.links(nodes)).collect()}
+    got = {r["node"]: r["component"] for r in components(simhash.links(nodes, crowded=crowded)).collect()}
     assert [got.get(3 * k, 3 * k) for k in range(len(fps))] == [3 * x for x in _reach(fps)]
 
 

@@ -7,31 +7,42 @@ from pyspark.sql import functions as F
 
 from veriloom.llm._base import written
 
+#: A node with more than one in so many edges is a hot one.
+HOT = 1000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_lowest(edges: DataFrame, low: DataFrame, key: str, count: int) -> DataFrame:
+    """edges joined with low (u, m, n) on key = u; the nodes of more than one in HOT edges, which are few, by a broadcast."""
+    hot = F.col("n") > max(1, count // HOT)
+    common = F.broadcast(low.where(hot).drop("n"))  # 2 * HOT rows at most: an edge has two ends
+    on = F.col(key) == F.col("u")
+    return edges.join(common, on).unionByName(edges.join(common.select("u"), on, "left_anti").join(low.where(~hot).drop("n"), on))
+
+
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
     """Every larger neighbour of u is linked to the smallest of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "n")
+    return _with_lowest(both.where("b > a"), low, "a", count).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, count: int) -> DataFrame:
     """u (the larger end) and its smaller neighbours are linked to the smallest of them."""
-    low = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-    joined = edges.join(low, F.col("a") == F.col("u"))
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumnRenamed("a", "u")
+    joined = _with_lowest(edges, low, "a", count)
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 
-    Self-loops and repeated edges are ignored, edges with a null end too. Each round is written to the shared
-    folder, so its lineage is one round long; two shuffles with map-side minima a round, and hot nodes are joined
-    where adaptive execution can split them. Rounds grow with the logarithm of the longest path.
+    Self-loops and repeated edges are ignored, edges with a null end too. Each star is written to the shared
+    folder, so its lineage is short; minima are taken map-side first, and hot nodes, of which there can be few, are
+    joined by a broadcast. Rounds grow with the logarithm of the longest path.
     """
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     now = written(now, "edges")
@@ -39,7 +50,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = written(_small_star(_large_star(now)).distinct(), "edges")
+        now = written(_large_star(now, seen[0]).distinct(), "edges")
+        now = written(_small_star(now, seen[0]).distinct(), "edges")
         state = _state(now)
         if state == seen:
             break
