@@ -170,6 +170,33 @@ def test_suffix_dedup(docs, seed):
     assert sorted((tuple(r) for r in suffix.repeat_report(docs(rows)).collect()), key=str) == _repeats(rows)
 
 
+def test_clashing_hashes_are_made_again(monkeypatch):
+    """A polynomial hash that takes nearly all strings for equal is replaced by the next."""
+    rng = np.random.default_rng(3)
+    contexts = [bytes(rng.choice(list(b"ab"), 110)) for _ in range(30)] * 2
+    n = len(contexts)
+    columns = (np.zeros(n, dtype=np.int64), np.arange(n), np.zeros(n, dtype=np.int64), np.full(n, 11), np.full(n, 40))
+    right = [x.tolist() for x in suffix.repeats_in_classes(*columns, contexts, 100)]
+    assert right[0] == list(range(30, 60))
+    monkeypatch.setattr(suffix, "BASES", (np.uint64(0), *suffix.BASES))
+    assert [x.tolist() for x in suffix.repeats_in_classes(*columns, contexts, 100)] == right
+    monkeypatch.setattr(suffix, "BASES", (np.uint64(0),))
+    with pytest.raises(ArithmeticError):
+        suffix.repeats_in_classes(*columns, contexts, 100)
+
+
+def test_crowded_anchors_are_split(docs, monkeypatch):
+    """Anchor strings that are split at once, in many small parts."""
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("abcd ") for _ in range(n))
+    line, passage = text(70), text(160)
+    rows = [(d, text(rnd.randrange(90)) + line + text(rnd.randrange(90)) + (passage if d % 3 else passage[: rnd.randrange(160)]) + text(rnd.randrange(60))) for d in range(60)]
+    rows += [(70, None), (71, ""), (72, "z" * 400), (73, "z" * 150), (74, rows[3][1]), (74, rows[3][1]), (None, rows[5][1])]
+    rnd.shuffle(rows)
+    monkeypatch.setattr(suffix, "CROWDED", 3)
+    assert sorted((tuple(r) for r in suffix.repeat_report(docs(rows)).collect()), key=str) == _repeats(rows)
+
+
 def test_suffix_odd(docs, odd):
     rows = [r for r in ODD if len(r[1] or "") < 1000]
     assert sorted((tuple(r) for r in suffix.repeat_report(docs(rows)).collect()), key=str) == _repeats(rows)
