@@ -56,10 +56,10 @@ def test_series(spark):
 def test_jobs_and_retries():
     jobs = connectors.plan_jobs([{"id": "1", "queries": ["a"], "connector_queries": {"arxiv": ["b"]}}], ["openalex", "arxiv"], tiers={"openalex": "type:review"})
     assert [(j.connector, j.query) for j in jobs] == [("openalex", "a"), ("openalex", "(a) AND type:review"), ("arxiv", "b")]
-    answers = iter([(429, b""), (500, b""), (200, b"ok")])
+    answers = iter([(429, b"", {}), (500, b"", {}), (200, b"ok", {})])
     waits = []
-    assert connectors.fetch("u", lambda _: next(answers), waits.append) == (200, b"ok") and waits == [2.0, 4.0]
-    assert connectors.fetch("u", lambda _: (404, b"no"), waits.append) == (404, b"no")
+    assert connectors.fetch("u", lambda *_: next(answers), waits.append) == (200, b"ok") and waits == [2.0, 4.0]
+    assert connectors.fetch("u", lambda *_: (404, b"no", {}), waits.append) == (404, b"no")
     assert connectors.arxiv_query('"vitamin d" of cells') == 'all:"vitamin d" AND all:cells'
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window as W
 from veriloom.functions.scan import CITATION, ParseDraft, find_quote, parse_citations
 from veriloom.functions.text import number_match, numbers, significant, with_overlap, words
 from veriloom.functions.words import STOP_EN
+from veriloom.operators.evidence import VERIFIED, main_estimate
 
 # Wording of causes, absolutes, hedges, animals, statements of fact and conclusions, in English and Polish.
 CAUSAL = r"(?iU)\b(causes?|caused|causing|leads? to|results? in|prevents?|prevented|cures?|cured|protects? against|eliminates?|reverses?|boosts?|improves?|reduces?|increases?|decreases?|lowers?|raises?|powoduj\w*|spowodowa\w*|prowadzi do|zapobieg\w*|lecz[yąy]\w*|chroni\w* przed|zmniejsz\w*|zwiększ\w*|obniż\w*|podnos\w*|popraw\w*|redukuj\w*|wywołuj\w*)\b"
@@ -19,8 +22,8 @@ EMPIRICAL = r"(?iU)\b(stud(y|ies)|trials?|evidence|meta-analys\w*|research|found
 CONCLUSION = r"(?iU)(conclusion|summary|bottom line|take[- ]home|implications|discussion of limits|wnioski|podsumowanie|konkluzj|zakończenie)"
 # The score's parts and their weights.
 WEIGHTS = {"support": 30, "numbers": 20, "quotes": 10, "coverage": 20, "calibration": 10, "balance_scope": 10, "evidence_table": 5}
-SEVERITIES = ("hard", "error", "warn", "info")
-CHECKS = ("integrity", "quotes", "numbers", "support", "coverage", "calibration", "balance", "freshness", "scope", "primary", "tables", "format", "depth")
+SEVERITIES = ("hard", "error", "warn", "note")
+CHECKS = ("integrity", "quotes", "numbers", "support", "coverage", "calibration", "primary", "tables", "balance")
 HUMAN_RANK = ("guideline", "legislation", "standard")
 
 
@@ -40,12 +43,31 @@ def _issue(df: DataFrame, severity: Column | str, check: str, message: Column |
     return df.select("draft", lit(severity).alias("severity"), F.lit(check).alias("check"), lit(message).alias("message"), "line", F.col("sentence").alias("text"))
 
 
-def verify(drafts: DataFrame, sources: DataFrame, causal_designs: list[str], nfkc: bool = True) -> tuple[DataFrame, DataFrame]:
+@dataclass
+class Matrix:
+    """What the checks of claims, sub-questions and tables need, all of one project.
+
+    claims: claim_id, subq. evidence: claim_id, key. votes: claim_id, keys_for, keys_against, keys_mixed (claim_summary gives
+    them). works: key, year, design, abstract. subqs: subq. hits: subq, key (of included works). cells: key, field,
+    verified. fields: whether the packs have extraction fields.
+    """
+
+    claims: DataFrame
+    evidence: DataFrame
+    votes: DataFrame
+    works: DataFrame
+    subqs: DataFrame
+    hits: DataFrame
+    cells: DataFrame
+    fields: bool = True
+
+
+def verify(drafts: DataFrame, sources: DataFrame, causal_designs: list[str], nfkc: bool = True, matrix: Matrix | None = None) -> tuple[DataFrame, DataFrame]:
     """(issues, scores). drafts: draft, text. sources: key, status, is_retracted, is_preprint, published_version, design, depth (fulltext, abstract or metadata), lang, text.
 
     issues: draft, severity, check, message, line, text. scores: draft, score, hard, errors, passed, band and the parts.
     Sentences, citations, quotes and numbers are rows; every check is a join or a grouped aggregate by draft and position.
-    Claim-level checks (balance, freshness, scope) take part through balance_issues.
+    With a matrix, balance, freshness, scope, main results and tables are checked and scored too.
     """
     s = parse_drafts(drafts)
     s = s.withColumns({"numbers": F.filter(numbers("plain", nfkc), significant), "cited": F.size("cites") > 0})
@@ -98,8 +120,15 @@ def verify(drafts: DataFrame, sources: DataFrame, causal_designs: list[str], nfk
     for x in issues[1:]:
         found = found.unionByName(x)
     depth = known.where(~unknown).groupBy("draft").agg(F.count_distinct(F.when(F.col("depth") == "fulltext", F.col("key"))).alias("full"), F.count_distinct("key").alias("cited_keys"))
-    shallow = depth.where("full < 0.5 * cited_keys").select("draft", F.lit("info").alias("severity"), F.lit("depth").alias("check"), F.lit("less than half of the sources were read in full").alias("message"), F.lit(0).alias("line"), F.lit("").alias("text"))
+    shallow = depth.where("full < 0.5 * cited_keys").select("draft", F.lit("note").alias("severity"), F.lit("depth").alias("check"), F.lit("less than half of the sources were read in full").alias("message"), F.lit(0).alias("line"), F.lit("").alias("text"))
     found = found.unionByName(shallow)
+    listed = s.select("draft").distinct().join(drafts.where(F.col("text").rlike(r"(?im)^#{1,6}\s*(references|bibliography|works cited|sources|bibliografia|literatura|źródła|przypisy)\b")).select("draft"), "draft", "left_semi")
+    found = found.unionByName(_draft_issue(listed, "note", "format", "the draft has a hand-written list of references"))
+    more = None
+    if matrix is not None:
+        cited = known.where(~unknown).select("draft", "key").distinct()
+        extra, more = matrix_checks(drafts, s.select("draft").distinct(), cited, known.where(~unknown).select("draft", "key", "numbers", "line"), matrix, nfkc)
+        found = found.unionByName(extra)
     # score
     parts = s.groupBy("draft").agg(F.count_if(F.col("empirical") & ~F.col("cited")).alias("uncited"), F.count_if("empirical").alias("empirical"), F.count_if(F.col("cited") & ~F.col("in_table")).alias("cited_sentences"))
     parts = parts.join(best.groupBy("draft").agg(F.sum("support").alias("support_sum"), F.count("*").alias("supported"), F.sum("over").alias("over")), "draft", "left")
@@ -107,9 +136,83 @@ def verify(drafts: DataFrame, sources: DataFrame, causal_designs: list[str], nfk
     parts = parts.join(credit.groupBy("draft").agg(F.sum("credit").alias("credit"), F.count("*").alias("checked")), "draft", "left")
     parts = parts.join(q.groupBy("draft").agg(F.sum("right").alias("right"), F.count("*").alias("quotes")), "draft", "left")
     parts = parts.join(found.groupBy("draft").agg(F.count_if(F.col("severity") == "hard").alias("hard"), F.count_if(F.col("severity") == "error").alias("errors")), "draft", "left").fillna(0, ["hard", "errors"])
+    if more is not None:
+        parts = parts.join(more, "draft", "left")
     return ranked_issues(found), score(parts)
 
 
+def _draft_issue(df: DataFrame, severity: Column | str, check: str, message: Column | str, line: Column | None = None) -> DataFrame:
+    """Issues of whole drafts (draft)."""
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return df.select("draft", lit(severity).alias("severity"), F.lit(check).alias("check"), lit(message).alias("message"), (F.lit(0) if line is None else line).cast("int").alias("line"), F.lit("").alias("text"))
+
+
+def scope_issues(claims: DataFrame, evidence: DataFrame, subqs: DataFrame, hits: DataFrame, cited: DataFrame, drafts: DataFrame) -> DataFrame:
+    """(draft, subq): sub-questions none of whose sources a draft cites. Sources: those of its claims, or, where these have none, its included hits."""
+    own = claims.select("claim_id", "subq").join(evidence.select("claim_id", "key"), "claim_id").select("subq", "key").distinct()
+    found = hits.select("subq", "key").distinct().join(own.select("subq").distinct(), "subq", "left_anti")
+    sources = subqs.select("subq").distinct().join(own.unionByName(found), "subq")
+    touched = sources.join(cited.select("draft", "key"), "key").select("draft", "subq").distinct()
+    asked = drafts.select("draft").distinct().withColumn("subqs", F.lit(1)).join(sources.select("subq").distinct().withColumn("subqs", F.lit(1)), "subqs").drop("subqs")
+    return asked.join(touched, ["draft", "subq"], "left_anti")
+
+
+def primary_results(uses: DataFrame, works: DataFrame, nfkc: bool = True) -> DataFrame:
+    """(draft, key, label, estimate, stated): cited reviews that a draft reports numbers of, and whether their main estimate is among them (within 0.0051). uses: draft, key, numbers; works: key, design, abstract."""
+    reported = uses.select("draft", "key", F.explode("numbers").alias("n")).where((F.col("n.decimals") > 0) & ~F.col("n.pct"))
+    values = reported.groupBy("draft", "key").agg(F.flatten(F.collect_list("n.values")).alias("values"))
+    heads = works.where("design = 'sr_ma'").select("key", main_estimate("abstract", nfkc).alias("e")).where("e is not null").select("key", "e.label", "e.estimate")
+    return values.join(heads, "key").select("draft", "key", "label", "estimate", F.exists("values", lambda v: F.abs(v - F.col("estimate")) < 0.0051).alias("stated"))
+
+
+# How a draft marks a table's place, the tables there are, and designs that are no research.
+TABLE_PLACE = r"<!--\s*(?:fr|cg):table\s+(\S+)[^>]*?-->"
+TABLES = ("extraction", "sources", "sof", "matrix", "forest", "custom")
+NO_RESEARCH = ("dataset", "legislation", "judgment", "standard", "trial_registration")
+
+
+def verified_share(cells: DataFrame, cited: DataFrame, works: DataFrame) -> DataFrame:
+    """(draft, research, covered, rows): cited research sources, those with a verified cell, and all keys with one."""
+    rows = cells.where(F.coalesce("verified", F.lit(0.0)) >= VERIFIED).select("key").distinct()
+    research = cited.join(works.where(~F.col("design").isin(*NO_RESEARCH)).select("key"), "key", "left_semi")
+    marked = research.join(rows.withColumn("has", F.lit(1)), "key", "left")
+    return marked.groupBy("draft").agg(F.count("*").alias("research"), F.count("has").alias("covered")).join(rows.agg(F.count("*").alias("rows")))  # one row
+
+
+def matrix_checks(drafts: DataFrame, known: DataFrame, cited: DataFrame, uses: DataFrame, m: Matrix, nfkc: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(issues, (draft, balance_scope, evidence_table)) of drafts from their cited keys and the numbers that stand by them."""
+    unbalanced = balance_issues(m.votes, cited)
+    uncovered = scope_issues(m.claims, m.evidence, m.subqs, m.hits, cited, known)
+    primary = primary_results(uses, m.works, nfkc)
+    voted = m.votes.select("claim_id", F.explode(F.array(*[F.struct(F.lit(s).alias("stance"), F.col(k).alias("keys")) for s, k in (("for", "keys_for"), ("against", "keys_against"), ("mixed", "keys_mixed"))])).alias("v")).select("claim_id", "v.stance", F.explode("v.keys").alias("key"))
+    stale = freshness_issues(voted, m.works, cited).select("draft", "claim_id").distinct()
+    tables = drafts.select("draft", F.explode(F.regexp_extract_all("text", F.lit(TABLE_PLACE), F.lit(1))).alias("name"))
+    share = known.join(verified_share(m.cells, cited, m.works), "draft", "left").join(tables.where("name = 'extraction'").select("draft").distinct().withColumn("placed", F.lit(True)), "draft", "left")
+    due = (F.col("research") >= 3) & F.lit(m.fields)
+    empty = F.coalesce("placed", F.lit(False)) & (F.col("rows") > 0)
+    covered = F.col("covered") / F.col("research")
+    table_part = F.when(due, F.when(~empty, 0.0).otherwise(F.least(F.lit(1.0), covered / 0.5)))
+    issues = [
+        _draft_issue(unbalanced, "warn", "balance", F.concat(F.lit("contrary evidence is never mentioned: "), "claim_id")),
+        _draft_issue(stale, "note", "freshness", F.concat(F.lit("a newer synthesis is not cited: "), "claim_id")),
+        _draft_issue(uncovered, "warn", "scope", F.concat(F.lit("not addressed: "), "subq")),
+        _draft_issue(primary.where("not stated"), "warn", "primary", F.concat(F.lit("the main result is not reported of @"), "key")),
+        _draft_issue(tables.where(~F.col("name").isin(*TABLES)).distinct(), "warn", "tables", F.concat(F.lit("unknown table "), "name")),
+        _draft_issue(tables.where("name = 'extraction'").select("draft").distinct().join(m.cells.where(F.coalesce("verified", F.lit(0.0)) < VERIFIED).select(F.concat_ws(".", "key", "field").alias("cell"))), "warn", "tables", F.concat(F.lit("a cell failed verification: "), "cell")),
+        _draft_issue(share.where(due & ~empty), "warn", "tables", "no verified evidence table"),
+        _draft_issue(share.where(due & empty & (covered < 0.5)), "note", "tables", "the evidence table covers less than half of the cited studies"),
+    ]
+    found = issues[0]
+    for x in issues[1:]:
+        found = found.unionByName(x)
+    count = lambda df, name: df.groupBy("draft").agg(F.count("*").alias(name))
+    bad = known.join(count(unbalanced, "a"), "draft", "left").join(count(uncovered, "b"), "draft", "left").join(primary.groupBy("draft").agg(F.count("*").alias("reviews"), F.count_if(~F.col("stated")).alias("c")), "draft", "left").fillna(0, ["a", "b", "c", "reviews"])
+    total = m.claims.agg(F.count("*").alias("claims")).join(m.subqs.agg(F.count("*").alias("subqs")))  # one row each
+    of = F.col("claims") + F.col("subqs") + F.col("reviews")
+    part = bad.join(total).select("draft", F.when(of > 0, F.greatest(F.lit(0.0), F.lit(1.0) - (F.col("a") + F.col("b") + F.col("c")) / of)).alias("balance_scope"))
+    return found, part.join(share.select("draft", table_part.alias("evidence_table")), "draft")
+
+
 def score(parts: DataFrame) -> DataFrame:
     """The weighted mean of the parts that a draft has, times 100; at most 20 without a cited sentence; 15 less for each hard issue; a draft passes at 80 without hard issues and errors."""
     ratio = {
@@ -130,14 +233,15 @@ def score(parts: DataFrame) -> DataFrame:
     raw = F.when(F.col("cited_sentences") == 0, F.least(raw, F.lit(20.0))).otherwise(raw)
     value = F.round(F.greatest(F.lit(0.0), raw - 15 * F.col("hard")), 1)
     p = p.withColumn("score", value)
-    band = F.when(F.col("score") >= 90, "excellent").when(F.col("score") >= 80, "good").when(F.col("score") >= 60, "needs work").otherwise("poor")
+    band = F.when(F.col("score") >= 90, "verified").when(F.col("score") >= 80, "solid").when(F.col("score") >= 60, "needs work").otherwise("unreliable")
     return p.select("draft", "score", "hard", "errors", ((F.col("score") >= 80) & (F.col("hard") == 0) & (F.col("errors") == 0)).alias("passed"), band.alias("band"), *[f"part_{k}" for k in ratio])
 
 
 def ranked_issues(issues: DataFrame) -> DataFrame:
-    """Adds rank: by severity, the order of checks, line."""
+    """Adds rank: by severity, the order of checks (the others last), line."""
     place = lambda c, xs: F.array_position(F.array(*[F.lit(x) for x in xs]), F.col(c))
-    order = W.partitionBy("draft").orderBy(place("severity", SEVERITIES), place("check", CHECKS), "line", "message")
+    check = place("check", CHECKS)
+    order = W.partitionBy("draft").orderBy(place("severity", SEVERITIES), F.when(check > 0, check).otherwise(len(CHECKS) + 1), "line", "message")
     return issues.withColumn("rank", F.row_number().over(order))
 
 
