@@ -49,7 +49,17 @@ def export(works: DataFrame, form: str, path: str) -> None:
     works.select(made.alias("value")).write.mode("overwrite").text(path)
 
 
-def vault(works: DataFrame, path: str) -> None:
-    """A note per source, partitioned by key, as Markdown lines."""
+def vault(works: DataFrame, path: str, claims: DataFrame | None = None) -> None:
+    """Markdown notes: sources by key, claims (claim_id, text, consensus, certainty, keys_for, keys_against, keys_mixed) by id with links to their sources, and an index."""
     lines = F.array_compact(F.array(F.concat(F.lit("# "), _some("title")), F.concat(F.lit("year:: "), _some("year")), F.concat(F.lit("design:: "), _some("design")), F.concat(F.lit("doi:: "), _some(norm_doi("doi"))), _some("abstract")))
-    works.select("key", F.array_join(lines, "\n").alias("value")).write.mode("overwrite").partitionBy("key").text(path)
+    works.select("key", F.array_join(lines, "\n").alias("value")).write.mode("overwrite").partitionBy("key").text(f"{path}/sources")
+    heads = [works.select(F.lit(1).alias("part"), F.concat(F.lit("- [["), "key", F.lit("]]")).alias("value"))]
+    if claims is not None:
+        links = lambda c, stance: F.transform(c, lambda k: F.concat(F.lit("- [["), k, F.lit(f"]] ({stance})")))
+        body = F.concat(F.array_compact(F.array(F.concat(F.lit("# "), F.col("text")), F.concat(F.lit("consensus:: "), F.col("consensus").cast("string")), F.concat(F.lit("certainty:: "), F.col("certainty")))), links("keys_for", "for"), links("keys_against", "against"), links("keys_mixed", "mixed"))
+        claims.select(F.col("claim_id").alias("claim"), F.array_join(body, "\n").alias("value")).write.mode("overwrite").partitionBy("claim").text(f"{path}/claims")
+        heads.append(claims.select(F.lit(3).alias("part"), F.concat(F.lit("- [["), "claim_id", F.lit("]]")).alias("value")))
+    index = works.sparkSession.createDataFrame([(0, "# Sources"), (2, "# Claims")][: len(heads)], "part int, value string")
+    for h in heads:
+        index = index.unionByName(h)
+    index.orderBy("part", "value").select("value").coalesce(1).write.mode("overwrite").text(f"{path}/index")

@@ -90,3 +90,24 @@ def find_statements(text: str = "text"):
     """struct<funding, coi> of the last 60,000 characters."""
     tail = F.right(F.coalesce(F.col(text), F.lit("")), F.lit(60000))
     return F.struct(*[F.trim(F.regexp_replace(F.regexp_extract(tail, p, 1), r"\s+", " ")).alias(k) for k, p in STATEMENTS.items()])
+
+
+def field_counts(works: DataFrame, fields: str = "fields") -> DataFrame:
+    """How many works have each field of research; fields: array<string>."""
+    return topic_histogram(works.select(F.explode(fields).alias("topic")))
+
+
+def related_reviews(works: DataFrame, since: int | None = None, limit: int = 10) -> DataFrame:
+    """Reviews (kind), the newest first, from a year on; a short list is the feature."""
+    found = works.where("kind = 'review'")
+    return (found.where(F.col("year") >= since) if since else found).orderBy(F.desc("date"), "key").limit(limit)
+
+
+def works_where(works: DataFrame, status: tuple[str, ...] | str | None = None, origin: str | None = None) -> DataFrame:
+    """Works of some statuses and an origin, in the order in which they came (created, key)."""
+    out = works
+    if status:
+        out = out.where(F.col("status").isin(*([status] if isinstance(status, str) else status)))
+    if origin:
+        out = out.where(F.col("origin") == origin)
+    return out.orderBy("created", "key")

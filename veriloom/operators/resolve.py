@@ -91,7 +91,7 @@ def unique_keys(bases: DataFrame, base: str = "base", order: str = "work") -> Da
     A key that equals another row's natural base moves on until it is free; rounds end when none does.
     """
     out = bases.withColumn("n", F.row_number().over(W.partitionBy(base).orderBy(order))).withColumn("key", F.concat(base, key_suffix(F.col("n"))))
-    for _ in range(30):
+    for _ in range(1000):
         natural = out.where("n = 1").select(F.col("key").alias("taken"))
         clash = out.where("n > 1").join(natural, F.col("key") == F.col("taken"), "left_semi").select(order)
         if clash.isEmpty():
@@ -99,20 +99,56 @@ def unique_keys(bases: DataFrame, base: str = "base", order: str = "work") -> Da
         hit = clash.withColumn("hit", F.lit(1))
         out = out.join(hit, order, "left").withColumn("shift", F.sum(F.coalesce("hit", F.lit(0))).over(W.partitionBy(base).orderBy("n")))
         out = out.withColumn("n", F.col("n") + F.col("shift").cast("int")).drop("hit", "shift").withColumn("key", F.concat(base, key_suffix(F.col("n"))))
-    return out.drop("n")
+        out = _written(out)
+    raise RuntimeError("the keys did not settle")
+
+
+def rename_chain(renames: DataFrame) -> DataFrame:
+    """(old, current): each key followed to the end of its renames. renames: old (once each), new. Paths double every round; a circle is an error."""
+    now = _written(renames.select("old", F.col("new").alias("current")))
+    for _ in range(64):
+        step = now.select(F.col("old").alias("from_"), F.col("current").alias("to_"))
+        new = _written(now.join(step, F.col("current") == F.col("from_"), "left").select("old", F.coalesce("to_", "current").alias("current"), F.col("to_").isNotNull().alias("moved")))
+        if new.where("moved").isEmpty():
+            return new.drop("moved")
+        now = new.drop("moved")
+    raise RuntimeError("keys are renamed in a circle")
 
 
-def rename_chain(renames: DataFrame, rounds: int = 20) -> DataFrame:
-    """(old, current): each key followed to the end of its renames. renames: old, new."""
-    now = renames.select("old", F.col("new").alias("current"))
-    step = renames.select(F.col("old").alias("from_"), F.col("new").alias("to_"))
-    for _ in range(rounds):
-        new = now.join(step, F.col("current") == F.col("from_"), "left").select("old", F.coalesce("to_", "current").alias("current"), F.col("to_").isNotNull().alias("moved"))
-        moved = not new.where("moved").isEmpty()
-        now = new.drop("moved")
-        if not moved:
-            break
-    return now
+def rekeyed(tables: dict[str, DataFrame], renames: DataFrame, column: str = "key") -> dict[str, DataFrame]:
+    """The tables with renamed keys in place of old ones, the renames' chains followed."""
+    to = rename_chain(renames)
+    out = {}
+    for name, df in tables.items():
+        joined = df.join(to, df[column] == to["old"], "left")
+        out[name] = joined.withColumn(column, F.coalesce("current", df[column])).select(*df.columns)
+    return out
+
+
+def upsert_works(library: DataFrame, index: DataFrame, arrivals: DataFrame, ids: DataFrame, references: DataFrame, **rules) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(library, index, renames) after arrivals. library: key, base and fields; index: kind, value, key; arrivals: work, base and the same fields; ids: work, kind, value, prio; references: key (used elsewhere).
+
+    An arrival joins the work that its first known identifier belongs to, or gets a new key from its base. Fields are merged
+    (`rules` as in merge_works), identifiers are indexed, the first writer keeps one. If the merged base differs, a key that
+    nothing refers to is made anew from it.
+    """
+    hits = lookup_existing(ids, index.select("kind", "value", "key"))
+    came = arrivals.join(hits, "work", "left")
+    taken = library.select(F.lit(0).cast("long").alias("work"), F.col("key").alias("base"), "key")
+    fresh = came.where("key is null").select("work", "base")
+    both = taken.select("work", "base", F.col("key").alias("was")).unionByName(fresh.withColumn("was", F.lit(None).cast("string")))
+    named = unique_keys(both.withColumn("order", F.struct(F.col("was").isNull(), "work", "was")), order="order").where("was is null").select("work", F.col("key").alias("new_key"))
+    placed = came.join(named, "work", "left").withColumn("key", F.coalesce("key", "new_key")).drop("new_key")
+    rows = library.withColumn("work", F.lit(0).cast("long")).unionByName(placed.select(*library.columns, "work"))
+    merged = _written(merge_works(rows, group="key", order="work", **rules).drop("records"))
+    indexed = index.withColumn("arrival", F.lit(0).cast("long")).unionByName(ids.join(placed.select("work", "key"), "work").select("kind", "value", "key", F.col("work").alias("arrival")))
+    latest = rows.groupBy("key").agg(F.max_by("base", "work").alias("latest"), F.min_by("base", "work").alias("first"))
+    moved = latest.where("first <> latest").join(references.select("key").distinct(), "key", "left_anti").select(F.col("key").alias("old"), F.col("latest").alias("base"))
+    others = merged.select(F.col("key").alias("base")).join(moved.select(F.col("old").alias("base")), "base", "left_anti").withColumn("old", F.lit(None).cast("string"))
+    renames = unique_keys(others.unionByName(moved.select("base", "old")).withColumn("order", F.struct(F.col("old").isNotNull(), "old", "base")), order="order").where("old is not null").select("old", F.col("key").alias("new")).where("old <> new")
+    renames = _written(renames)
+    tables = rekeyed({"library": merged, "index": index_ids(indexed)}, renames)
+    return tables["library"], tables["index"], renames
 
 
 def lookup_existing(ids: DataFrame, known: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from veriloom.functions.text import with_overlap
+from veriloom.functions.scan import chunk_text
+from veriloom.functions.text import STOP, stem, with_overlap, words
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
@@ -70,3 +71,36 @@ def best_passages(index: PassageIndex, passages: DataFrame, sentences: DataFrame
     hits = index.search(sentences, 12).join(passages.select("id", "text"), "id").join(sentences.select("query_id", "query"), "query_id")
     scored = with_overlap(hits, "query", "text", nfkc=nfkc)
     return scored.groupBy("query_id").agg(F.max_by(F.struct("id", "overlap"), F.struct("overlap", -F.col("place"))).alias("b")).select("query_id", "b.id", "b.overlap")
+
+
+def abstract_passages(works: DataFrame) -> DataFrame:
+    """(key, loc, place, text): abstracts (key, title, abstract) in passages, the title before them; works without an abstract have none."""
+    whole = F.concat_ws(". ", F.nullif(F.rtrim("title", F.lit(".")), F.lit("")), "abstract")
+    return works.where(F.coalesce("abstract", F.lit("")) != "").select("key", F.lit("abstract").alias("loc"), F.posexplode(chunk_text(whole)).alias("place", "text"))
+
+
+def overlap_join(queries: DataFrame, passages: DataFrame, nfkc: bool = True) -> DataFrame:
+    """(query_id, id, overlap) of every query (query_id, query) and passage (id, text) that share a content token: the measure of overlap(), by joins.
+
+    Tokens are exploded before they are stemmed, so stems are made in generated code; queries and passages meet on tokens
+    and on neighbouring pairs only.
+    """
+
+    def stems(df: DataFrame, by: str, c: str) -> DataFrame:
+        w = F.filter(words(c, nfkc), lambda x: (F.length(x) > 1) & ~x.isin(*STOP))
+        return df.select(by, F.posexplode(w).alias("at", "w")).select(by, "at", stem(F.col("w")).alias("t"))
+
+    def pairs(df: DataFrame, by: str) -> DataFrame:
+        order = W.partitionBy(by).orderBy("at")
+        return df.withColumn("next", F.lead("t").over(order)).where("next is not null").select(by, F.concat_ws(" ", "t", "next").alias("pair")).distinct()
+
+    q, p = stems(queries, "query_id", "query"), stems(passages, "id", "text")
+    size = q.groupBy("query_id").agg(F.count("*").alias("n"))
+    asked = q.groupBy("query_id", "t").agg(F.count("*").alias("times"))
+    one = p.select("id", "t").distinct().join(asked, "t").groupBy("query_id", "id").agg(F.sum("times").alias("shared")).join(size, "query_id")
+    own = pairs(q, "query_id")
+    kinds = own.groupBy("query_id").agg(F.count("*").alias("kinds"))
+    both = pairs(p.join(one.select("id").distinct(), "id", "left_semi"), "id").join(own, "pair").groupBy("query_id", "id").agg(F.count("*").alias("two")).join(kinds, "query_id")
+    u, b = F.col("shared") / F.col("n"), F.coalesce(F.col("two") / F.col("kinds"), F.lit(0.0))
+    full = F.least(F.lit(1.0), F.lit(0.8) * u + F.lit(0.2) * b + F.lit(0.1) * b * u)
+    return one.join(both.select("query_id", "id", "two", "kinds"), ["query_id", "id"], "left").select("query_id", "id", F.when(F.col("n") < 2, u).otherwise(full).alias("overlap"))

@@ -98,17 +98,35 @@ def forest_rows(cells: DataFrame, field: str = "effect") -> DataFrame:
     return latest_cells(cells).where(F.col("field") == field).select("key", parse_effect("value").alias("e")).where("e is not null").select("key", F.upper("e.metric").alias("metric"), "e.estimate", "e.low", "e.high")
 
 
-def forest_range(rows: DataFrame) -> DataFrame:
-    """One row: whether the axis is logarithmic (all metrics ratios, all bounds positive), the null line, and the range with 8 % to spare."""
+def forest_range(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A row (for each group, if asked for): whether the axis is logarithmic (all metrics ratios, all bounds positive), the null line, and the range with 8 % to spare."""
     log = F.bool_and(F.col("metric").isin(*RATIOS) & (F.col("low") > 0))
-    null = F.when(log, 1.0).otherwise(0.0)
-    r = rows.agg(log.alias("log_scale"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).withColumn("null_line", F.when(F.col("log_scale"), 1.0).otherwise(0.0))
+    r = rows.groupBy(*(by or [])).agg(log.alias("log_scale"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).withColumn("null_line", F.when(F.col("log_scale"), 1.0).otherwise(0.0))
     place = lambda c: F.when(F.col("log_scale"), F.ln(c)).otherwise(c)
     a, b = place(F.least("low", "null_line")), place(F.greatest("high", "null_line"))
-    return r.select("n", "log_scale", "null_line", (a - (b - a) * 0.08).alias("axis_from"), (b + (b - a) * 0.08).alias("axis_to"))
+    return r.select(*(by or []), "n", "log_scale", "null_line", (a - (b - a) * 0.08).alias("axis_from"), (b + (b - a) * 0.08).alias("axis_to"))
 
 
 def first_uses(citations: DataFrame) -> DataFrame:
     """(draft, key, number): citations numbered by first appearance. citations: draft, key, position."""
     first = citations.groupBy("draft", "key").agg(F.min("position").alias("position"))
     return first.withColumn("number", F.row_number().over(W.partitionBy("draft").orderBy("position", "key"))).drop("position")
+
+
+def nth_uses(citations: DataFrame) -> DataFrame:
+    """citations (draft, key, position) with `use`: the how manieth use of its key in the draft each is."""
+    return citations.withColumn("use", F.row_number().over(W.partitionBy("draft", "key").orderBy("position")))
+
+
+def written_cells(cells: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFrame:
+    """Cells (key, field, value, quote, loc) as they are kept: `verified` is 1 where nothing is reported, else the check's score; a quote without a place gets the first page (key, page, loc, text) that has it."""
+    checked = check_cells(cells, sources).withColumnRenamed("score", "verified")
+    asked = cells.where((F.coalesce("loc", F.lit("")) == "") & (F.coalesce("quote", F.lit("")) != "")).select("key", "field", "quote").join(pages, "key")
+    found = asked.withColumn("f", find_quote("quote", "text")).where(F.col("f.similarity") >= 0.9).groupBy("key", "field").agg(F.min_by("loc", "page").alias("at"))
+    return checked.join(found, ["key", "field"], "left").withColumn("loc", F.coalesce(F.nullif("loc", F.lit("")), "at", F.lit(""))).drop("at", "problem")
+
+
+def grouped_lists(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, rows): the rows of each group as structs in order."""
+    rest = [c for c in rows.columns if c not in (by, order)]
+    return rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("rows"))

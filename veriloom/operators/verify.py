@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -276,3 +277,59 @@ def detect_language_votes(text: Column) -> Column:
     """Shares of English stop words, for the cross-language rule."""
     w = words(text, nfkc=False)
     return F.size(F.filter(w, lambda x: x.isin(*sorted(STOP_EN)))) / F.nullif(F.size(w), F.lit(0))
+
+
+def style_scores(drafts: DataFrame, scorer: Callable[[str], float]) -> DataFrame:
+    """(draft, style) by a scorer of one's own (text to a number); one that fails gives null."""
+
+    def safe(x: str) -> float | None:
+        try:
+            return float(scorer(x or ""))
+        except Exception:  # noqa: BLE001  whatever a foreign scorer raises
+            return None
+
+    return drafts.select("draft", F.udf(safe, "double")("text").alias("style"))
+
+
+def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
+    """(query_id, id, cosine, place): the k vectors (id, vector) nearest each query (id, vector), itself left out; by the cosine to six places, then id.
+
+    Queries, a stated set, go to all rows in blocks of a fixed size; a task keeps the best of each query that it sees.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = vectors.sparkSession
+    listed = queries.select("id", "vector").where("vector is not null")
+    blocks = max(1, -(-listed.count() // block))
+    dealt = listed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    found = None
+    for number in range(blocks):
+        rows = dealt.where(F.col("block") == number).orderBy("id").collect()  # about `block` rows
+        if not rows:
+            continue
+        ids = np.array([r["id"] for r in rows])
+        unit = np.array([r["vector"] for r in rows], dtype=np.float64)
+        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+        shared = spark.sparkContext.broadcast((ids, unit))
+
+        def best(batches, shared=shared):
+            ids, unit = shared.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                own = pdf["id"].to_numpy()
+                x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                score = np.round(unit @ x.T, 6)
+                score[ids[:, None] == own[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
+                q = np.repeat(ids, order.shape[1])
+                out = pd.DataFrame({"query_id": q, "id": own[order].ravel(), "cosine": np.take_along_axis(score, order, axis=1).ravel()})
+                yield out[np.isfinite(out["cosine"])]
+
+        one = vectors.select("id", "vector").where("vector is not null").mapInPandas(best, "query_id long, id long, cosine double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, id long, cosine double")
+    return found.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))).where(F.col("place") <= k)

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veriloom.plans import pack_words
+
 LEVELS = ("very low", "low", "moderate", "high")
 PACKS = ("medicine", "psychology", "general", "cs_ai", "engineering", "physics", "chemistry", "economics", "climate", "law_pl_eu")
 
@@ -73,6 +75,7 @@ class Pack:
     keywords: list[str] = field(default_factory=list)
     top_venues: list[str] = field(default_factory=list)
     screening: dict = field(default_factory=dict)
+    topic_fields: list[str] = field(default_factory=list)
 
 
 def builtin() -> dict[str, Pack]:
@@ -92,6 +95,8 @@ def builtin() -> dict[str, Pack]:
         p.connectors, p.optional, p.causal, p.fields = own.split(), more.split(), causal.split(), fields.split()
         per, since, p.style = numbers.split()
         p.per_query, p.since = int(per), int(since)
+        p.keywords, p.topic_fields, p.top_venues = (pack_words.listed(t.get(name, "")) for t in (pack_words.KEYWORDS, pack_words.FIELDS, pack_words.VENUES))
+        p.screening = dict(pack_words.SCREENING)
     return packs
 
 
@@ -161,20 +166,31 @@ def combined(*names: str, packs: dict[str, Pack] | None = None) -> Combined:
     return Combined([known[n] for n in names])
 
 
-def detect(questions: DataFrame, text: str, packs: dict[str, Pack], by: str = "id") -> DataFrame:
-    """(id, pack, score) for questions: packs whose keywords begin words of it, at least half as many as the best pack has, three at most; `general` if none."""
+def detect(questions: DataFrame, text: str, packs: dict[str, Pack], by: str = "id", fields: str | None = None) -> DataFrame:
+    """(id, pack, score) for questions: how many of a pack's keywords begin words of it; packs with half the best score and more, three at most; `general` if none.
+
+    fields: a column with the fields of research of a question's first hits; three times the share that a pack knows is added. Each
+    question meets the packs' keywords, a table of fixed size, in one pass over its text.
+    """
     from pyspark.sql import functions as F
     from pyspark.sql.window import Window as W
 
     from veriloom.functions.text import normalize, strip_accents
 
-    keywords = [(p.name, k.lower()) for p in packs.values() if p.name != "general" for k in p.keywords]
-    table = questions.sparkSession.createDataFrame(keywords, "pack string, keyword string")  # the packs' keywords: bounded
-    plain = F.lower(strip_accents(normalize(text)))
-    hit = F.expr("rlike(plain, concat('(?<![a-z])\\\\Q', folded, '\\\\E'))")
-    table = table.withColumn("folded", strip_accents("keyword"))
-    own = questions.select(by, plain.alias("plain"))
-    found = own.join(F.broadcast(table), hit).groupBy(by, "pack").agg(F.count("*").cast("double").alias("score"))
+    known = [p for p in packs.values() if p.name != "general"]
+    keywords = sorted({(p.name, k.lower()) for p in known for k in p.keywords})
+    spark = questions.sparkSession
+    table = spark.createDataFrame(keywords, "pack string, keyword string").select("pack", strip_accents("keyword").alias("keyword")).distinct().groupBy("pack").agg(F.array_sort(F.collect_list("keyword")).alias("keywords"))
+    columns = [F.lower(strip_accents(normalize(text))).alias("plain")] + ([F.col(fields).alias("own_fields")] if fields else [])
+    own = questions.select(by, *columns)
+    hit = lambda k: F.rlike(F.col("plain"), F.concat(F.lit(r"(?<![a-z])\Q"), k, F.lit(r"\E")))
+    pairs = own.crossJoin(F.broadcast(table))  # a row for each pack: ten or so
+    found = pairs.select(by, "pack", F.size(F.filter("keywords", hit)).cast("double").alias("score"))
+    if fields:
+        shares = spark.createDataFrame([(p.name, p.topic_fields) for p in known], "pack string, pack_fields array<string>")
+        known_share = F.expr("size(filter(own_fields, f -> array_contains(pack_fields, f))) / greatest(size(own_fields), 1)")
+        found = found.unionByName(own.crossJoin(F.broadcast(shares)).select(by, "pack", (F.lit(3.0) * known_share).alias("score"))).groupBy(by, "pack").agg(F.sum("score").alias("score"))
+    found = found.where("score > 0")
     best = W.partitionBy(by)
     ranked = found.withColumn("top", F.max("score").over(best)).where("score >= 0.5 * top").withColumn("place", F.row_number().over(best.orderBy(F.desc("score"), "pack")))
     ranked = ranked.where("place <= 3").select(by, "pack", "score")

@@ -20,7 +20,7 @@ def screening_file(spark: SparkSession, path: str) -> DataFrame:
 
 def extraction_file(spark: SparkSession, path: str) -> DataFrame:
     """(key, field, value, quote, loc) from {"studies": {key: {field: text or {value, quote, loc}}}}; keys that begin with _ are notes."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     studies = text.select(F.explode(F.from_json(F.get_json_object("value", "$.studies"), "map<string, map<string, string>>")).alias("key", "fields"))
     cells = studies.where(~F.col("key").startswith("_")).select("key", F.explode("fields").alias("field", "raw")).where(~F.col("field").startswith("_"))
     own = F.when(F.col("raw").startswith("{"), F.from_json("raw", "value string, quote string, loc string"))
