@@ -43,9 +43,9 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veriloom.llm.reshard import balanced_shards
+    from veriloom.llm.reshard import rewritten_shards
 
-    rows, _ = balanced_shards(table(spark, sf_dir, "documents"), 40)
+    rows, _, _ = rewritten_shards(table(spark, sf_dir, "documents"), 40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

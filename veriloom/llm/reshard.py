@@ -206,21 +206,44 @@ class ShardStore:
         parts = {}
         for k in sorted(self.where) if shards is None else shards:
             parts.setdefault(self.where[k], []).append(k)
-        frames = [self.spark.read.parquet(path).where(F.col("shard").isin(ks)) for path, ks in parts.items()]
+        frames = [self.spark.read.schema(self.schema).parquet(path).where(F.col("shard").isin(ks)) for path, ks in parts.items()]
         out = frames[0]
         for x in frames[1:]:
             out = out.unionByName(x)
         return out
 
     def rewrite(self, moves: DataFrame, plan: Plan, key: str = "doc_id") -> None:
-        """Applies moves (key, shard) to the files of the plan's affected shards; other shards keep their files."""
+        """Applies moves (key, shard; each row's key its own) to the files of the plan's affected shards; other shards keep their files."""
         if not plan.affected:
             return
         old = self.read([k for k in plan.affected if k in self.where]).drop("shard")
-        self._generation(old.join(moves.select(key, "shard"), key), plan.affected)
+        to = moves.select(F.col(key).alias("moved_key"), F.col("shard"))
+        self._generation(old.join(to, F.col(key).eqNullSafe(F.col("moved_key"))).drop("moved_key"), plan.affected)
 
     def _generation(self, rows: DataFrame, shards: range | list[int]) -> None:
         path = f"{self.root}/generation-{uuid.uuid4().hex}"
-        rows.withColumn("shard", F.col("shard").cast(T.IntegerType())).repartition("shard", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "shard"]), F.lit(4))).write.partitionBy("shard").parquet(path)
+        rows = rows.withColumn("shard", F.col("shard").cast(T.IntegerType()))
+        self.schema = T.StructType([*(f for f in rows.schema.fields if f.name != "shard"), T.StructField("shard", T.IntegerType())])
+        rows.repartition("shard", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "shard"]), F.lit(4))).write.partitionBy("shard").parquet(path)
         self.where |= dict.fromkeys(shards, path)
         self.spark.createDataFrame([(json.dumps({str(k): v for k, v in self.where.items()}),)], "manifest string").coalesce(1).write.text(f"{self.root}/manifest-{uuid.uuid4().hex}")
+
+
+def rewritten_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Plan, ShardStore]:
+    """(doc_id, size, text_crc32, shard, slot) as read back from a store of the documents, the plan and the store.
+
+    The documents are written into hashed shards; the flow plans the transfers under the law `bytes`, the affected shards'
+    files are rewritten, and all shards are read again. Null texts stay null and weigh nothing. Each row has a number of its
+    own, so null and repeated ids lose and double nothing. An empty table gives an empty result.
+    """
+    body = F.encode(text_of("text"), "UTF-8")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    measured = {"size": (F.length(body) + 16).cast("long"), "text_crc32": F.crc32(body)}
+    store = ShardStore(docs.sparkSession)
+    store.write(rows.withColumn("crc", F.crc32(body)).withColumn("shard", hashed_shard(shards, "doc_id", "crc")).drop("crc"), shards)
+    slim = store.read().withColumns(measured).select("row", "doc_id", "size", "text_crc32", F.col("shard").alias("held"))
+    placed, plan = reshard(slim, F.col("held"), shards, shards, order=("doc_id", "text_crc32", "row"))
+    placed = written(placed.select("row", "shard", "slot"), "slots")
+    store.rewrite(placed.select("row", "shard"), plan, "row")
+    back = store.read().withColumns(measured).select("row", "doc_id", "size", "text_crc32", "shard")
+    return back.join(placed.select("row", "slot"), "row").drop("row"), plan, store
