@@ -1,7 +1,7 @@
 """WARC archives as a Spark data source named `warc`.
 
 Written records are gzip members of their own, whose extra field `sl` says how long the member is, compressed and not.
-A reader plans ranges of members from the small index beside each archive (whole files where there is none), inflates a
+A reader plans ranges of members from the index that each writing job leaves beside its archives (whole files where there is none), inflates a
 member's headers first, tests record type and header predicates on them, and leaps over members that it doesn't want;
 payloads are inflated only if the schema asks for them. Archives of other writers (members without `sl`, or not
 compressed) are read too.
@@ -215,7 +215,9 @@ class Range(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[str] = field(default_factory=list)
+    """Where the ranges of each archive begin."""
+
+    files: dict[str, list[int]] = field(default_factory=dict)
 
 
 class WarcReader(DataSourceReader):
@@ -260,14 +262,15 @@ class WarcReader(DataSourceReader):
         info = files.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(root))
         out = []
-        names = {x.path for x in found}
+        index: dict[str, list[int]] = {}
+        for x in found:  # one index for each job that wrote here
+            if x.base_name.startswith("index-") and x.base_name.endswith(".json"):
+                with files.open_input_stream(x.path) as f:
+                    index |= json.loads(f.read())
         for x in sorted(found, key=lambda x: x.path):
             if x.type != fs.FileType.File or not x.base_name.endswith((".warc", ".warc.gz")) or x.base_name.startswith((".", "_")) or not x.size:
                 continue
-            cuts = [0]
-            if f"{x.path}.idx" in names:
-                with files.open_input_stream(f"{x.path}.idx") as f:
-                    cuts = json.loads(f.read())
+            cuts = index.get(x.base_name, [0])
             out += [Range(x.path, a, b) for a, b in zip(cuts, [*cuts[1:], x.size], strict=True)]
         return out or [Range("", 0, 0)]
 
@@ -311,15 +314,14 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator):
         files, root = _files(self.path)
         files.create_dir(root, recursive=True)
-        done = Written([])
-        out, cuts, at = None, [], 0
+        done = Written({})
+        out, name, cuts, at = None, "", [], 0
 
         def close() -> None:
             nonlocal out
             if out is not None:
                 out.close()
-                with files.open_output_stream(f"{root}/.{done.files[-1]}.idx") as f:
-                    f.write(json.dumps(cuts).encode())
+                done.files[name] = cuts
                 out = None
 
         for batch in iterator:
@@ -328,8 +330,8 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is not None and at >= self.most:
                     close()
                 if out is None:
-                    done.files.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                    out, cuts, at = files.open_output_stream(f"{root}/.{done.files[-1]}", compression=None), [0], 0
+                    name = f"part-{uuid.uuid4().hex}.warc.gz"
+                    out, cuts, at = files.open_output_stream(f"{root}/.{name}", compression=None), [0], 0
                 payload = r["payload"] or b""
                 body = member(record(r["page_id"], r["target_uri"] or "", r["record_type"], r["refers_to"], r["payload_digest"], payload, r["payload_bytes"]))
                 if at - cuts[-1] >= STRIDE:
@@ -341,18 +343,19 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         files, root = _files(self.path)
-        for m in messages:
-            for name in m.files if m else []:
-                files.move(f"{root}/.{name}.idx", f"{root}/{name}.idx")
-                files.move(f"{root}/.{name}", f"{root}/{name}")
+        found = {name: cuts for m in messages if m for name, cuts in m.files.items()}
+        if found:
+            with files.open_output_stream(f"{root}/index-{uuid.uuid4().hex}.json") as f:
+                f.write(json.dumps(found).encode())
+        for name in found:
+            files.move(f"{root}/.{name}", f"{root}/{name}")
 
     def abort(self, messages):
         files, root = _files(self.path)
         for m in messages:
-            for name in m.files if m else []:
-                for x in (f"{root}/.{name}", f"{root}/.{name}.idx"):
-                    if files.get_file_info(x).is_file:
-                        files.delete_file(x)
+            for name in m.files if m else ():
+                if files.get_file_info(f"{root}/.{name}").is_file:
+                    files.delete_file(f"{root}/.{name}")
 
 
 class WarcSource(DataSource):
