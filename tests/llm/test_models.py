@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
 from veriloom.llm import attention, hamming, lm, packing, pieces, quality, reshard, warc
@@ -369,8 +370,8 @@ def test_nearest_codes(spark):
 
 
 def test_sign_codes(spark):
-    df = spark.createDataFrame([(1, [1.0, -1.0, 2.0]), (2, None), (None, [1.0]), (3, []), (4, [float("nan"), None, 3.0])], "vec_id long, embedding array<float>")
-    assert {r["id"]: r["code"] for r in hamming.sign_codes(df).collect()} == {1: 5, 3: 0, 4: 4}
+    df = spark.createDataFrame([(1, [1.0, -1.0, 2.0]), (2, None), (None, [1.0]), (3, []), (4, [float("nan"), None, 3.0]), (5, [0.0] * 63 + [1.0, 1.0])], "vec_id long, embedding array<float>").withColumn("code", F.lit("clash"))
+    assert {r["id"]: r["code"] for r in hamming.sign_codes(df).collect()} == {1: 5, 3: 0, 4: 4, 5: -(1 << 63)}
 
 
 def test_attention_gradients_and_windows():

@@ -30,16 +30,15 @@ HELD = 1 << 20
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, code long): bit i is set if component i is above zero. Rows without an id or a vector are left out; missing components count as zero."""
+    """(id, code long): bit i is set if component i is above zero, for the first 64 components. Rows without an id or a vector are left out; missing, null and undefined components count as zero. Rows that repeat come back once each, other columns are left out; an empty table gives an empty result."""
     importable(vectors.sparkSession)
 
     @F.pandas_udf("long")
     def pack(batch: pd.Series) -> pd.Series:
         out = np.zeros((len(batch), BITS), dtype=bool)
         for k, v in enumerate(batch):
-            if len(v) > BITS:
-                raise ValueError(f"{len(v)} components; a code has {BITS} bits")
-            out[k, : len(v)] = np.nan_to_num(np.asarray(v, dtype=float)) > 0
+            first = np.asarray(v, dtype=float)[:BITS]
+            out[k, : len(first)] = np.nan_to_num(first) > 0
         return pd.Series(np.packbits(out, axis=1, bitorder="little").view("<i8").ravel())
 
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), pack(vector_col).alias("code"))
@@ -143,8 +142,8 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = K, segments: in
     """(query_id, rank, neighbour_id, distance): the k rows of codes (id, code) nearest each row of queries (id, code).
 
     Ordered by (Hamming distance, id); a query's own id is no neighbour of it. Fewer than k rows come back only if there
-    are fewer. Repeated ids of one code are rows of their own. Queries with no rows to find have none. Rounds: one per
-    radius, each with the queries that are still open; state between rounds is written.
+    are fewer. Repeated ids of one code are rows of their own. Queries with no rows to find have none, and an
+    empty table gives an empty result. Rounds: one per radius, each with the queries that are still open; state between rounds is written.
     """
     spark = codes.sparkSession
     importable(spark)
