@@ -333,6 +333,17 @@ def test_rewrite_touches_only_affected_shards(spark, tmp_path):
     assert {(r["doc_id"], r["shard"]) for r in store.read().collect()} == {(k, 1 if k % 3 == 0 else k % 3) for k in range(30)}
 
 
+def test_large_rows_are_spread(docs):
+    """Rows of a third of a share all in one hashed shard: a near equal split exists and is found."""
+    rows = [(k, "x" * 3000) for k in range(60)] + [(1000 + k, "y" * (k % 40)) for k in range(600)]
+    got, _ = reshard.balanced_shards(docs(rows), 8)
+    size = Counter()
+    for r in got.collect():
+        size[r["shard"]] += r["size"]
+    assert len(size) == 8 and max(size.values()) - min(size.values()) < 3100
+    assert sorted(Counter(reshard.place_large([(0, 50)] * 8, 4, 100.0)).values()) == [2, 2, 2, 2]
+
+
 def test_rewritten_shards_hold_every_row(spark, docs):
     """Written, rewritten and read back: every row once, slots without gaps, sizes near equal, and only affected files new."""
     rows = [*ODD, *((100 + k % 700, "text " * (k % 50)) for k in range(900)), (None, "x"), (None, "x")]

@@ -12,7 +12,7 @@ import heapq
 import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,14 +112,16 @@ class Plan:
     capacities: list[int]
     flow: dict[tuple[int, int], int]
     segments: list[tuple[int, int, int, int]]
+    #: Large rows that move: (old shard, new shard, bytes).
+    large: list[tuple[int, int, int]] = field(default_factory=list)
 
     @property
     def moved(self) -> int:
-        return sum(x for (i, j), x in self.flow.items() if i != j)
+        return sum(x for (i, j), x in self.flow.items() if i != j) + sum(x for i, j, x in self.large if i != j)
 
     @property
     def affected(self) -> list[int]:
-        return sorted({k for (i, j) in self.flow if i != j for k in (i, j)})
+        return sorted({k for (i, j) in [*self.flow, *((i, j) for i, j, _ in self.large)] if i != j for k in (i, j)})
 
 
 def plan_transfers(sizes: list[int], capacities: list[int], cost: Callable[[int, int], int] | None = None) -> Plan:
@@ -134,6 +136,16 @@ def plan_transfers(sizes: list[int], capacities: list[int], cost: Callable[[int,
     return Plan(sizes, capacities, flow, segments)
 
 
+def place_large(rows: list[tuple[int, int]], shards: int, share: float) -> list[int]:
+    """New shards of large rows (old shard, bytes), the largest first: where a row is, while that fits in a share, else into the emptiest."""
+    held, out = [0] * shards, [0] * len(rows)
+    for k in sorted(range(len(rows)), key=lambda k: (-rows[k][1], k)):
+        old, size = rows[k]
+        out[k] = old if old < shards and held[old] + size <= share else min(range(shards), key=lambda j: (held[j], j))
+        held[out[k]] += size
+    return out
+
+
 def hashed_shard(shards: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(shards)).cast("int")
 
@@ -144,30 +156,52 @@ def reshard(rows: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     A shard's rows lie in blocks: a size class (power of two), large rows first, and a hash of `order` into `blocks`.
     So the rows that move are small ones, and boundaries fall within a small row.
 
-    rows needs a positive long `size`; `order` makes the order of rows in a block definite. New shards get equal shares
-    of the bytes, up to a row at either end of a transfer and but for shards with rows larger than that. Rows that are equal in `order` and size are interchangeable.
+    rows needs a positive long `size`; `order` makes the order of rows in a block definite. Rows of an eighth of a share and
+    more, of which there are eight for each new shard at most, are placed one by one, the largest first; the flow shares out
+    the rest. New shards get equal shares of the bytes, up to a small row at either end of a transfer and but for
+    shards with a row larger than a share. Rows that are equal in `order` and size are interchangeable.
     Two shuffles: on (old shard, block) for running sizes, and none for the slots, which reuse it.
     """
     spark = rows.sparkSession
     block = (F.lit(63) - F.floor(F.log2(size))) * blocks + F.pmod(F.xxhash64(F.lit(7), *order), F.lit(blocks))
-    rows = written(rows.withColumns({"old_shard": old_shard.cast("int"), "block": block.cast("int")}), "sized")
+    every = written(rows.withColumns({"old_shard": old_shard.cast("int"), "block": block.cast("int")}), "sized")
+    total = every.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    share = total / new_shards
+    is_large = (F.col(size) * 8 >= share) & F.lit(total > 0)
+    alike = W.partitionBy(*order, size, "old_shard").orderBy(F.lit(0))
+    large = written(every.where(is_large).withColumn("nth", F.row_number().over(alike)), "large")
+    listed = large.select(*order, size, "old_shard", "nth").orderBy(*order, size, "old_shard", "nth").collect()  # eight for each new shard at most
+    goes = place_large([(r["old_shard"], r[size]) for r in listed], new_shards, share)
+    held, ranks = [0] * new_shards, {}
+    for r, j in zip(listed, goes, strict=True):
+        held[j] += r[size]
+        ranks[r["old_shard"], j] = [*ranks.get((r["old_shard"], j), []), r]
+    rows = every.where(~is_large)
     within = W.partitionBy("old_shard", "block").orderBy(*order, size)
     sums = rows.groupBy("old_shard", "block").agg(F.sum(size).alias("bytes")).orderBy("old_shard", "block").collect()  # old_shards x size classes x blocks rows at most
     sizes, begins = [0] * old_shards, []
     for r in sums:
         begins.append((r["old_shard"], r["block"], sizes[r["old_shard"]]))
         sizes[r["old_shard"]] += r["bytes"]
-    large = [0] * old_shards  # rows of an eighth of a share and more stay where they are
-    for r in sums:
-        large[r["old_shard"]] += r["bytes"] if 8 << (63 - r["block"] // blocks) >= sum(sizes) / new_shards else 0
-    plan = plan_transfers(sizes, levelled_capacities(sum(sizes), large, new_shards))
+    capacity = levelled_capacities(total, held, new_shards)
+    plan = plan_transfers(sizes, [c - h for c, h in zip(capacity, held, strict=True)])
+    plan.large = [(r["old_shard"], j, r[size]) for r, j in zip(listed, goes, strict=True)]
     small = lambda data, schema: F.broadcast(spark.createDataFrame(data, schema))  # noqa: E731  bounded by shards x size classes x blocks
     starts = small(begins, "old_shard int, block int, block_at long")
     segments = small([(s[0], s[1], s[2], s[3]) for s in plan.segments], "seg_old int, seg_from long, seg_to long, shard int")
     placed = rows.join(starts, ["old_shard", "block"]).withColumn("at", F.col("block_at") + F.sum(size).over(within.rowsBetween(W.unboundedPreceding, 0)) - F.expr(f"{size} div 2") - 1)
     placed = placed.join(segments, (F.col("old_shard") == F.col("seg_old")) & (F.col("at") >= F.col("seg_from")) & (F.col("at") < F.col("seg_to")))
     placed = placed.withColumn("rank", F.row_number().over(W.partitionBy("old_shard", "block", "shard").orderBy("at")))
-    placed = written(placed.drop("block_at", "seg_old", "seg_from", "seg_to"), "placed")
+    placed = placed.drop("block_at", "seg_old", "seg_from", "seg_to", "at")
+    if listed:
+        keys = [*order, size, "old_shard", "nth"]
+        known = [(*(r[k] for k in keys), j, place) for (_, j), rs in ranks.items() for place, r in enumerate(rs, 1)]
+        shape = T.StructType([*(T.StructField(f"large_{k}", large.schema[k].dataType) for k in keys), T.StructField("shard", T.IntegerType()), T.StructField("rank", T.IntegerType())])
+        to = small(known, shape)
+        on = [F.col(k).eqNullSafe(F.col(f"large_{k}")) for k in keys]
+        one_by_one = large.join(to, on).withColumn("block", F.lit(-1)).select(*placed.columns)
+        placed = placed.unionByName(one_by_one)
+    placed = written(placed, "placed")
     counts = placed.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n")).orderBy("shard", "old_shard", "block").collect()
     before, firsts = {}, []
     for r in counts:
@@ -175,7 +209,18 @@ def reshard(rows: DataFrame, old_shard: Column, old_shards: int, new_shards: int
         before[r["shard"]] = before.get(r["shard"], 0) + r["n"]
     firsts = small(firsts, "shard int, old_shard int, block int, first long")
     slotted = placed.join(firsts, ["shard", "old_shard", "block"]).withColumn("slot", F.col("first") + F.col("rank") - 1)
-    return slotted.drop("first", "rank", "at", "block"), plan
+    return slotted.drop("first", "rank", "block"), plan
+
+
+def evened(rows: DataFrame, old_shard: Column, shards: int, order: tuple[str, ...]) -> tuple[DataFrame, Plan]:
+    """reshard() into as many shards, and once more from there: the second flow evens out, by the smallest rows, what the boundaries of the first left."""
+    first, plan = reshard(rows.withColumn("held", old_shard.cast("int")), F.col("held"), shards, shards, order=order)
+    again, more = reshard(first.drop("slot", "old_shard").withColumnRenamed("shard", "now"), F.col("now"), shards, shards, order=order)
+    flow = dict(plan.flow)
+    for (i, j), x in more.flow.items():
+        if i != j:
+            flow[i, j] = flow.get((i, j), 0) + x
+    return again.drop("now", "old_shard").withColumnRenamed("held", "old_shard"), Plan(plan.sizes, plan.capacities, flow, plan.segments, plan.large)
 
 
 def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Plan]:
@@ -187,7 +232,7 @@ def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     """
     text = F.encode(text_of(text_col), "UTF-8")
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return reshard(rows, hashed_shard(shards, "doc_id", "text_crc32"), shards, shards, order=("doc_id", "text_crc32"))
+    return evened(rows, hashed_shard(shards, "doc_id", "text_crc32"), shards, ("doc_id", "text_crc32"))
 
 
 class ShardStore:
@@ -241,8 +286,8 @@ def rewritten_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id",
     measured = {"size": (F.length(body) + 16).cast("long"), "text_crc32": F.crc32(body)}
     store = ShardStore(docs.sparkSession)
     store.write(rows.withColumn("crc", F.crc32(body)).withColumn("shard", hashed_shard(shards, "doc_id", "crc")).drop("crc"), shards)
-    slim = store.read().withColumns(measured).select("row", "doc_id", "size", "text_crc32", F.col("shard").alias("held"))
-    placed, plan = reshard(slim, F.col("held"), shards, shards, order=("doc_id", "text_crc32", "row"))
+    slim = store.read().withColumns(measured).select("row", "doc_id", "size", "text_crc32", F.col("shard").alias("was"))
+    placed, plan = evened(slim, F.col("was"), shards, ("doc_id", "text_crc32", "row"))
     placed = written(placed.select("row", "shard", "slot"), "slots")
     store.rewrite(placed.select("row", "shard"), plan, "row")
     back = store.read().withColumns(measured).select("row", "doc_id", "size", "text_crc32", "shard")
