@@ -96,7 +96,7 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = standardised(x, self.mean, self.scale) @ self.weights + self.bias
+        z = standardise(np.array(x), self.mean, self.scale) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -106,28 +106,41 @@ def pack(x: np.ndarray) -> bytes:
     return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
 
 
-def unpack(rows: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(rows), FEATURES), dtype=np.float32)
+def unpack(rows: list[bytes], seen: np.ndarray | None = None) -> np.ndarray:
+    """The rows as a matrix, of the features `seen` alone if given (sorted; no row has others)."""
+    out = np.zeros((len(rows), FEATURES if seen is None else len(seen)), dtype=np.float32)
+    place = np.arange(FEATURES) if seen is None else np.searchsorted(seen, np.arange(FEATURES))
     for x, row in zip(out, rows, strict=True):
         n = len(row) // 6
-        x[np.frombuffer(row, "<u2", n)] = np.frombuffer(row, "<f4", n, 2 * n)
+        x[place[np.frombuffer(row, "<u2", n)]] = np.frombuffer(row, "<f4", n, 2 * n)
     return out
 
 
-def standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    return np.clip((x - mean) / scale, -8, 8)
+def places(rows: list[bytes]) -> np.ndarray:
+    """The features that any of the rows has: most pairs of byte classes never occur."""
+    found = np.zeros(FEATURES, dtype=bool)
+    for row in rows:
+        found[np.frombuffer(row, "<u2", len(row) // 6)] = True
+    return np.flatnonzero(found)
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray, scale: np.ndarray, prior: float | None = None, steps: int = 1200, seed: int = 7) -> Model:
-    """Minimises the non-negative risk with the logistic loss; the prior is estimated on a third left out first."""
+def standardise(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= mean
+    x /= scale
+    return np.clip(x, -8, 8, out=x)
+
+
+def train(positive: list[bytes], unlabelled: list[bytes], mean: np.ndarray, scale: np.ndarray, prior: float | None = None, steps: int = 1200, seed: int = 7) -> Model:
+    """Minimises the non-negative risk with the logistic loss; the prior is estimated on a third left out first. Rows as pack() makes them."""
     rng = np.random.default_rng(seed)
-    seen = np.flatnonzero((positive.max(0) > 0) | (unlabelled.max(0) > 0))  # most pairs of byte classes never occur
-    p, u = (standardised(x[:, seen], mean[seen], scale[seen]) for x in (positive, unlabelled))
+    seen = np.union1d(places(positive), places(unlabelled))
+    p, u = (standardise(unpack(x, seen), mean[seen], scale[seen]) for x in (positive, unlabelled))
     if prior is None:
         cut_p, cut_u = np.arange(len(p)) % 3 == 0, np.arange(len(u)) % 3 == 0
         w, b = _descend(p[~cut_p], u[~cut_u], 0.5, steps // 2, rng)
         prior = best_bin_prior(p[cut_p] @ w + b, u[cut_u] @ w + b)
-    weights = np.zeros(positive.shape[1], dtype=np.float32)
+    weights = np.zeros(FEATURES, dtype=np.float32)
     weights[seen], b = _descend(p, u, prior, steps, rng)
     return Model(mean, scale, weights, b, prior)
 
@@ -192,7 +205,7 @@ def _block_model(shared):
 
         positive, mean, scale = shared.value
         pdf = pdf.sort_values("x")  # the order of tasks must not matter
-        model = train(unpack(positive), unpack(pdf["x"].tolist()), mean, scale)
+        model = train(positive, pdf["x"].tolist(), mean, scale)
         release()
         n = len(pdf)
         return pd.DataFrame({"n": [n], "numbers": [(n * np.r_[model.weights, model.bias, model.prior]).astype(np.float64).tobytes()]})
