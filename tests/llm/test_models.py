@@ -344,6 +344,24 @@ def test_large_rows_are_spread(docs):
     assert sorted(Counter(reshard.place_large([(0, 50)] * 8, 4, 100.0)).values()) == [2, 2, 2, 2]
 
 
+def test_texts_are_not_shuffled_between_shards(spark, docs, monkeypatch):
+    """A shuffle beside both generations of files is what went over the disk's limit: texts go from files to files."""
+    plans, write = [], reshard.ShardStore._generation
+
+    def seen(self, rows, shards):
+        plans.append(rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1])
+        write(self, rows, shards)
+
+    monkeypatch.setattr(reshard.ShardStore, "_generation", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got, plan, store = reshard.rewritten_shards(docs([(k, "x" * (k % 97)) for k in range(400)]), 8)
+        assert got.count() == 400 == store.read().select("row").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 2 and plan.moved and not any("hashpartitioning" in p for p in plans)
+
+
 def test_rewritten_shards_hold_every_row(spark, docs):
     """Written, rewritten and read back: every row once, slots without gaps, sizes near equal, and only affected files new."""
     rows = [*ODD, *((100 + k % 700, "text " * (k % 50)) for k in range(900)), (None, "x"), (None, "x")]

@@ -21,6 +21,9 @@ from pyspark.sql.window import Window as W
 
 from veriloom.llm._base import new_path, text_of, written
 
+#: Rows that change their shard are broadcast up to this many (tens of MB); beyond it the join shuffles.
+BROADCAST_MOVES = 1_000_000
+
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: Callable[[int, int], int]) -> dict[tuple[int, int], int]:
     """Bytes from old shard i to new shard j at the least total cost; successive shortest paths with potentials.
@@ -258,18 +261,28 @@ class ShardStore:
         return out
 
     def rewrite(self, moves: DataFrame, plan: Plan, key: str = "doc_id") -> None:
-        """Applies moves (key, shard; each row's key its own) to the files of the plan's affected shards; other shards keep their files."""
+        """Applies moves (key, shard; each row's key its own) to the files of the plan's affected shards; other shards keep their files.
+
+        Rows whose shard stays need no partner: only those that change theirs are joined, by a broadcast up to BROADCAST_MOVES.
+        """
         if not plan.affected:
             return
-        old = self.read([k for k in plan.affected if k in self.where]).drop("shard")
-        to = moves.select(F.col(key).alias("moved_key"), F.col("shard"))
-        self._generation(old.join(to, F.col(key).eqNullSafe(F.col("moved_key"))).drop("moved_key"), plan.affected)
+        old = self.read([k for k in plan.affected if k in self.where])
+        held = old.select(F.col(key).alias("moved_key"), F.col("shard").alias("held_in"))
+        to = moves.select(F.col(key).alias("to_key"), F.col("shard").alias("moved_to"))
+        changed = held.join(to, F.col("moved_key").eqNullSafe(F.col("to_key"))).where("held_in <> moved_to").select("moved_key", "moved_to")
+        changed = written(changed, "moves")
+        if changed.count() <= BROADCAST_MOVES:
+            changed = F.broadcast(changed)
+        rows = old.join(changed, F.col(key).eqNullSafe(F.col("moved_key")), "left").withColumn("shard", F.coalesce("moved_to", "shard"))
+        self._generation(rows.drop("moved_key", "moved_to"), plan.affected)
 
     def _generation(self, rows: DataFrame, shards: range | list[int]) -> None:
+        """Each task writes its rows of every shard: the rows' bytes go to disk once, and no shuffle holds them a second time."""
         path = f"{self.root}/generation-{uuid.uuid4().hex}"
         rows = rows.withColumn("shard", F.col("shard").cast(T.IntegerType()))
         self.schema = T.StructType([*(f for f in rows.schema.fields if f.name != "shard"), T.StructField("shard", T.IntegerType())])
-        rows.repartition("shard", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "shard"]), F.lit(4))).write.partitionBy("shard").parquet(path)
+        rows.write.partitionBy("shard").parquet(path)
         self.where |= dict.fromkeys(shards, path)
         self.spark.createDataFrame([(json.dumps({str(k): v for k, v in self.where.items()}),)], "manifest string").coalesce(1).write.text(f"{self.root}/manifest-{uuid.uuid4().hex}")
 
