@@ -526,6 +526,25 @@ def test_training_windows_hold_every_id_once(spark, docs, monkeypatch):
     assert learned.score([ids[:20]]).sum() > start and table.count() > 40  # more than one block
 
 
+def test_every_window_is_learned_from():
+    """Whole texts go into windows, and training takes every window before it takes one again."""
+    words = [b"one", b"two", b"three"]
+    rng = np.random.default_rng(4)
+    bodies = [b" ".join(rng.choice(words, rng.integers(0, 3000))) for _ in range(5)]
+    batch = pa.record_batch([pa.array(range(5), pa.int64()), pa.array(bodies, pa.binary())], names=["th", "body"])
+    found = list(lm._windows(packing.tokenizer_path(), type("B", (), {"value": words}))(iter([batch])))
+    ids = np.concatenate([np.frombuffer(x, "<i4").reshape(-1, attention.WINDOW + 1) for b in found for x in b.column(1).to_pylist()])
+    subwords = lm.Subwords(packing.tokenizer_path(), words)
+    assert (ids[:, attention.CONTEXT + 1 :] >= 0).sum() == sum(len(subwords.text(np.array([words.index(w) for w in b.split()], dtype=int))[0]) for b in bodies)
+    counts = np.zeros(400, dtype=np.int64)
+    counts[:300] = 1
+    model = attention.Attention(counts)
+    seen, gradients = [], model.gradients
+    model.gradients = lambda rows, target: seen.append(rows[:, 0]) or gradients(rows, target)
+    model.train(np.repeat(np.arange(300)[:, None], attention.WINDOW + 1, axis=1), 3, 100)  # an id of its own in each window
+    assert sorted(np.concatenate(seen)) == sorted(model.row[:300])
+
+
 def test_lm_beats_its_base_on_held_out_texts(docs):
     rng = np.random.default_rng(9)
     phrase = ["the", "red", "house", "stands", "near", "a", "river", "and", "blue", "birds"]

@@ -28,6 +28,18 @@ def _ragged(size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
 
 
+def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of WINDOW + 1 ids, whether each of their last STRIDE ids is one): every id of every text is among the last STRIDE of one window."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    counts = -(-sizes // STRIDE)
+    length = counts * STRIDE + CONTEXT + 1
+    begin = np.cumsum(length) - length
+    flat = np.full(int(length.sum()), NONE, dtype=np.int32)
+    flat[np.repeat(begin + CONTEXT + 1, sizes) + _ragged(sizes)] = np.concatenate(texts) if texts else []
+    windows = flat[(np.repeat(begin, counts) + _ragged(counts) * STRIDE)[:, None] + np.arange(WINDOW + 1)]
+    return windows, windows[:, CONTEXT + 1 :] != NONE
+
+
 class Codes:
     """The Huffman codes of ids with a count above zero: for each id the inner nodes on its path and the side (1 or -1) taken there."""
 
@@ -137,10 +149,10 @@ class Attention:
         row, node, side, z = self.decisions(u, target.reshape(-1)[at])
         loss = float(np.log1p(np.exp(-z)).sum() / max(1, len(at)))
         d = (-side / (1 + np.exp(z)) / max(1, len(at))).astype(u.dtype)
-        touched, which = np.unique(node, return_inverse=True)
-        g = {"w2": (touched, _sums(which, d[:, None] * u[row], len(touched)))}
+        g = {"w2": _grouped(node, d[:, None] * u[row])}
         du = np.zeros((len(f["u"]), HIDDEN), dtype=u.dtype)
-        du[at] = _sums(row, d[:, None] * p["w2"][node, :HIDDEN], len(at))
+        if len(row):  # in order of `row`
+            du[at[row[np.r_[True, row[1:] != row[:-1]]]]] = np.add.reduceat(d[:, None] * p["w2"][node, :HIDDEN], np.flatnonzero(np.r_[True, row[1:] != row[:-1]]), axis=0)
         du *= (1 - np.abs(f["u"][:, :HIDDEN])) ** 2
         inside = np.concatenate([f["x"].reshape(-1, WIDTH), f["z"].reshape(-1, WIDTH)], axis=1)
         g["w1"], g["b1"] = inside.T @ du, du.sum(0)
@@ -157,28 +169,20 @@ class Attention:
         g["q"], g["k"], g["v"] = x.T @ dq * scale, x.T @ dk, x.T @ dv
         dx += dq @ p["q"].T * scale + dk @ p["k"].T + dv @ p["v"].T
         g["pos"] = dx.reshape(n, WINDOW, WIDTH).sum(0)
-        used, which = np.unique(rows.reshape(-1), return_inverse=True)
-        g["e"] = (used, _sums(which, dx, len(used)))
+        g["e"] = _grouped(rows.reshape(-1), dx)
         return loss, g
 
     def laid_out(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(windows of WINDOW + 1 ids, whether each of their last STRIDE ids is one): every id of every text is among the last STRIDE of one window."""
-        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        counts = -(-sizes // STRIDE)
-        length = counts * STRIDE + CONTEXT + 1
-        begin = np.cumsum(length) - length
-        flat = np.full(int(length.sum()), NONE, dtype=np.int32)
-        flat[np.repeat(begin + CONTEXT + 1, sizes) + _ragged(sizes)] = np.concatenate(texts) if texts else []
-        windows = flat[(np.repeat(begin, counts) + _ragged(counts) * STRIDE)[:, None] + np.arange(WINDOW + 1)]
-        return windows, windows[:, CONTEXT + 1 :] != NONE
+        return laid_out(texts)
 
     def train(self, windows: np.ndarray, steps: int, batch: int = 96, seed: int = 13, rate: float = 0.08) -> list[float]:
-        """Adagrad over windows of WINDOW + 1 ids drawn at random; what an id or a decision has learned slows its own steps alone."""
+        """Adagrad over windows of WINDOW + 1 ids, all of them in a new random order before any comes again; what an id or a decision has learned slows its own steps alone."""
         rng = np.random.default_rng(seed)
+        order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-steps * batch // len(windows)))])
         past = {k: np.full(v.shape[:1] if k in ("e", "w2") else v.shape, 1e-8, dtype=np.float32) for k, v in self.p.items()}
         losses = []
         for step in range(steps):
-            ids = windows[rng.integers(0, len(windows), batch)]
+            ids = windows[order[step * batch : (step + 1) * batch]]
             target = np.full((batch, WINDOW), NONE, dtype=np.int64)
             target[:, CONTEXT:] = ids[:, CONTEXT + 1 :]
             if not (target >= 0).any():
@@ -207,8 +211,9 @@ class Attention:
         return np.concatenate(out)
 
 
-def _sums(group: np.ndarray, values: np.ndarray, groups: int) -> np.ndarray:
-    """Sums of the rows of each group; every group has one."""
-    order = np.argsort(group, kind="stable")
-    starts = np.searchsorted(group[order], np.arange(groups))
-    return np.add.reduceat(values[order], starts, axis=0) if groups else values[:0]
+def _grouped(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of their rows)."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[new], np.add.reduceat(values[order], new, axis=0) if len(key) else values[:0]

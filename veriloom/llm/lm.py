@@ -1,11 +1,11 @@
 """Language-model scores of whole texts: a word unigram base and a causal self-attention model on subword ids.
 
 Word counts cover the whole training side. A word's count is needed where the word stands, so rare words travel once,
-with the documents that hold them, to the task that counts them; a bounded set of words that are frequent in a fixed share of
-the documents is counted in place instead. The set decides who counts a word, never what the count is. The attention model
-predicts subword ids: those of the frequent words, one id for any rare word, and the end. It learns from a fixed share of
-the windows of all training documents, so what it learns from grows with the input: the windows are dealt by hash into blocks
-of a fixed size, every block trains the model of the last round on its own, and the blocks' models are averaged. A word's
+with the documents that hold them, to the task that counts them; a bounded set of the words that are most frequent in the
+training documents is counted in place instead. The set decides who counts a word, never what the count is. The attention model
+predicts subword ids: those of the frequent words, one id for any rare word, and the end. It learns from every window of all
+training documents: the windows are dealt by hash into blocks of a fixed size and the blocks into rounds, every block trains the
+model of the last round on its own, window after window, and the blocks' models are averaged. A word's
 probability is a mixture of the product of its ids' probabilities and of its unigram; the mixture's weight is that of a grid
 which scores all training documents best. Which rare word a rare word is follows the corpus counts plus one.
 """
@@ -13,7 +13,6 @@ which scores all training documents best. Which rare word a rare word is follows
 from __future__ import annotations
 
 import copy
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,18 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm._base import importable, partitions, release, text_of, written
-from veriloom.llm.attention import CONTEXT, NONE, STRIDE, WINDOW, Attention
+from veriloom.llm.attention import STRIDE, WINDOW, Attention, laid_out
 from veriloom.llm.packing import fast_encoder, tokenizer_path
 
 NULL_ID = -(1 << 63)
 #: Words counted in place at most: their table is broadcast (a few MB).
 FREQUENT = 1 << 17
-#: One document in so many (by hash) proposes frequent words.
-PROPOSING = 4
-#: Words of a piece of text that is learned from or not; one piece in so many (by hash) of every training document is.
-PIECE, LEARNING = 9, 64
-#: Windows of a block, training steps of a block in each round, rounds.
+#: How often every window is learned from, at least.
+LEARNING = 1
+#: Windows of a block, training steps of a block at least, rounds.
 BLOCK, STEPS, ROUNDS = 8192, 100, 2
+#: Windows of a step.
+BATCH = 96
 #: Models that one task averages, and numbers of a part of a model.
 FAN, PART = 64, 1 << 16
 #: Words that are scored at once.
@@ -44,6 +43,8 @@ HELD = 1 << 15
 #: Shares of the unigram that are tried.
 MIXES = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.95)
 TINY = np.float32(1e-37)
+#: Odd numbers that hash a window's ids.
+DEAL = np.multiply.accumulate(np.full(WINDOW + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -247,39 +248,35 @@ class Model:
 # ---- training
 
 
-def learned_from(th: int, pieces: int) -> np.ndarray:
-    """The pieces of a text (by its hash) that the model learns from: one in LEARNING."""
-    x = np.arange(pieces, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(th & (2**64 - 1))
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    return np.flatnonzero(x % np.uint64(LEARNING) == 0)
-
-
 def _windows(path: str, shared):
-    """Windows of ids around the pieces of training texts that are learned from, and hashes that deal them."""
+    """Windows of ids of whole training texts, each id among the last STRIDE of one of them, and hashes that deal them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        subwords, place = Subwords(path, words), {w: k for k, w in enumerate(words)}
+        subwords, get = Subwords(path, words), {w: k for k, w in enumerate(words)}.get
+
+        def cut(texts: list[np.ndarray], ths: list[int]) -> pa.RecordBatch:
+            lines, _ = laid_out(texts)
+            counts = np.array([-(-len(x) // STRIDE) for x in texts], dtype=np.int64)
+            with np.errstate(over="ignore"):
+                h = lines.astype(np.int64).view(np.uint64) @ DEAL + np.repeat(np.array(ths, dtype=np.int64).view(np.uint64), counts) + np.arange(len(lines), dtype=np.uint64) * DEAL[0]
+                h = (h ^ (h >> np.uint64(29))) * DEAL[1]
+            ends = np.arange(len(lines) + 1, dtype=np.int32) * np.int32(4 * lines.shape[1])
+            ids = pa.Array.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(lines, dtype="<i4"))])
+            return pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(1)).view(np.int64)), ids], names=["h", "ids"])
+
         for batch in batches:
-            found, hashes = [], []
+            texts, ths, size = [], [], 0
             for th, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = words_of(body.as_py())
-                pieces = max(1, -(-len(text) // PIECE))
-                for k in learned_from(th, pieces).tolist():
-                    own = text[max(0, (k - 1) * PIECE) : (k + 1) * PIECE]
-                    ids, firsts = subwords.text(np.array([place.get(w, -1) for w in own], dtype=np.int64))
-                    before = int(firsts[min(k, 1) * PIECE])
-                    ids = ids if k == pieces - 1 else ids[:-1]  # the end, or not
-                    line = np.full(CONTEXT + 1 + -(-max(1, len(ids) - before) // STRIDE) * STRIDE, NONE, dtype="<i4")
-                    held = ids[max(0, before - CONTEXT - 1) : before]
-                    line[CONTEXT + 1 - len(held) : CONTEXT + 1] = held
-                    line[CONTEXT + 1 : CONTEXT + 1 + len(ids) - before] = ids[before:]
-                    for at in range(0, len(line) - CONTEXT - 1, STRIDE):
-                        found.append(line[at : at + WINDOW + 1].tobytes())
-                        hashes.append(zlib.crc32(found[-1], (th + k) & 0xFFFFFFFF))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], names=["h", "ids"])
+                own = words_of(body.as_py())
+                texts.append(subwords.text(np.array([get(w, -1) for w in own], dtype=np.int64))[0])
+                ths.append(th)
+                size += len(texts[-1])
+                if size >= 8 * HELD:
+                    yield cut(texts, ths)
+                    texts, ths, size = [], [], 0
+            if texts:
+                yield cut(texts, ths)
         release()
 
     return scan
@@ -307,7 +304,8 @@ def _trained(shared, round_: int):
         model = copy.deepcopy(shared.value)
         pdf = pdf.sort_values(["h", "ids"])
         block = int(pdf["block"].iloc[0])
-        model.train(np.frombuffer(b"".join(pdf["ids"]), dtype="<i4").reshape(-1, WINDOW + 1), STEPS, seed=1000 * round_ + block % 1000, rate=0.08 / (1 + round_))
+        lines = np.frombuffer(b"".join(pdf["ids"]), dtype="<i4").reshape(-1, WINDOW + 1)
+        model.train(lines, max(STEPS, -(-LEARNING * len(lines) // BATCH)), BATCH, seed=1000 * round_ + block % 1000, rate=0.08 / (1 + round_))
         flat = _packed(model).astype("<f4")
         parts = [flat[k : k + PART].tobytes() for k in range(0, len(flat), PART)]
         release()
@@ -324,7 +322,10 @@ def _averaged(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(model: Attention, windows: DataFrame) -> Attention:
-    """The model after ROUNDS over all windows (h long, ids binary; written): blocks train on their own, their models are averaged up a tree."""
+    """The model after ROUNDS over the windows (h long, ids binary; written): blocks train on their own, their models are averaged up a tree.
+
+    A block belongs to one round, so every window is learned from once; where there are fewer blocks than rounds, to each.
+    """
     spark = windows.sparkSession
     count = windows.count()
     if not count:
@@ -332,7 +333,8 @@ def train(model: Attention, windows: DataFrame) -> Attention:
     blocks = -(-count // BLOCK)
     dealt = windows.withColumn("block", F.pmod(F.xxhash64("h", "ids"), F.lit(blocks)))
     for round_ in range(ROUNDS):
-        found = dealt.groupBy("block").applyInPandas(_trained(spark.sparkContext.broadcast(model), round_), PARTS)
+        own = dealt if blocks < ROUNDS else dealt.where(F.pmod("block", F.lit(ROUNDS)) == round_)
+        found = own.groupBy("block").applyInPandas(_trained(spark.sparkContext.broadcast(model), round_), PARTS)
         left = blocks
         while left > 1:
             found = found.groupBy("part", F.expr(f"block div {FAN}")).applyInPandas(_averaged, PARTS)
@@ -392,8 +394,7 @@ def score_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
     Tokens are words and one end for every text; null counts as empty, an empty text is its end alone. Learns from rows
-    that are not held out: counts and the mixture's weight from whole texts, the attention model from one piece in LEARNING of
-    each. Rows that repeat an id and a text get equal results, and each counts in training. A null id is not held out. Other
+    that are not held out: counts, frequent words, the attention model and the mixture's weight, each from whole texts. Rows that repeat an id and a text get equal results, and each counts in training. A null id is not held out. Other
     columns are left out, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -403,7 +404,7 @@ def score_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("did"), F.xxhash64(body).alias("th"), body.alias("body"), held_out(id_col).alias("held_out"), F.col(id_col).isNull().alias("doc_id_null"))
     learning = rows.where(~F.col("held_out"))
     end_count = learning.count()
-    words = propose(learning.where(F.pmod(F.xxhash64(F.lit(17), "did", "th"), F.lit(PROPOSING)) == 0).select("body"), frequent)
+    words = propose(learning.select("body"), frequent)
     shared_words = spark.sparkContext.broadcast(words)
     postings = rows.select("did", "th", "body", (~F.col("held_out")).alias("train")).mapInArrow(_postings(shared_words), POSTINGS)
     dealt = postings.repartition(partitions(spark), "word").sortWithinPartitions("word")
