@@ -75,6 +75,16 @@ def stem(word: Column) -> Column:
     return out.otherwise(F.substring(word, 1, 7))
 
 
+def stem_of(word: str) -> str:
+    """stem() of one string, for scanners."""
+    if len(word) <= 3:
+        return word
+    for s in SUFFIXES:
+        if word.endswith(s) and len(word) >= 3 + len(s):
+            return word[: min(len(word) - len(s), 7)]
+    return word[:7]
+
+
 #: In lists of this length, isin is a look-up in a set.
 STOP = sorted(STOP_EN | STOP_PL)
 

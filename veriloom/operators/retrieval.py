@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from veriloom.functions.scan import chunk_text
-from veriloom.functions.text import STOP, stem, with_overlap, words
+from veriloom.functions.text import STOP, stem, stem_of, with_overlap, words
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
+#: Tokens of all queries that go to every task at most (tens of MB); beyond it queries and passages meet by joins.
+SHARED_TOKENS = 1_000_000
+#: Counters of passages by queries that a task holds at once, and words whose stems it remembers.
+CELLS, REMEMBERED = 1 << 21, 1 << 20
 
 
 def tokens(c: Column | str) -> Column:
@@ -79,12 +89,112 @@ def abstract_passages(works: DataFrame) -> DataFrame:
     return works.where(F.coalesce("abstract", F.lit("")) != "").select("key", F.lit("abstract").alias("loc"), F.posexplode(chunk_text(whole)).alias("place", "text"))
 
 
+class _Overlaps:
+    """The overlap of word lists with a set of queries, given as lists of stems."""
+
+    def __init__(self, queries: list[list[str]]) -> None:
+        self.code: dict[str, int] = {}
+        own = [[self.code.setdefault(t, len(self.code)) for t in q] for q in queries]
+        self.n = np.array([len(q) for q in own], dtype=np.int64)
+        pairs = [sorted({a * len(self.code) + b for a, b in zip(q, q[1:], strict=False)}) for q in own]
+        self.kinds = np.array([max(1, len(x)) for x in pairs], dtype=np.int64)
+        each = [(t, k) for k, q in enumerate(own) for t in q]
+        self.one = self._lists(np.array([t for t, _ in each], dtype=np.int64), np.array([k for _, k in each], dtype=np.int64), len(self.code))
+        self.pair = np.unique(np.array([x for q in pairs for x in q], dtype=np.int64))
+        self.two = self._lists(np.searchsorted(self.pair, np.array([x for q in pairs for x in q], dtype=np.int64)), np.repeat(np.arange(len(pairs)), [len(x) for x in pairs]), len(self.pair))
+        self.known: dict[str, int] = {}
+
+    @staticmethod
+    def _lists(key: np.ndarray, query: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where the list of a key begins, its length, all lists): the queries of each key, as often as they have it."""
+        size = np.bincount(key, minlength=keys)
+        return np.cumsum(size) - size, size, query[np.argsort(key, kind="stable")]
+
+    def _codes(self, distinct: list[str]) -> np.ndarray:
+        """-1: no query's stem, -2: no content token."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, stop = self.known, _STOP
+        for w in distinct:
+            if w not in known:
+                known[w] = -2 if len(w) < 2 or w in stop else self.code.get(stem_of(w), -1)
+        return np.array([known[w] for w in distinct], dtype=np.int64)
+
+    def _counts(self, passage: np.ndarray, key: np.ndarray, lists: tuple, passages: int) -> np.ndarray:
+        """(passages x queries) of how often queries have the distinct keys of each passage."""
+        begin, size, query = lists
+        both = np.unique(passage * max(1, len(begin)) + key)
+        passage, key = both // max(1, len(begin)), both % max(1, len(begin))
+        size = size[key]
+        ends = np.cumsum(size)
+        at = np.repeat(begin[key] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(np.repeat(passage * len(self.n), size) + query[at], minlength=passages * len(self.n))
+
+    def of(self, lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passage, query, overlap) of all that share a content token."""
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode() if len(lists) else None
+        if coded is None or not len(coded) or not len(self.code):
+            return
+        code = self._codes(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        passage = np.repeat(np.arange(len(lists)), np.diff(offsets))
+        passage, code = passage[code > -2], code[code > -2]
+        step = max(1, CELLS // len(self.n))
+        for low in range(0, len(lists), step):
+            a, b = np.searchsorted(passage, [low, low + step])
+            p, c, some = passage[a:b] - low, code[a:b], min(step, len(lists) - low)
+            shared = self._counts(p[c >= 0], c[c >= 0], self.one, some)
+            next_to = np.flatnonzero((p[1:] == p[:-1]) & (c[1:] >= 0) & (c[:-1] >= 0))
+            key = c[next_to] * len(self.code) + c[next_to + 1]
+            at = np.minimum(np.searchsorted(self.pair, key), max(0, len(self.pair) - 1))
+            good = self.pair[at] == key if len(self.pair) else np.zeros(len(key), dtype=bool)
+            two = self._counts(p[next_to[good]], at[good], self.two, some)
+            cell = np.flatnonzero(shared)
+            query = cell % len(self.n)
+            u, v = shared[cell] / self.n[query], two[cell] / self.kinds[query]
+            yield low + cell // len(self.n), query, np.where(self.n[query] < 2, u, np.minimum(1.0, 0.8 * u + 0.2 * v + 0.1 * v * u))
+
+
+_STOP = frozenset(STOP)
+
+
 def overlap_join(queries: DataFrame, passages: DataFrame, nfkc: bool = True) -> DataFrame:
-    """(query_id, id, overlap) of every query (query_id, query) and passage (id, text) that share a content token: the measure of overlap(), by joins.
+    """(query_id, id, overlap) of every query (query_id, query) and passage (id, text) that share a content token: the measure of overlap().
 
-    Tokens are exploded before they are stemmed, so stems are made in generated code; queries and passages meet on tokens
-    and on neighbouring pairs only.
+    The queries' tokens, counted first, go to the tasks that read the passages; a passage's words stay where it is read. More
+    than SHARED_TOKENS, and passages whose id is null or repeats, meet by joins.
     """
+    spark = queries.sparkSession
+    w = F.filter(words("query", nfkc), lambda x: (F.length(x) > 1) & ~x.isin(*STOP))
+    asked = queries.select("query_id", w.alias("w"))
+    counted = asked.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("n"), F.count("*").alias("rows"), F.count_distinct("query_id").alias("ids")).first()
+    if counted["n"] > SHARED_TOKENS or counted["rows"] > SHARED_TOKENS or counted["ids"] < counted["rows"]:
+        return _overlap_by_joins(queries, passages, nfkc)
+    found = asked.where(F.size("w") > 0).collect()  # SHARED_TOKENS words at most
+    shared = spark.sparkContext.broadcast(_Overlaps([[stem_of(x) for x in r["w"]] for r in found]))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", passages.schema["id"].dataType), T.StructField("overlap", T.DoubleType())])
+    numbers, kind = spark.sparkContext.broadcast([r["query_id"] for r in found]), to_arrow_type(schema["query_id"].dataType)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                for passage, query, overlap in shared.value.of(part.column(1)):
+                    own = pa.array(numbers.value, kind) if own is None else own
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(query)), part.column(0).take(pa.array(passage)), pa.array(overlap)], names=["query_id", "id", "overlap"])
+
+    again = passages.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias("again_id"))
+    alone, rest = passages, None
+    if not again.isEmpty():
+        repeats = F.col("id").eqNullSafe(F.col("again_id"))
+        alone, rest = passages.join(again, repeats, "left_anti"), passages.join(again, repeats, "left_semi")
+    out = alone.select("id", words("text", nfkc).alias("w")).mapInArrow(scan, schema)
+    return out if rest is None else out.unionByName(_overlap_by_joins(queries, rest, nfkc))
+
+
+def _overlap_by_joins(queries: DataFrame, passages: DataFrame, nfkc: bool) -> DataFrame:
+    """overlap_join() on tokens and neighbouring pairs that are exploded and joined, whatever the number of queries."""
 
     def stems(df: DataFrame, by: str, c: str) -> DataFrame:
         w = F.filter(words(c, nfkc), lambda x: (F.length(x) > 1) & ~x.isin(*STOP))
