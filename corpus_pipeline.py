@@ -2,8 +2,8 @@
 
 quality: documents that the quality classifier scores under 0.3 go. exact dedup: of texts that are equal without white
 space, one row stays. SimHash near-dedup: of every group that a five-word Jaccard similarity of 0.8 or more links, the
-document with the smallest id stays; candidates come from a prefix join that misses no pair, not from fingerprints, whose
-3 bits are op8's contract alone. suffix dedup: strings of 100 bytes that start earlier are cut from the
+document with the smallest id stays; candidates come from SimHash fingerprints within 3 bits, and, as similar texts can differ
+in more, from a prefix join that misses no pair; all are verified. suffix dedup: strings of 100 bytes that start earlier are cut from the
 texts, and texts that are cut to nothing go. packing: what is left is packed into sequences of 1024 tokens.
 
 A stage reads what its predecessor kept as a Parquet table, so a lost executor costs a task and not a stage. All stages but

@@ -89,3 +89,15 @@ def test_repeated_ids(docs):
     left = [(r["doc_id"], r["text"]) for r in drop_near_copies(given).collect()]
     assert (1, " ".join(base)) in left and (2, alone) in left and (2, near) not in left
     assert sum(k == 3 for k, _ in left) == 1 and len(left) == 3
+
+
+def test_fingerprints_give_candidates(docs, monkeypatch):
+    """The SimHash range join links what it finds, and pairs that it has linked don't come from the prefix join again."""
+    from veriloom.llm import shingles, simhash
+
+    given, asked, verify, prints = docs([(k, " ".join(f"w{j}" for j in range(400) if j != 390 + k)) for k in range(8)]), [], shingles._verify, []
+    monkeypatch.setattr(shingles, "_verify", lambda pairs, *x: asked.append(pairs.distinct().count()) or verify(pairs, *x))
+    join = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes: prints.append(nodes.count()) or join(nodes))
+    assert {r["doc_id"] for r in shingles.drop_near_copies(given).collect()} == {0}
+    assert prints and asked[0] > 0 and len(asked) == 2 and asked[1] < 28

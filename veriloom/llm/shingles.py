@@ -1,4 +1,8 @@
-"""Near copies by the exact Jaccard similarity of their word shingles, 4/5 at least.
+"""Near copies by SimHash and the exact Jaccard similarity of their word shingles, 4/5 at least.
+
+SimHash fingerprints of the shingle sets give the first candidates: those within 3 bits, by the range join of simhash.py.
+What whole sets verify is linked. Fingerprints of similar sets can differ in more bits, and no link may be lost; so a
+prefix join follows, which gives the pairs whose ends the fingerprints have not linked.
 
 In any one order of all shingles, two sets of sizes n and m with similarity 4/5 have the first shingle that they share among
 the first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1 of each. So rows meet in the cell of every shingle of these prefixes, and
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 
 from veriloom.llm._base import importable, partitions, release, text_of, written
 from veriloom.llm.graph import components
+from veriloom.llm import simhash
 from veriloom.llm.simhash import SEED
 
 WIDTH = 5
@@ -63,20 +68,29 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of hashed shingles, as a signed number: a bit is 1 if set in over half of them."""
+    votes = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(found), 1 << 16):
+        votes += np.unpackbits(found[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(found), bitorder="little").view("<i8")[0])
+
+
 def _described(shared, width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         common, count = shared.value
         for batch in batches:
-            node, size, keys, odd = [], [], [], []
+            node, size, keys, odd, fp = [], [], [], [], []
             for x in batch.column(2):
                 found = shingle_set(x.as_py(), width)
                 node.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 size.append(len(found))
                 keys.append(prefix(found, common, count).tobytes())
                 odd.append(parities(found).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(odd, pa.binary())], names=["doc_id", "th", "node", "size", "keys", "odd"])
+                fp.append(set_fingerprint(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(odd, pa.binary()), pa.array(fp, pa.int64())], names=["doc_id", "th", "node", "size", "keys", "odd", "fp"])
         release()
 
     return scan
@@ -241,14 +255,27 @@ def _verify(pairs: DataFrame, rows: DataFrame, odd: DataFrame, bodies: DataFrame
     return written(found.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "near-links")
 
 
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) node pairs that span what fingerprints within 3 bits link, of rows (node, fp)."""
+    prints = rows.select("node", "fp").distinct()
+    first = written(prints.groupBy("fp").agg(F.min("node").alias("node")), "near-prints")
+    same = prints.withColumnRenamed("node", "b").join(first.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
+    return same.unionByName(simhash.links(first.select("node", "fp")))
+
+
 def links(rows: DataFrame, bodies: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(a, b) node pairs that span every component of rows (doc_id, th, node, size, keys, odd) under the similarity; bodies (doc_id, th, body) are their texts."""
+    """(a, b) node pairs that span every component of rows (doc_id, th, node, size, keys, odd, fp) under the similarity; bodies (doc_id, th, body) are their texts."""
     spark = rows.sparkSession
     cells = rows.select("node", "size", "keys").mapInArrow(_prefixes, "key long, node long, size int, place int")
     dealt = cells.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
     met = written(dealt.mapInArrow(lambda x: _whole_cells(x, _first), "a long, b long, key long, size long, place long"), "near-cells")
     odd = written(rows.select("node", "size", "odd").distinct(), "near-parities")
-    found = _verify(met.where("b is not null").select("a", "b"), rows, odd, bodies, width)
+    by_print = _verify(fingerprint_pairs(rows), rows, odd, bodies, width)
+    known = _small(written(components(by_print), "near-known"))
+    end = lambda node, name: known.select(F.col("node").alias(node), F.col("component").alias(name))
+    open_ = met.where("b is not null").select("a", "b").join(end("a", "u"), "a", "left").join(end("b", "v"), "b", "left")
+    open_ = open_.where(F.coalesce("u", "a") != F.coalesce("v", "b")).select("a", "b")
+    found = by_print.unionByName(_verify(open_, rows, odd, bodies, width))
     crowded = met.where("b is null").select("key", F.col("a").alias("node"), "size", "place")
     if crowded.isEmpty():
         return found
@@ -269,7 +296,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     body = F.encode(text_of(text_col), "UTF-8")
     bodies = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("body"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(bodies, width))
-    rows = written(bodies.mapInArrow(_described(shared, width), "doc_id long, th long, node long, size long, keys binary, odd binary"), "shingles")
+    rows = written(bodies.mapInArrow(_described(shared, width), "doc_id long, th long, node long, size long, keys binary, odd binary, fp long"), "shingles")
     label = components(links(rows, bodies, width))
     known = rows.select("doc_id", "th", "node").join(label, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("component"))
     known = written(known, "near-components")
