@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.conftest import ODD
@@ -220,3 +221,24 @@ def test_results_don_t_depend_on_broadcasts(docs, monkeypatch):
     monkeypatch.setattr(lsm, "BROADCAST_IDS", 0)
     assert sorted((tuple(r) for r in suffix.repeat_report(docs(rows)).collect()), key=str) == _repeats(rows)
     assert sorted((tuple(r) for r in lsm.exact_duplicates(docs(rows)).collect()), key=str) == _exact(rows)
+
+
+def test_contexts_of_repeated_anchors_are_not_joined(spark, docs, monkeypatch):
+    """However many anchor strings repeat, contexts of the others are neither made nor shuffled."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(40)]
+    rows = [*enumerate(texts), (40, texts[0][50:300] + texts[1]), (41, texts[2])]
+    monkeypatch.setattr(suffix, "BROADCAST_KEYS", 0)
+    made = []
+    monkeypatch.setattr(suffix, "written", lambda df, name, f=suffix.written: (made.append((name, df._jdf.queryExecution().optimizedPlan().toString())), f(df, name))[1])
+    assert sorted((tuple(r) for r in suffix.repeat_report(docs(rows)).collect()), key=str) == _repeats(rows)
+    assert "LeftSemi" not in dict(made)["contexts"]
+
+
+@pytest.mark.parametrize("most", [28, 12])
+def test_key_filter_takes_every_key(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix, "FILTER_MOST", most)
+    keys = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 20_000)
+    found = suffix.key_filter(spark.createDataFrame(pd.DataFrame({"kh": keys[:10_000]})))
+    assert suffix.passes(found, keys[:10_000]).all()
+    assert most < 28 or suffix.passes(found, keys[10_000:]).mean() < 0.05
