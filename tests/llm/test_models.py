@@ -551,3 +551,24 @@ def test_lm_beats_its_base_on_held_out_texts(docs):
     rows = [(k, " ".join(" ".join(phrase[s : s + 5]) for s in rng.integers(0, 6, 30))) for k in range(300)]
     got = lm.score_report(docs(rows)).where("held_out").collect()
     assert got and all(r["score"] > r["base_score"] for r in got)
+
+
+def test_gradients_near_the_root(monkeypatch):
+    """How many nodes near the root go by one product changes no gradient, and an id's path has its code's length."""
+    rng = np.random.default_rng(8)
+    m = attention.Attention(np.arange(300, 0, -1) ** 2)
+    m.p["w2"] += rng.standard_normal(m.p["w2"].shape).astype(np.float32)
+    rows, target = rng.integers(0, m.rows, (4, attention.WINDOW)), rng.integers(-1, 300, (4, attention.WINDOW))
+    found = []
+    for top in (1, 128, 1000):
+        monkeypatch.setattr(attention, "TOP", top)
+        loss, g = m.gradients(rows, target)
+        at, x = g["w2"]
+        assert len(np.unique(at)) == len(at)
+        whole = np.zeros_like(m.p["w2"])
+        whole[at] = x
+        found.append((loss, whole, g["w1"]))
+    for other in found[1:]:
+        assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(found[0], other, strict=True))
+    ids = rng.permutation(300)
+    assert {int(r): node.shape[1] for rows_, node, _ in m.codes.paths(ids) for r in rows_} == dict(enumerate(m.codes.length[ids].tolist()))

@@ -8,6 +8,8 @@ decisions give the unigram of the counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Ids of a context window, and how many of them are context only in all windows but a text's first.
@@ -19,6 +21,8 @@ WIDTH = 12
 HIDDEN = 15
 #: Ids with an embedding of their own; the others share one.
 OWN = 8192
+#: Nodes near the root whose gradients are one matrix product.
+TOP = 128
 #: No id: before a text's start, and after its end.
 NONE = -1
 
@@ -79,13 +83,16 @@ class Codes:
         self.length = np.bincount(rows, minlength=len(counts))
         self.first = np.cumsum(self.length) - self.length
 
-    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of ids, node, side) of every step on the paths of ids."""
+    def paths(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows of ids, nodes, sides) of the paths of ids, those of one length together: a line for each id."""
         size = self.length[ids]
-        ends = np.cumsum(size)
-        at = np.repeat(self.first[ids] - ends + size, size)
-        at += np.arange(len(at))
-        return np.repeat(np.arange(len(ids)), size), self.node[at], self.side[at]
+        order = np.argsort(size.astype(np.int16), kind="stable")
+        ends = np.cumsum(np.bincount(size))
+        for n in range(1, len(ends)):
+            rows = order[ends[n - 1] : ends[n]]
+            if len(rows):
+                at = self.first[ids[rows]][:, None] + np.arange(n)
+                yield rows, self.node[at], self.side[at]
 
 
 class Attention:
@@ -123,22 +130,22 @@ class Attention:
         np.divide(h, 1 + np.abs(h), out=u[:, :HIDDEN])
         return {"x": x, "q": q, "k": k, "v": v, "s": s, "total": total, "z": z, "u": u}
 
-    def decisions(self, u: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, node, side, logit of the side taken) of every step to ids."""
-        row, node, side = self.codes.paths(ids)
-        z = np.einsum("ij,ij->i", np.take(u, row, axis=0), np.take(self.p["w2"], node, axis=0))
-        z *= side
-        return row, node, side, np.clip(z, -30, 30, out=z)
+    def decisions(self, u: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, nodes, sides, weights of the nodes, logits of the sides taken) of the paths to ids after their states u, as in Codes.paths()."""
+        for rows, node, side in self.codes.paths(ids):
+            w = np.take(self.p["w2"], node, axis=0)
+            z = np.einsum("ik,ijk->ij", u[rows], w)
+            z *= side
+            yield rows, node, side, w, np.clip(z, -30, 30, out=z)
 
     def log_probabilities(self, u: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log probability of each id after its state u."""
-        size = self.codes.length[ids]
-        if not size.all():  # the only id there is
-            return np.zeros(len(ids), dtype=u.dtype)
-        _, _, _, z = self.decisions(u, ids)
-        np.exp(-z, out=z)
-        z += 1
-        return -np.add.reduceat(np.log(z, out=z), np.cumsum(size) - size) if len(ids) else z
+        out = np.zeros(len(ids), dtype=u.dtype)  # an id without a path is the only one there is
+        for rows, _, _, _, z in self.decisions(u, ids):
+            np.exp(-z, out=z)
+            z += 1
+            out[rows] = -np.log(z, out=z).sum(axis=1)
+        return out
 
     def gradients(self, rows: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
         """Mean loss over all places with a target (an id, NONE: no target) and its gradients; those of `e` and `w2` as (rows, values)."""
@@ -146,13 +153,25 @@ class Attention:
         n = len(rows)
         at = np.flatnonzero(target.reshape(-1) >= 0)
         u = f["u"][at]
-        row, node, side, z = self.decisions(u, target.reshape(-1)[at])
-        loss = float(np.log1p(np.exp(-z)).sum() / max(1, len(at)))
-        d = (-side / (1 + np.exp(z)) / max(1, len(at))).astype(u.dtype)
-        g = {"w2": _grouped(node, d[:, None] * u[row])}
-        du = np.zeros((len(f["u"]), HIDDEN), dtype=u.dtype)
-        if len(row):  # in order of `row`
-            du[at[row[np.r_[True, row[1:] != row[:-1]]]]] = np.add.reduceat(d[:, None] * p["w2"][node, :HIDDEN], np.flatnonzero(np.r_[True, row[1:] != row[:-1]]), axis=0)
+        loss, du = 0.0, np.zeros((len(f["u"]), HIDDEN), dtype=u.dtype)
+        base = max(0, self.codes.nodes - TOP)
+        top = np.zeros((len(at), self.codes.nodes - base), dtype=u.dtype)  # of the nodes near the root, which most paths pass
+        often = np.zeros(top.shape[1], dtype=bool)
+        deep = []
+        for rows_, node, side, w, z in self.decisions(u, target.reshape(-1)[at]):
+            loss += float(np.log1p(np.exp(-z)).sum() / len(at))
+            d = (-side / (1 + np.exp(z)) / len(at)).astype(u.dtype)
+            du[at[rows_]] = np.matmul(d[:, None, :], w)[:, 0, :HIDDEN]
+            high = node >= base
+            line = np.broadcast_to(rows_[:, None], node.shape)
+            top[line[high], node[high] - base] = d[high]
+            often[node[high] - base] = True
+            deep.append((line[~high], node[~high], d[~high]))
+        g = {}
+        at_top = np.flatnonzero(often)
+        line, node, d = (np.concatenate([x[k] for x in deep]) if deep else np.zeros(0, dtype=np.int64) for k in range(3))
+        low = _grouped(node, d[:, None].astype(u.dtype) * u[line])
+        g["w2"] = np.r_[low[0], base + at_top], np.concatenate([low[1], (top.T @ u)[at_top]])
         du *= (1 - np.abs(f["u"][:, :HIDDEN])) ** 2
         inside = np.concatenate([f["x"].reshape(-1, WIDTH), f["z"].reshape(-1, WIDTH)], axis=1)
         g["w1"], g["b1"] = inside.T @ du, du.sum(0)
