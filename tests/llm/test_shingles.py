@@ -101,3 +101,71 @@ def test_fingerprints_give_candidates(docs, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda nodes: prints.append(nodes.count()) or join(nodes))
     assert {r["doc_id"] for r in shingles.drop_near_copies(given).collect()} == {0}
     assert prints and asked[0] > 0 and len(asked) == 2 and asked[1] < 28
+
+
+def test_parities_of_large_sets():
+    """Whatever the sizes, the bits rule out no similar pair, and do rule out sets that share nothing."""
+    import numpy as np
+
+    from veriloom.llm.shingles import _differing, needed, parities
+
+    rng = np.random.default_rng(3)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    for n in (50, 600, 700, 3000, 12_000, 40_000):
+        x, other = draw(n), draw(n)
+        near = np.unique(np.r_[x[: n - n // 9], draw(n // 9)])
+        smaller = x[: -(-4 * len(x) // 5)]
+        for y in (near, smaller):
+            most = len(x) + len(y) - 2 * needed(len(x), len(y))
+            assert _differing(parities(x)[None], parities(y)[None])[0] <= np.setxor1d(x, y).size <= most + 2
+        assert _differing(parities(x)[None], parities(other)[None])[0] > 2 * n - 2 * needed(n, n)
+
+
+def test_large_sets_that_only_meet(docs, monkeypatch):
+    """Long texts that share a passage are no candidates for whole sets, and near copies of different widths of parities are found."""
+    from veriloom.llm import shingles
+
+    rnd, asked = random.Random(9), []
+    words = [f"w{k}" for k in range(5000)]
+    passage = rnd.choices(words, k=60)
+    rows = [passage + rnd.choices(words, k=4000) for _ in range(12)]
+    base = rnd.choices(words, k=700)
+    rows += [base, base[:650], rows[3] + rnd.choices(words, k=300)]
+    rows = [(k, " ".join(x)) for k, x in enumerate(rows)]
+    similar = shingles._similar
+    monkeypatch.setattr(shingles, "_similar", lambda pairs, sets: asked.append(pairs.count()) or similar(pairs, sets))
+    got = {r["doc_id"] for r in shingles.drop_near_copies(docs(rows)).collect()}
+    assert got == _kept(rows) == set(range(13))
+    assert sum(asked) <= 4
+
+
+def test_copies_take_their_sets_along_once(docs, monkeypatch):
+    """Of a group of copies not every pair gets whole sets: each is held against one, the rest only where that links nothing."""
+    from veriloom.llm import shingles
+
+    rows, asked = _planted(4, 1, 40, (200, 200), 2), []
+    similar = shingles._similar
+    monkeypatch.setattr(shingles, "_similar", lambda pairs, sets: asked.append(pairs.count()) or similar(pairs, sets))
+    assert {r["doc_id"] for r in shingles.drop_near_copies(docs(rows)).collect()} == _kept(rows) == {0}
+    assert sum(asked) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, small):
+    from veriloom.llm.graph import components
+
+    rnd = random.Random(5)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(rnd.randrange(400, 700), rnd.randrange(400, 700)) for _ in range(120)] + [(7, 7), (None, 3), (9, 2), (2, 9)]
+    root = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a in root and b in root:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    got = {(r["node"], r["component"]) for r in components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
+    assert got == {(x, top(x)) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long"), small=small).isEmpty()

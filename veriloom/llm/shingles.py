@@ -33,8 +33,10 @@ WIDTH = 5
 CROWD, HUBS = 64, 2
 #: Documents and shingles of the sample that orders shingles.
 SAMPLE, COMMON = 4_000, 100_000
-#: Words of 64 bits that hold the parities.
-PARITY = 16
+#: Links whose components one task finds (16 MB); more take rounds of joins.
+ONE_TASK = 500_000
+#: Words of 64 bits that hold the parities, at least and at most; a power of two, with three bits for two shingles where that is enough.
+PARITY, MOST_PARITY = 16, 1 << 12
 
 
 def shingle_set(body: bytes, width: int = WIDTH) -> np.ndarray:
@@ -63,11 +65,30 @@ def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarr
 
 
 def parities(found: np.ndarray) -> np.ndarray:
-    """A bit for each residue of the hashes: whether an odd number of them has it. Sets that differ in d shingles differ in d bits at most."""
-    odd = np.bincount((found % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    """A bit for each residue of the hashes: whether an odd number of them has it. Sets that differ in d shingles differ in d bits at most.
+
+    In a fixed number of bits, those of large sets differ by chance in no more bits than similar sets may.
+    """
+    words = PARITY
+    while words < MOST_PARITY and 128 * words < 3 * len(found):
+        words *= 2
+    odd = np.bincount((found % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def _folded(odd: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parities as rows of fewer words."""
+    while odd.shape[1] > words:
+        odd = odd[:, : odd.shape[1] // 2] ^ odd[:, odd.shape[1] // 2 :]
+    return odd
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which rows of parities (y: as many, or one) differ."""
+    words = min(x.shape[1], y.shape[1])
+    return np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(axis=1, dtype=np.int64)
+
+
 def set_fingerprint(found: np.ndarray) -> int:
     """SimHash of a set of hashed shingles, as a signed number: a bit is 1 if set in over half of them."""
     votes = np.zeros(64, dtype=np.int64)
@@ -188,22 +209,27 @@ def _second(columns: list[np.ndarray]) -> pa.RecordBatch:
     """Pairs between components of crowded cells."""
     key, node, size, place, component, odd = columns
     left, right = [node[:0]], [node[:0]]
-    for at, many in zip(*_bounds(key), strict=True):
-        s = slice(at, at + many)
+    for begin, many in zip(*_bounds(key), strict=True):
+        s = slice(begin, begin + many)
         kind, which, count = np.unique(component[s], return_inverse=True, return_counts=True)
         if len(kind) == 1:
             continue
         n, p, own = size[s], place[s], node[s]
-        bits = np.frombuffer(b"".join(odd[s]), dtype="<u8").reshape(-1, PARITY)
+        wide = np.array([len(x) // 8 for x in odd[s]])
+        rows = {w: np.flatnonzero(wide == w) for w in np.unique(wide).tolist()}
+        bits = {w: np.frombuffer(b"".join(odd[s][at]), dtype="<u8").reshape(-1, w) for w, at in rows.items()}
         todo = np.flatnonzero(which != count.argmax())
         apart = np.ones(many, dtype=bool)
         for i in todo:
             apart[i] = False  # its pairs are all seen now
             j = np.flatnonzero(apart & (which != which[i]))
             j = j[_may(n[i], p[i], n[j], p[j])]
-            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * needed(n[i], n[j])]
-            left.append(np.full(len(j), own[i]))
-            right.append(own[j])
+            one = bits[wide[i]][np.searchsorted(rows[wide[i]], i)][None]
+            for w in np.unique(wide[j]).tolist():
+                k = j[wide[j] == w]
+                k = k[_differing(bits[w][np.searchsorted(rows[w], k)], one) <= n[i] + n[k] - 2 * needed(n[i], n[k])]
+                left.append(np.full(len(k), own[i]))
+                right.append(own[k])
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
 
@@ -211,8 +237,13 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, n, m, x, y) that sizes n, m and parities x, y don't rule out."""
     for batch in batches:
         n, m = (np.asarray(batch.column(k)) for k in (2, 3))
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u8").reshape(-1, PARITY) for k in (4, 5))
-        good = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n + m - 2 * needed(n, m)
+        x, y = (np.array(batch.column(k).to_pylist(), dtype=object) for k in (4, 5))
+        wide = np.array([(len(u) // 8, len(v) // 8) for u, v in zip(x, y, strict=True)]).reshape(-1, 2)
+        good = np.zeros(batch.num_rows, dtype=bool)
+        for u, v in np.unique(wide, axis=0).tolist():
+            at = np.flatnonzero((wide == (u, v)).all(axis=1))
+            differ = _differing(*(np.frombuffer(b"".join(z[at]), dtype="<u8").reshape(-1, w) for z, w in ((x, u), (y, v))))
+            good[at] = differ <= n[at] + m[at] - 2 * needed(n[at], m[at])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
 
@@ -241,8 +272,26 @@ def _common(bodies: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return key[order], np.array([r["n"] for r in found], dtype=np.int64)[order]
 
 
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs of nodes whose whole sets are similar; sets (node, shingles) go once to every pair."""
+    found = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return written(found.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "near-links")
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose ends are in different components of known (node, component; written)."""
+    known = _small(known)
+    end = lambda node, name: known.select(F.col("node").alias(node), F.col("component").alias(name))
+    both = pairs.select("a", "b").join(end("a", "u"), "a", "left").join(end("b", "v"), "b", "left")
+    return both.where(F.coalesce("u", "a") != F.coalesce("v", "b")).select("a", "b")
+
+
 def _verify(pairs: DataFrame, rows: DataFrame, odd: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
-    """Those of the pairs of nodes whose sets are similar."""
+    """Similar pairs of nodes that span the components of all those of the pairs whose sets are similar.
+
+    A pair takes a whole set along, and of a group of copies nearly all pairs are similar; so each node is held first against the
+    smallest that it may be similar to, and of the others those pairs whose ends that has not linked.
+    """
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     end = lambda node, size, bits: odd.select(F.col("node").alias(node), F.col("size").alias(size), F.col("odd").alias(bits))
     both = pairs.join(end("a", "n", "x"), "a").join(end("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
@@ -251,8 +300,9 @@ def _verify(pairs: DataFrame, rows: DataFrame, odd: DataFrame, bodies: DataFrame
     where = written(rows.join(asked, "node").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("node", "r.doc_id", "r.th"), "near-nodes")
     sets = bodies.join(_small(where), ["doc_id", "th"]).select("node", "body").mapInArrow(_sets(width), "node long, shingles binary")
     sets = written(sets, "near-sets").dropDuplicates(["node"])
-    found = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(found.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "near-links")
+    found = _similar(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
+    left = written(_apart(pairs.join(found, ["a", "b"], "left_anti"), written(components(found, small=ONE_TASK), "near-known")), "near-left")
+    return found if left.isEmpty() else found.unionByName(_similar(left, sets))
 
 
 def fingerprint_pairs(rows: DataFrame) -> DataFrame:
@@ -271,15 +321,12 @@ def links(rows: DataFrame, bodies: DataFrame, width: int = WIDTH) -> DataFrame:
     met = written(dealt.mapInArrow(lambda x: _whole_cells(x, _first), "a long, b long, key long, size long, place long"), "near-cells")
     odd = written(rows.select("node", "size", "odd").distinct(), "near-parities")
     by_print = _verify(fingerprint_pairs(rows), rows, odd, bodies, width)
-    known = _small(written(components(by_print), "near-known"))
-    end = lambda node, name: known.select(F.col("node").alias(node), F.col("component").alias(name))
-    open_ = met.where("b is not null").select("a", "b").join(end("a", "u"), "a", "left").join(end("b", "v"), "b", "left")
-    open_ = open_.where(F.coalesce("u", "a") != F.coalesce("v", "b")).select("a", "b")
+    open_ = _apart(met.where("b is not null"), written(components(by_print, small=ONE_TASK), "near-known"))
     found = by_print.unionByName(_verify(open_, rows, odd, bodies, width))
     crowded = met.where("b is null").select("key", F.col("a").alias("node"), "size", "place")
     if crowded.isEmpty():
         return found
-    label = components(found)
+    label = components(found, small=ONE_TASK)
     full = crowded.join(label, "node", "left").join(odd.drop("size"), "node").select("key", "node", "size", "place", F.coalesce("component", "node").alias("component"), "odd")
     split = full.groupBy("key").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u <> v").select("key")
     again = full.join(split, "key", "left_semi").repartition(partitions(spark), "key").sortWithinPartitions("key")
@@ -297,7 +344,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bodies = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("body"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(bodies, width))
     rows = written(bodies.mapInArrow(_described(shared, width), "doc_id long, th long, node long, size long, keys binary, odd binary, fp long"), "shingles")
-    label = components(links(rows, bodies, width))
+    label = components(links(rows, bodies, width), small=ONE_TASK)
     known = rows.select("doc_id", "th", "node").join(label, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("component"))
     known = written(known, "near-components")
     best = known.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
