@@ -572,3 +572,37 @@ def test_gradients_near_the_root(monkeypatch):
         assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(found[0], other, strict=True))
     ids = rng.permutation(300)
     assert {int(r): node.shape[1] for rows_, node, _ in m.codes.paths(ids) for r in rows_} == dict(enumerate(m.codes.length[ids].tolist()))
+
+
+def test_places_without_a_target_ask_nothing(monkeypatch):
+    """Training and scoring compute queries and states only for a window's last STRIDE places, with the same result."""
+    rng = np.random.default_rng(12)
+    m = attention.Attention(np.arange(300, 0, -1) ** 2)
+    rows, target = rng.integers(0, m.rows, (4, attention.WINDOW)), rng.integers(0, 300, (4, attention.WINDOW))
+    u = m.forward(rows)["u"].reshape(4, attention.WINDOW, -1)
+    assert np.allclose(m.forward(rows, attention.CONTEXT)["u"].reshape(4, attention.STRIDE, -1), u[:, attention.CONTEXT :], atol=1e-6)
+    target[:, : attention.CONTEXT] = attention.NONE
+    asked, forward = [], m.forward
+    monkeypatch.setattr(m, "forward", lambda rows, first=0: asked.append(first) or forward(rows, first))
+    loss, _ = m.gradients(rows, target)
+    assert asked == [attention.CONTEXT]
+    ids = target[:, attention.CONTEXT :].ravel()
+    path = {int(r): (n, s) for rows_, nodes, sides in m.codes.paths(ids) for r, n, s in zip(rows_, nodes, sides, strict=True)}
+    each = [-np.log1p(np.exp(-path[k][1] * (m.p["w2"][path[k][0]] @ x))).sum() for k, x in enumerate(u[:, attention.CONTEXT :].reshape(len(ids), -1))]
+    assert np.allclose(m.log_probabilities(u[:, attention.CONTEXT :].reshape(len(ids), -1), ids), each, atol=1e-4) and abs(loss + np.mean(each)) < 1e-4
+
+
+def test_proposed_words_come_with_their_counts(spark, monkeypatch):
+    """Over all tasks, also where a task sends its counts on in pieces."""
+    monkeypatch.setattr(lm, "DISTINCT", 2)
+    bodies = [b"a b c a", b"B d", b"c c e", b""]
+    assert lm.propose(spark.createDataFrame([(x,) for x in bodies], "body binary"), 3) == [(b"c", 3), (b"a", 2), (b"b", 2)]
+
+
+def test_short_windows_are_the_same_windows():
+    words, texts = [b"one", b"two"], [b"one two rare " * 20, b""]
+    batch, shared = pa.record_batch([pa.array([1, 2], pa.int64()), pa.array(texts, pa.binary())], names=["th", "body"]), type("B", (), {"value": words})
+    whole, short = (next(lm._windows(packing.tokenizer_path(), shared, None, x)(iter([batch]))) for x in (False, True))
+    assert len(short.column(1)[0].as_py()) == 2 * (attention.WINDOW + 1) and short.column(0) == whole.column(0)
+    lines = lm._lines(whole.column(1).to_pylist())
+    assert (lines == attention.NONE).any() and (lm._lines(short.column(1).to_pylist()) == lines).all()

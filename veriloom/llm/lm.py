@@ -2,7 +2,7 @@
 
 Word counts cover the whole training side. A word's count is needed where the word stands, so rare words travel once,
 with the documents that hold them, to the task that counts them; a bounded set of the words that are most frequent in the
-training documents is counted in place instead. The set decides who counts a word, never what the count is. The attention model
+training documents is known to all tasks, with its counts. The set decides who counts a word, never what the count is. The attention model
 predicts subword ids: those of the frequent words, one id for any rare word, and the end. It learns from every window of all
 training documents: the windows are dealt by hash into blocks of a fixed size and the blocks into rounds, every block trains the
 model of the last round on its own, window after window, and the blocks' models are averaged. A word's
@@ -16,6 +16,7 @@ import copy
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm._base import importable, partitions, release, text_of, written
-from veriloom.llm.attention import STRIDE, WINDOW, Attention, laid_out
+from veriloom.llm._base import forget, importable, mark, partitions, release, sweep, text_of, written
+from veriloom.llm.attention import NONE, STRIDE, WINDOW, Attention, laid_out
 from veriloom.llm.packing import fast_encoder, tokenizer_path
 
 NULL_ID = -(1 << 63)
-#: Words counted in place at most: their table is broadcast (a few MB).
+#: Words known to all tasks at most: their table is broadcast (a few MB).
 FREQUENT = 1 << 17
 #: How often every window is learned from, at least.
 LEARNING = 1
@@ -38,11 +39,15 @@ BLOCK, STEPS, ROUNDS = 8192, 100, 2
 BATCH = 96
 #: Models that one task averages, and numbers of a part of a model.
 FAN, PART = 64, 1 << 16
+#: Distinct words that a task counts before it sends them on.
+DISTINCT = 1 << 18
 #: Words that are scored at once.
 HELD = 1 << 15
 #: Shares of the unigram that are tried.
 MIXES = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.95)
 TINY = np.float32(1e-37)
+#: NONE in windows of two bytes an id.
+SHORT_NONE = 0xFFFF
 #: Odd numbers that hash a window's ids.
 DEAL = np.multiply.accumulate(np.full(WINDOW + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
@@ -60,7 +65,7 @@ class Subwords:
         self.end, self.rare = encoding.n_vocab, encoding.n_vocab + 1
         self.size = encoding.n_vocab + 2
         own = [encoding.encode_ordinary(" " + w.decode("utf-8")) for w in words]
-        own.append([self.rare])  # the last place
+        own.append([self.rare])  # the last place, which -1 means too
         self.sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
         self.first = np.cumsum(self.sizes) - self.sizes
         self.flat = np.fromiter((x for ids in own for x in ids), dtype=np.int32, count=int(self.sizes.sum()))
@@ -68,9 +73,13 @@ class Subwords:
     def text(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids with the end, first id's place of each word and of the end) of words by their places, -1 for rare ones."""
         sizes = self.sizes[places]
-        ends = np.cumsum(sizes)
-        inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-        return np.r_[self.flat[np.repeat(self.first[places], sizes) + inside], np.int32(self.end)], np.r_[0, ends]
+        firsts = np.zeros(len(places) + 1, dtype=np.int64)
+        np.cumsum(sizes, out=firsts[1:])
+        at = np.repeat(self.first[places] - firsts[:-1], sizes)
+        at += np.arange(len(at))
+        ids = np.full(len(at) + 1, self.end, dtype=np.int32)
+        np.take(self.flat, at, out=ids[:-1])
+        return ids, firsts
 
     def counts(self, counts: np.ndarray) -> np.ndarray:
         """How often each id occurs where the words occur so often."""
@@ -83,69 +92,74 @@ def words_of(body: bytes) -> list[bytes]:
     return body.lower().split()
 
 
-def propose(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
-    """The words that occur most often in docs (body binary), `most` of them at most."""
+def places_of(words: list[bytes], place: dict[bytes, int]) -> np.ndarray:
+    """Of words by a table; -1 for those that it lacks."""
+    return np.fromiter(map(place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
+
+def propose(docs: DataFrame, most: int = FREQUENT) -> list[tuple[bytes, int]]:
+    """The words that occur most often in docs (body binary), `most` of them at most, each with how often it occurs."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Counter = Counter()
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+
         for batch in batches:
-            c: Counter = Counter()
             for x in batch.column(0):
                 c.update(words_of(x.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+                if len(c) >= DISTINCT:
+                    yield found()
+                    c.clear()
+        yield found()
 
     counted = docs.mapInArrow(scan, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return [bytes(r[0]) for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]  # `most` words
+    return [(bytes(r["word"]), r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]  # `most` words
 
 
 POSTINGS = "word binary, did long, th long, tf int, train boolean"
 
 
 def _postings(frequent):
-    """Postings of the words that are not frequent; the frequent ones' training counts come as rows with did null."""
+    """Postings of the words that are not frequent."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frozenset(frequent.value)
-        total: Counter = Counter()
+        often = frozenset(frequent.value).__contains__
         for batch in batches:
-            did, th, train = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            did, th, train = (batch.column(k) for k in (0, 1, 3))
             words, rows, tfs = [], [], []
             for k, x in enumerate(batch.column(2)):
-                c = Counter(words_of(x.as_py()))
-                rare = [w for w in c if w not in often]
-                words += rare
-                tfs += [c[w] for w in rare]
-                rows += [k] * len(rare)
-                if train[k]:
-                    total.update({w: n for w, n in c.items() if w in often})
+                c = Counter(filterfalse(often, words_of(x.as_py())))
+                words += c
+                tfs += c.values()
+                rows += [k] * len(c)
                 if len(words) > 1 << 17:
                     yield batch_of(words, rows, tfs, did, th, train)
                     words, rows, tfs = [], [], []
             yield batch_of(words, rows, tfs, did, th, train)
-        n = len(total)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(list(total.values()), pa.int32()), pa.array([True] * n, pa.bool_())], names=["word", "did", "th", "tf", "train"])
 
     def batch_of(words, rows, tfs, did, th, train) -> pa.RecordBatch:
         at = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(did, pa.int64()).take(at), pa.array(th, pa.int64()).take(at), pa.array(tfs, pa.int32()), pa.array(train, pa.bool_()).take(at)], names=["word", "did", "th", "tf", "train"])
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), did.take(at), th.take(at), pa.array(tfs, pa.int32()), train.take(at)], names=["word", "did", "th", "tf", "train"])
 
     return scan
 
 
-#: kind 0: a document's rare words (a did, b th, n known, x sum of log10(count + 1)); 1: distinct words (n) and tokens (a) counted; 2: a frequent word (word, n count).
-COUNTED = "kind int, a long, b long, n long, x double, word binary"
+#: kind 0: a document's rare words (a did, b th, n known, x sum of log10(count + 1)); 1: distinct words (n) and tokens (a) counted.
+COUNTED = "kind int, a long, b long, n long, x double"
 
 
-def _count(frequent):
+def _count():
     """Counts of whole words from postings sorted by word."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frozenset(frequent.value)
         distinct = total = 0
         kept: pa.Table | None = None
 
         def rows(kind: int, **columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
-            kinds = {"a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "x": pa.float64(), "word": pa.binary()}
+            kinds = {"a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "x": pa.float64()}
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int32))] + [pa.array(columns[k], v) if k in columns else pa.nulls(n, v) for k, v in kinds.items()], names=["kind", *kinds])
 
         def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -156,12 +170,8 @@ def _count(frequent):
             counts = np.add.reduceat(np.where(train, tf, 0), new)
             distinct += int((counts > 0).sum())
             total += int(counts.sum())
-            firsts = word.take(pa.array(new)).to_pylist()
-            places = [k for k, w in enumerate(firsts) if w in often]
-            if places:
-                yield rows(2, word=[firsts[k] for k in places], n=counts[places])
             each = np.repeat(counts, np.diff(np.r_[new, len(tf)]))
-            use = (each > 0) & ~np.asarray(t.column("did").is_null())
+            use = each > 0
             if use.any():
                 did, th = (np.asarray(t.column(k).filter(pa.array(use))) for k in ("did", "th"))
                 order = np.lexsort((th, did))
@@ -208,18 +218,18 @@ class Model:
     words: list[bytes]
     counts: np.ndarray
     attention: Attention | None = None
+    subwords: Subwords | None = None
 
     def start(self) -> None:
         """An untrained attention model over the ids of the counted words: it predicts their unigram."""
-        subwords = Subwords(self.path, self.words)
-        ids = subwords.counts(self.counts)
-        ids[subwords.end], ids[subwords.rare] = self.end_count + 1, self.rare_count + 1
-        ids[np.unique(subwords.flat)] += 1
+        self.subwords = Subwords(self.path, self.words)
+        ids = self.subwords.counts(self.counts)
+        ids[self.subwords.end], ids[self.subwords.rare] = self.end_count + 1, self.rare_count + 1
+        ids[np.unique(self.subwords.flat)] += 1
         self.attention = Attention(ids)
 
     def prepare(self) -> None:
         """What workers make for themselves."""
-        self.subwords = Subwords(self.path, self.words)
         self.place = {w: k for k, w in enumerate(self.words)}
         self.logs = np.r_[np.log10(self.counts + 1.0), 0.0]  # the last place: rare words
         whole = float(self.counts.sum() + self.end_count + self.rare_count) + 1.0
@@ -228,8 +238,7 @@ class Model:
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Of words in `words`; -1 for rare ones."""
-        get = self.place.get
-        return np.array([get(w, -1) for w in words], dtype=np.int64)
+        return places_of(words, self.place)
 
     def word_logs(self, texts: list[np.ndarray]) -> np.ndarray:
         """The attention model's natural log probability of each word ("a rare word" for those) and of the end, for texts as places of words, end to end."""
@@ -248,12 +257,15 @@ class Model:
 # ---- training
 
 
-def _windows(path: str, shared):
-    """Windows of ids of whole training texts, each id among the last STRIDE of one of them, and hashes that deal them."""
+def _windows(path: str, shared, ready=None, short: bool = False):
+    """Windows of ids of whole training texts, each id among the last STRIDE of one of them, and hashes that deal them.
+
+    ready: the words' Subwords, if made. short: ids of two bytes (they must be below SHORT_NONE) instead of four.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        subwords, get = Subwords(path, words), {w: k for k, w in enumerate(words)}.get
+        subwords, place = ready.value if ready else Subwords(path, words), {w: k for k, w in enumerate(words)}
 
         def cut(texts: list[np.ndarray], ths: list[int]) -> pa.RecordBatch:
             lines, _ = laid_out(texts)
@@ -261,15 +273,15 @@ def _windows(path: str, shared):
             with np.errstate(over="ignore"):
                 h = lines.astype(np.int64).view(np.uint64) @ DEAL + np.repeat(np.array(ths, dtype=np.int64).view(np.uint64), counts) + np.arange(len(lines), dtype=np.uint64) * DEAL[0]
                 h = (h ^ (h >> np.uint64(29))) * DEAL[1]
-            ends = np.arange(len(lines) + 1, dtype=np.int32) * np.int32(4 * lines.shape[1])
-            ids = pa.Array.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(lines, dtype="<i4"))])
+            kind = np.dtype("<u2" if short else "<i4")
+            ends = np.arange(len(lines) + 1, dtype=np.int32) * np.int32(kind.itemsize * lines.shape[1])
+            ids = pa.Array.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(lines.astype(kind)))])  # NONE wraps to SHORT_NONE
             return pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(1)).view(np.int64)), ids], names=["h", "ids"])
 
         for batch in batches:
             texts, ths, size = [], [], 0
             for th, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = words_of(body.as_py())
-                texts.append(subwords.text(np.array([get(w, -1) for w in own], dtype=np.int64))[0])
+                texts.append(subwords.text(places_of(words_of(body.as_py()), place))[0])
                 ths.append(th)
                 size += len(texts[-1])
                 if size >= 8 * HELD:
@@ -282,6 +294,15 @@ def _windows(path: str, shared):
     return scan
 
 
+def _lines(ids: list[bytes]) -> np.ndarray:
+    """Windows as _windows() writes them, in either width."""
+    if len(ids[0]) == 4 * (WINDOW + 1):
+        return np.frombuffer(b"".join(ids), dtype="<i4").reshape(-1, WINDOW + 1)
+    lines = np.frombuffer(b"".join(ids), dtype="<u2").astype(np.int32).reshape(-1, WINDOW + 1)
+    lines[lines == SHORT_NONE] = NONE
+    return lines
+
+
 PARTS = "block long, part int, weight long, numbers binary"
 
 
@@ -302,9 +323,11 @@ def _trained(shared, round_: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         model = copy.deepcopy(shared.value)
-        pdf = pdf.sort_values(["h", "ids"])
         block = int(pdf["block"].iloc[0])
-        lines = np.frombuffer(b"".join(pdf["ids"]), dtype="<i4").reshape(-1, WINDOW + 1)
+        lines = _lines(pdf["ids"].tolist())
+        with np.errstate(over="ignore"):
+            other = lines.astype(np.int64).view(np.uint64) @ DEAL[::-1]  # for the order of windows whose h clash
+        lines = lines[np.lexsort((other, pdf["h"].to_numpy()))]
         model.train(lines, max(STEPS, -(-LEARNING * len(lines) // BATCH)), BATCH, seed=1000 * round_ + block % 1000, rate=0.08 / (1 + round_))
         flat = _packed(model).astype("<f4")
         parts = [flat[k : k + PART].tobytes() for k in range(0, len(flat), PART)]
@@ -342,6 +365,8 @@ def train(model: Attention, windows: DataFrame) -> Attention:
         parts = sorted((r["part"], bytes(r["numbers"])) for r in written(found.select("part", "numbers"), "model").collect())  # one model
         model = copy.deepcopy(model)
         _unpack(model, np.frombuffer(b"".join(x for _, x in parts), dtype="<f4"))
+        del own, found
+        forget(spark)  # a round's windows and models
     return model
 
 
@@ -404,19 +429,22 @@ def score_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("did"), F.xxhash64(body).alias("th"), body.alias("body"), held_out(id_col).alias("held_out"), F.col(id_col).isNull().alias("doc_id_null"))
     learning = rows.where(~F.col("held_out"))
     end_count = learning.count()
-    words = propose(learning.select("body"), frequent)
+    proposed = propose(learning.select("body"), frequent)
+    words, counts = [w for w, _ in proposed], np.array([n for _, n in proposed], dtype=np.int64)
     shared_words = spark.sparkContext.broadcast(words)
     postings = rows.select("did", "th", "body", (~F.col("held_out")).alias("train")).mapInArrow(_postings(shared_words), POSTINGS)
     dealt = postings.repartition(partitions(spark), "word").sortWithinPartitions("word")
-    counted = written(dealt.mapInArrow(_count(shared_words), COUNTED), "counted")
-    distinct, total = counted.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
-    often = {bytes(r["word"]): r["n"] for r in counted.where("kind = 2").select("word", "n").collect()}  # frequent words at most
-    counts = np.array([often.get(w, 0) for w in words], dtype=np.int64)
-    rare_count, rare_distinct = total - int(counts.sum()), distinct - int((counts > 0).sum())
-    model = Model(path, total + end_count, distinct + (end_count > 0), end_count, rare_count, rare_count + rare_distinct + 1, words, counts)
+    counted = written(dealt.mapInArrow(_count(), COUNTED), "counted")
+    rare_distinct, rare_count = counted.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
+    tokens = int(counts.sum()) + rare_count + end_count
+    model = Model(path, tokens, len(words) + rare_distinct + (end_count > 0), end_count, rare_count, rare_count + rare_distinct + 1, words, counts)
     model.start()
-    windows = written(learning.select("th", "body").mapInArrow(_windows(path, shared_words), "h long, ids binary"), "windows")
-    model.attention = train(model.attention, windows)
+    forget(spark)  # postings
+    since = mark()
+    short = model.subwords.size < SHORT_NONE
+    cut = _windows(path, shared_words, spark.sparkContext.broadcast(model.subwords), short)
+    model.attention = train(model.attention, written(learning.select("th", "body").mapInArrow(cut, "h long, ids binary"), "windows"))
+    sweep(spark, since)
     scored = written(rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), SCORED), "scored")
     totals = scored.where(~F.col("held_out")).agg(*[F.sum(F.get("scores", F.lit(k))).alias(f"m{k}") for k in range(len(MIXES))]).first()
     best = max(range(len(MIXES)), key=lambda k: (totals[k] if totals[k] is not None else 0.0, -k))
